@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.ordered import running
-from cartwheel.functions.scalar import long
+from cartwheel.functions.scalar import beside, long
 
 EDGE_DIGITS = 9
 
@@ -37,7 +37,7 @@ def score(x: Column, edge: Column, q: int, reverse: bool = False, on_ties: str =
 def add_scores(df: DataFrame, q: int, scores: dict[str, tuple[str, bool]], on_ties: str = "compress") -> DataFrame:
     """Add ``{score: (column, reverse)}``; all edges come from one aggregate row."""
     table = df.agg(*[edges(c, q).alias(f"_e_{name}") for name, (c, _) in scores.items()])
-    joined = df.crossJoin(F.broadcast(table))
+    joined = df.transform(beside, table)
     for name, (c, reverse) in scores.items():
         x = F.round(F.col(c).cast("double"), EDGE_DIGITS)
         joined = joined.withColumn(name, score(x, F.col(f"_e_{name}"), q, reverse, on_ties))

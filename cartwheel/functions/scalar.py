@@ -60,6 +60,14 @@ def clamp(c: Column | str, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row aggregate beside every row, as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_row", packed).select(
+        *df.columns, *[F.col("_row")[c].alias(c) for c in one_row.columns]
+    )
+
+
 def binarise(c: Column | str, threshold: float = 0.5) -> Column:
     return (col(c) > F.lit(threshold)).cast("int")
 
