@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.config import HISTORY_SETS, Params
-from cartwheel.operators import candidates, item_features, pair_features, user_features
+from cartwheel.operators import candidates, item_features, pair_features, rfm, user_features
+from cartwheel.operators.quality import to_numbers
 from cartwheel.session import written
 from cartwheel.sources.files import save_json, save_parquet
 from cartwheel.sources.retail import Star
@@ -42,7 +43,9 @@ def features(star: Star, params: Params = Params()) -> tuple[DataFrame, DataFram
     sets = HISTORY_SETS[params.history]
     lines = star.lines(*sets)
     orders = star.orders.where(F.col("eval_set").isin(*sets))
-    users = user_features.build_prefixed(orders, lines, star.catalogue)
+    segments = rfm.segment_users_by_orders(orders, lines, params.quantiles)
+    users = user_features.add_segments(user_features.build_prefixed(orders, lines, star.catalogue), segments)
+    users = to_numbers(users, ["RFM_score"])
     items = item_features.build_prefixed(lines, orders, star.catalogue).drop("product_name")
     return users, items, pair_features.prefixed_interactions(lines)
 
@@ -52,7 +55,7 @@ def matrix(star: Star, params: Params = Params()) -> DataFrame:
     train and test rows; written once, as several learners pass over it."""
     labelled = labelled_candidates(star, params).labelled
     wide = candidates.training_matrix(labelled, *features(star, params))
-    for column in ("department", "aisle"):
+    for column in ("Segment", "department", "aisle"):
         wide = candidates.encode_labels(wide, column)
     return written(candidates.stratified_split(written(wide, "matrix"), params.test_share, params.seed), "split")
 

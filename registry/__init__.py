@@ -1,7 +1,8 @@
 """Registered queries: every operator on the given tables, with its DuckDB twin."""
 
-from registry.base import ORACLE, QUERIES
+from registry.base import QUERIES, oracle
 from registry import (  # noqa: F401  (importing a section registers its queries)
+    candidates,
     candidates,
     features,
     metrics,
@@ -12,4 +13,4 @@ from registry import (  # noqa: F401  (importing a section registers its queries
     tables,
 )
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["QUERIES", "oracle"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartwheel.sources.retail import Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+SQL: dict[str, str] = {}
 
 
 def r(x: str, digits: int) -> str:
@@ -71,21 +71,25 @@ def fragment(name: str, text: str) -> str:
 
 
 def with_fragments(body: str) -> str:
-    used = _needed(body)
-    parts = ",\n".join(f"{n} AS ({t})" for n, t in FRAGMENTS.items() if n in used)
+    """The body behind the expressions it needs, each after those it uses."""
+    placed: dict[str, str] = {}
+
+    def place(text: str) -> None:
+        for name in FRAGMENTS:
+            if name not in placed and re.search(rf"\b{name}\b", text):
+                placed[name] = ""
+                definition = FRAGMENTS[name]
+                place(definition)
+                del placed[name]
+                placed[name] = definition
+
+    place(body)
+    parts = ",\n".join(f"{name} AS ({text})" for name, text in placed.items())
     return f"WITH {parts}\n{body}" if parts else body
 
 
-def _needed(body: str) -> set[str]:
-    """Fragments the body needs, directly or through another one."""
-    needed, queue = set(), [body]
-    while queue:
-        text = queue.pop()
-        for other, definition in FRAGMENTS.items():
-            if other not in needed and re.search(rf"\b{other}\b", text):
-                needed.add(other)
-                queue.append(definition)
-    return needed
+def oracle() -> dict[str, str]:
+    return {key: with_fragments(sql) for key, sql in SQL.items()}
 
 
 def query(key: str, sql: str | None = None):
@@ -94,7 +98,7 @@ def query(key: str, sql: str | None = None):
     def register(fn: Callable[[Star], DataFrame]):
         QUERIES[key] = lambda spark, folder: fn(Star(spark, folder, None))
         if sql is not None:
-            ORACLE[key] = with_fragments(sql)
+            SQL[key] = sql
         return fn
 
     return register

@@ -1 +1,293 @@
-"""Being filled in."""
+"""Candidates, labels, samples, splits, and the scored pairs later sections use."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartwheel.functions.scalar import beside, long, ratio as ratio_of, rounded, zero
+from cartwheel.operators import candidates, facts, item_features, pair_features, user_features
+from cartwheel.plans import training
+from cartwheel.session import new_path, staged
+from cartwheel.sources.files import load_json, load_parquet
+from registry.base import fragment, query, r, ratio
+
+fragment("targets", "SELECT DISTINCT user_id FROM ord WHERE eval_set = 'train'")
+fragment(
+    "history",
+    "SELECT user_id, product_id, count(*) AS times_bought, max(order_number) AS last_order FROM prior_lines GROUP BY user_id, product_id",
+)
+fragment(
+    "popular",
+    """
+      SELECT product_id, count(*) AS popularity_score, row_number() OVER (ORDER BY count(*) DESC, product_id) AS popularity_rank
+      FROM prior_lines GROUP BY product_id""",
+)
+fragment(
+    "reorder_cands",
+    """
+      SELECT user_id, product_id FROM history SEMI JOIN targets USING (user_id)
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY product_id) <= 15""",
+)
+fragment(
+    "popular_cands",
+    """
+      SELECT t.user_id, p.product_id FROM targets t, popular p
+      ANTI JOIN history h ON h.user_id = t.user_id AND h.product_id = p.product_id
+      QUALIFY row_number() OVER (PARTITION BY t.user_id ORDER BY p.popularity_rank) <= 20""",
+)
+fragment("cands", "SELECT * FROM reorder_cands UNION SELECT * FROM popular_cands")
+fragment(
+    "labelled",
+    """
+      SELECT c.user_id, c.product_id, (t.user_id IS NOT NULL)::INTEGER AS label
+      FROM cands c LEFT JOIN (SELECT DISTINCT user_id, product_id FROM train_lines) t USING (user_id, product_id)""",
+)
+fragment(
+    "scored",
+    f"""
+      SELECT l.*,
+             coalesce({r('popularity_score::DOUBLE / (SELECT max(popularity_score) FROM popular)', 6)}, 0) AS popular,
+             coalesce({r('1.0 / (1 + newest - last_order)', 6)}, 0) AS recent,
+             coalesce({r('times_bought::DOUBLE / n_orders', 6)}, 0) AS habit
+      FROM labelled l LEFT JOIN popular USING (product_id) LEFT JOIN history USING (user_id, product_id)
+      LEFT JOIN (SELECT user_id, max(order_number) AS newest, count(*) AS n_orders FROM ord WHERE eval_set = 'prior'
+                 GROUP BY user_id) USING (user_id)""",
+)
+
+
+def _parts(s) -> training.Parts:
+    return training.labelled_candidates(s)
+
+
+def scored(s) -> DataFrame:
+    """Labelled candidates with three plain scores, written once per application.
+
+    popular: share of the best-seller's lines; recent: 1 / (1 + orders since the
+    last purchase); habit: share of the user's orders with the product.
+    """
+
+    def build() -> DataFrame:
+        parts = _parts(s)
+        users = s.orders.where(F.col("eval_set") == "prior").groupBy("user_id").agg(
+            F.max("order_number").alias("_newest"), F.count(F.lit(1)).alias("_orders")
+        )
+        most = parts.popular.agg(F.max("popularity_score").alias("_most"))
+        wide = (
+            parts.labelled.join(parts.history, ["user_id", "product_id"], "left")
+            .join(parts.popular, "product_id", "left")
+            .join(users, "user_id", "left")
+            .transform(beside, most)
+        )
+        return wide.select(
+            "user_id",
+            "product_id",
+            "label",
+            ratio_of("popularity_score", "_most", 6).alias("popular"),
+            zero(rounded(1.0 / (1 + F.col("_newest") - F.col("last_order")), 6)).alias("recent"),
+            ratio_of("times_bought", "_orders", 6).alias("habit"),
+        )
+
+    return staged(s.spark, ("scored", s.folder, s.n_products), [s.raw("lineitem"), s.raw("orders")], build)
+
+
+@query("c1_target_users", "SELECT user_id FROM targets")
+def _(s):
+    return candidates.target_users(s.orders)
+
+
+@query("c2_reorder_candidates", "SELECT * FROM reorder_cands")
+def _(s):
+    known = candidates.purchase_history(s.lines("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
+    return candidates.reorder_candidates(known, 15)
+
+
+@query(
+    "c2_frequent_candidates",
+    """SELECT user_id, product_id FROM history SEMI JOIN targets USING (user_id)
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY times_bought DESC, product_id) <= 15""",
+)
+def _(s):
+    known = candidates.purchase_history(s.lines("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
+    return candidates.reorder_candidates(known, 15, by_frequency=True)
+
+
+@query("c3_popular_candidates", "SELECT * FROM popular_cands")
+def _(s):
+    lines = s.lines("prior")
+    history = candidates.purchase_history(lines)
+    return candidates.popular_candidates(candidates.target_users(s.orders), history, candidates.popular_items(lines), 20)
+
+
+@query("c4_candidates", "SELECT * FROM cands")
+def _(s):
+    lines = s.lines("prior")
+    history = candidates.purchase_history(lines)
+    return candidates.candidates(candidates.target_users(s.orders), history, candidates.popular_items(lines))
+
+
+@query("j11_labels", "SELECT * FROM labelled")
+def _(s):
+    return _parts(s).labelled
+
+
+@query(
+    "c5_class_stats",
+    f"""SELECT count(*) AS n_samples, sum(label)::BIGINT AS n_positive, count(*) FILTER (label = 0) AS n_negative,
+        {ratio('sum(label)', 'count(*)', 6)} AS positive_rate FROM labelled""",
+)
+def _(s):
+    return candidates.class_stats(scored(s))
+
+
+@query("c6_user_sample", "SELECT user_id FROM targets ORDER BY md5('42#' || user_id::VARCHAR), user_id LIMIT 500")
+def _(s):
+    return candidates.sample_users(candidates.target_users(s.orders), 500, 42)
+
+
+@query(
+    "c7_stratified_split",
+    """SELECT user_id, product_id, label, CASE WHEN row_number() OVER (PARTITION BY label
+         ORDER BY md5('42#' || user_id::VARCHAR || '#' || product_id::VARCHAR), user_id, product_id)
+         <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM labelled""",
+)
+def _(s):
+    return candidates.stratified_split(scored(s).select("user_id", "product_id", "label"), 0.2, 42)
+
+
+@query(
+    "c8_label_encoding",
+    """SELECT user_id, Segment, (dense_rank() OVER (ORDER BY Segment) - 1)::INTEGER AS Segment_encoded FROM
+       (SELECT user_id, coalesce(Segment, '0') AS Segment FROM (SELECT DISTINCT user_id FROM ord)
+        LEFT JOIN (SELECT user_id, Segment FROM rfm_segments WHERE R_score > 1) USING (user_id))""",
+)
+def _(s):
+    """Segments of users with more than the lowest recency score; the others are missing."""
+    from cartwheel.operators import rfm
+
+    known = rfm.segment_users(s.lines()).where(F.col("R_score") > 1).select("user_id", "Segment")
+    return candidates.encode_labels(s.orders.select("user_id").distinct().join(known, "user_id", "left"), "Segment")
+
+
+@query(
+    "c8_encoder_classes",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {c} AS class_name, (dense_rank() OVER (ORDER BY {c}) - 1)::INTEGER AS code FROM (SELECT DISTINCT {c} FROM prod)"
+        for c in ("department", "aisle")
+    ),
+)
+def _(s):
+    return candidates.encoder_classes(s.catalogue, ["department", "aisle"])
+
+
+@query("c9_feature_columns")
+def _(s):
+    """Mean of every model input over the training matrix."""
+    wide = training.matrix(s)
+    inputs = candidates.feature_columns(wide)
+    row = wide.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in inputs])
+    return row.unpivot([], inputs, "feature", "mean")
+
+
+@query(
+    "c10_popular_items",
+    """SELECT product_id, count(*) AS popularity_score, row_number() OVER (ORDER BY count(*) DESC, product_id) AS popularity_rank
+       FROM train_lines GROUP BY product_id""",
+)
+def _(s):
+    return candidates.popular_items(s.lines("train"))
+
+
+@query(
+    "c11_recent_purchases",
+    """SELECT user_id, product_id, n_bought, rank::INTEGER AS rank FROM
+       (SELECT user_id, product_id, count(*) AS n_bought,
+               row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, product_id) AS rank
+        FROM train_lines GROUP BY user_id, product_id) WHERE rank <= 50""",
+)
+def _(s):
+    return candidates.recent_purchases(s.orders, s.order_products("train"))
+
+
+@query(
+    "c12_class_weights",
+    f"""SELECT sum(label)::BIGINT AS n_positive, count(*) FILTER (label = 0) AS n_negative,
+        {ratio('count(*) FILTER (label = 0)', 'sum(label)', 6)} AS positive_weight FROM labelled""",
+)
+def _(s):
+    return candidates.class_weights(scored(s))
+
+
+@query(
+    "c12_row_weights",
+    f"""SELECT user_id, product_id, label, {r('count(*) OVER ()::DOUBLE / (2.0 * count(*) OVER (PARTITION BY label))', 6)} AS weight
+        FROM labelled""",
+)
+def _(s):
+    weighted = candidates.with_balanced_weight(scored(s).select("user_id", "product_id", "label"))
+    return weighted.withColumn("weight", rounded("weight", 6))
+
+
+@query(
+    "c13_trivial_baselines",
+    f"""SELECT user_id, product_id, label,
+        {r("('0x' || md5('42#' || user_id::VARCHAR || '#' || product_id::VARCHAR)[1:8])::UBIGINT::DOUBLE / 4294967296.0", 6)} AS score_random,
+        (SELECT {r('avg(reordered)', 6)} FROM train_lines) AS score_majority FROM labelled""",
+)
+def _(s):
+    base = candidates.constant_baselines(scored(s).select("user_id", "product_id", "label"), s.lines("train"))
+    return base.withColumns({c: rounded(c, 6) for c in ("score_random", "score_majority")})
+
+
+MATRIX_USER = ["user_total_orders", "user_avg_basket_size", "user_reorder_rate"]
+MATRIX_ITEM = ["item_total_orders", "item_reorder_rate", "item_dept_popularity_rank"]
+MATRIX_PAIR = ["ui_times_bought", "ui_orders_since_last_purchase", "ui_purchase_frequency"]
+
+
+@query(
+    "j9_training_matrix",
+    """SELECT l.user_id, l.product_id, label, u.user_total_orders, coalesce(b.user_avg_basket_size, 0) AS user_avg_basket_size,
+         coalesce(b.user_reorder_rate, 0) AS user_reorder_rate, coalesce(i.n, 0) AS item_total_orders,
+         coalesce(i.item_reorder_rate, 0) AS item_reorder_rate, coalesce(i.k, 0) AS item_dept_popularity_rank,
+         coalesce(x.ui_times_bought, 0) AS ui_times_bought,
+         coalesce(x.ui_orders_since_last_purchase, 0) AS ui_orders_since_last_purchase,
+         coalesce(x.ui_purchase_frequency, 0) AS ui_purchase_frequency
+       FROM labelled l
+       LEFT JOIN (SELECT user_id, max(order_number)::BIGINT AS user_total_orders FROM ord WHERE eval_set = 'prior' GROUP BY user_id) u USING (user_id)
+       LEFT JOIN (SELECT user_id, """
+    + r("avg(n)", 2)
+    + """ AS user_avg_basket_size, """
+    + r("sum(again)::DOUBLE / sum(n)", 3)
+    + """ AS user_reorder_rate FROM
+         (SELECT user_id, order_id, count(*) AS n, sum(reordered) AS again FROM prior_lines GROUP BY ALL) GROUP BY user_id) b USING (user_id)
+       LEFT JOIN (SELECT product_id, n, item_reorder_rate, dense_rank() OVER (PARTITION BY department_id ORDER BY n DESC) AS k
+         FROM (SELECT product_id, count(*) AS n, """
+    + ratio("sum(reordered)", "count(*)", 3)
+    + """ AS item_reorder_rate FROM prior_lines GROUP BY product_id) JOIN prod USING (product_id)) i USING (product_id)
+       LEFT JOIN (SELECT user_id, product_id, count(*) AS ui_times_bought, any_value(newest) - max(order_number) AS ui_orders_since_last_purchase, """
+    + ratio("count(*)", "max(order_number) - min(order_number) + 1", 3)
+    + """ AS ui_purchase_frequency FROM prior_lines JOIN (SELECT user_id, max(order_number) AS newest FROM prior_lines GROUP BY user_id)
+         USING (user_id) GROUP BY user_id, product_id) x USING (user_id, product_id)""",
+)
+def _(s):
+    labelled = scored(s).select("user_id", "product_id", "label")
+    users, items, pairs = training.features(s)
+    wide = candidates.training_matrix(labelled, users, items, pairs)
+    filled = wide.withColumn("user_total_orders", F.when(F.col("user_total_orders") > 0, F.col("user_total_orders")))
+    return filled.select("user_id", "product_id", "label", *MATRIX_USER, *MATRIX_ITEM, *MATRIX_PAIR)
+
+
+@query(
+    "s10_saved_splits",
+    """SELECT split, label, count(*) AS n_rows FROM (SELECT label, CASE WHEN row_number() OVER (PARTITION BY label
+         ORDER BY md5('42#' || user_id::VARCHAR || '#' || product_id::VARCHAR), user_id, product_id)
+         <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM labelled)
+       GROUP BY split, label""",
+)
+def _(s):
+    folder = new_path(s.spark, "artifacts")
+    parts = _parts(s)
+    split = candidates.stratified_split(parts.labelled, 0.2, 42)
+    training.save_splits(split, parts.labelled, parts.popular, folder)
+    saved = load_parquet(s.spark, f"{folder}/splits")
+    return saved.groupBy("split", "label").agg(long(F.count(F.lit(1))).alias("n_rows"))
