@@ -20,8 +20,13 @@ def col(c: Column | str) -> Column:
 
 
 def rounded(c: Column | str, digits: int, half_even: bool = False) -> Column:
+    """Half-up rounding in plain double arithmetic (``round`` would go through a
+    decimal per value); ``half_even`` keeps ties on the even digit."""
     c = col(c).cast("double")
-    return F.bround(c, digits) if half_even else F.round(c + F.lit(TIE), digits)
+    if half_even:
+        return F.bround(c, digits)
+    scale = F.lit(float(10**digits))
+    return F.rint((c + F.lit(TIE)) * scale) / scale
 
 
 def zero(c: Column | str) -> Column:

@@ -13,17 +13,18 @@ from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, seeded
 from cartwheel.session import written
 
 PAIR = ["user_id", "product_id"]
+FRONT = 200_000  # ranks whose product names are broadcast
 
 
 def target_users(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("eval_set") == "train").select("user_id").distinct()
 
 
-def purchase_history(facts: DataFrame) -> DataFrame:
-    """Distinct products per user with how often and when last bought."""
-    return facts.groupBy(*PAIR).agg(
-        long(F.count(F.lit(1))).alias("times_bought"),
-        F.max("order_number").alias("last_order"),
+def purchase_history(sums: DataFrame) -> DataFrame:
+    """Distinct products per user with how often and when last bought, from the
+    pair sums of the lines."""
+    return sums.select(
+        *PAIR, F.col("n_lines").alias("times_bought"), F.col("last_order_number").alias("last_order")
     )
 
 
@@ -73,17 +74,24 @@ def missing_from_top(
     spots = spots.unionByName(owners.select(key).transform(beside, end))
     # An owner has at most one row per ranked product: a catalogue that fits one
     # task bounds every group, and only a larger one needs a look at the groups.
+    products = ranked.count()
     floor = ROW_FLOOR if row_floor is None else row_floor
     walked = running(
         spots, [key], ["popularity_rank"], number="_j", prev={"_prev": "popularity_rank"},
-        row_floor=row_floor, bounded=ranked.count() <= floor,
+        row_floor=row_floor, bounded=products <= floor,
     )
     start = F.coalesce("_prev", F.lit(0))
     found = start - (F.col("_j") - 1)
     gap_end = F.least(F.col("popularity_rank") - 1, start + (F.lit(n) - found))
     gaps = walked.where((found < n) & (gap_end > start))
     places = gaps.select(key, F.explode(F.sequence(start + 1, gap_end)).alias("popularity_rank"))
-    return places.join(ranked, "popularity_rank").select(key, "product_id", "popularity_rank")
+    # Nearly all places are among the first ranks: those names are broadcast (a
+    # bounded table), the rare later ones are joined by shuffle.
+    front = F.col("popularity_rank") <= FRONT
+    named = places.join(F.broadcast(ranked.where(front)), "popularity_rank")
+    if products > FRONT:
+        named = named.unionByName(places.where(~front).join(ranked.where(~front), "popularity_rank"))
+    return named.select(key, "product_id", "popularity_rank")
 
 
 def popular_candidates(users: DataFrame, history: DataFrame, ranked: DataFrame, n: int) -> DataFrame:

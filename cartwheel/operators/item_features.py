@@ -8,58 +8,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions.quantile import average_pct_rank, dense_codes
-from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, rounded, std, std_of_sums, zero
+from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, rounded, std, zero
+from cartwheel.operators.pair_features import cart_std, mean
+from cartwheel.session import written
 
 GROUPS = ("popularity", "reorder_patterns", "department_aisle")
 
 
-def per_user_sums(facts: DataFrame) -> DataFrame:
-    """(product, user) sums. An order has one user, so distinct orders add up over
-    users, and a best-seller's lines are shrunk before they meet on the product."""
-    cart = long("add_to_cart_order")
-    return facts.groupBy("product_id", "user_id").agg(
-        long(F.count_distinct("order_id")).alias("_orders"),
-        F.count(F.lit(1)).alias("_lines"),
-        F.count("add_to_cart_order").alias("_carts"),
-        F.sum(cart).alias("_cart"),
-        F.sum(cart * cart).alias("_cart2"),
-        F.min("add_to_cart_order").alias("_cart_min"),
-        F.max("add_to_cart_order").alias("_cart_max"),
-        F.sum("reordered").alias("_again"),
+def product_sums(sums: DataFrame) -> DataFrame:
+    """All product counts and rates, from the (user, product) sums in one step."""
+    rate = F.try_divide(F.col("n_again").cast("double"), F.col("n_flags").cast("double"))
+    out = sums.groupBy("product_id").agg(
+        long(F.sum("n_orders")).alias("total_orders"),
+        long(F.count(F.lit(1))).alias("total_users"),
+        mean(F.sum("cart_sum"), F.sum("n_carts"), 4).alias("avg_cart_position"),
+        cart_std(4, combine=True).alias("std_cart_position"),
+        mean(F.sum("n_again"), F.sum("n_flags"), 4).alias("reorder_rate"),
+        long(F.sum("n_again")).alias("total_reorders"),
+        long(F.sum("n_flags")).alias("total_purchases"),
+        long(F.sum(F.col("n_flags") - F.col("n_again"))).alias("first_purchase_count"),
+        std(rate, 6).alias("reorder_consistency"),
+    )
+    return out.withColumns(
+        {
+            "orders_per_user": ratio("total_orders", "total_users", 4),
+            "reorder_to_first_ratio": ratio("total_reorders", "first_purchase_count", 6),
+        }
     )
 
 
-def _cart_std(digits: int):
-    return zero(rounded(std_of_sums(F.sum("_carts"), F.sum("_cart"), F.sum("_cart2")), digits))
+POPULARITY = ("total_orders", "total_users", "avg_cart_position", "std_cart_position", "orders_per_user")
+REORDERS = ("reorder_rate", "total_reorders", "total_purchases", "first_purchase_count")
 
 
-def _cart_avg(digits: int):
-    return rounded(F.try_divide(F.sum("_cart").cast("double"), F.sum("_carts").cast("double")), digits)
+def popularity_counts(sums: DataFrame) -> DataFrame:
+    return product_sums(sums).select("product_id", *POPULARITY)
 
 
-def popularity_counts(facts: DataFrame) -> DataFrame:
-    out = per_user_sums(facts).groupBy("product_id").agg(
-        long(F.sum("_orders")).alias("total_orders"),
-        long(F.count(F.lit(1))).alias("total_users"),
-        _cart_avg(4).alias("avg_cart_position"),
-        _cart_std(4).alias("std_cart_position"),
-    )
-    return out.withColumn("orders_per_user", ratio("total_orders", "total_users", 4))
+def with_popularity_ranks(counts: DataFrame) -> DataFrame:
+    """Percentile ranks of orders and users (average ties). ``counts`` is read
+    three times: pass a written table."""
+    ranked = average_pct_rank(counts, "total_orders", "popularity_rank")
+    return average_pct_rank(ranked, "total_users", "user_reach_rank")
 
 
-def popularity(facts: DataFrame) -> DataFrame:
-    """Counts plus percentile ranks of orders and users (average ties)."""
-    out = average_pct_rank(popularity_counts(facts), "total_orders", "popularity_rank")
-    return average_pct_rank(out, "total_users", "user_reach_rank")
+def popularity(sums: DataFrame) -> DataFrame:
+    return with_popularity_ranks(written(popularity_counts(sums), "item-popularity"))
 
 
-def reorder_basics(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("product_id").agg(
-        rounded(F.avg("reordered"), 4).alias("reorder_rate"),
-        long(F.sum("reordered")).alias("total_reorders"),
-        long(F.count("reordered")).alias("total_purchases"),
-        long(F.count_if(F.col("reordered") == 0)).alias("first_purchase_count"),
-    )
+def reorder_basics(sums: DataFrame) -> DataFrame:
+    return product_sums(sums).select("product_id", *REORDERS)
 
 
 def reorder_stages(facts: DataFrame, early: int = 5) -> DataFrame:
@@ -72,17 +70,14 @@ def reorder_stages(facts: DataFrame, early: int = 5) -> DataFrame:
     )
 
 
-def reorder_consistency(facts: DataFrame) -> DataFrame:
+def reorder_consistency(sums: DataFrame) -> DataFrame:
     """Deviation over users of their own reorder rate."""
-    by_user = facts.groupBy("user_id", "product_id").agg(F.avg("reordered").alias("_rate"))
-    return by_user.groupBy("product_id").agg(std("_rate", 6).alias("reorder_consistency"))
+    return product_sums(sums).select("product_id", "reorder_consistency")
 
 
-def reorder_patterns(facts: DataFrame) -> DataFrame:
-    out = reorder_basics(facts)
-    for part in (reorder_stages(facts), reorder_consistency(facts)):
-        out = out.join(part, "product_id", "left")
-    return out.withColumn("reorder_to_first_ratio", ratio("total_reorders", "first_purchase_count", 6))
+def reorder_patterns(facts: DataFrame, sums: DataFrame) -> DataFrame:
+    basics = product_sums(sums).select("product_id", *REORDERS, "reorder_consistency", "reorder_to_first_ratio")
+    return basics.join(reorder_stages(facts), "product_id", "left")
 
 
 def category_codes(catalogue: DataFrame) -> DataFrame:
@@ -94,30 +89,34 @@ def category_codes(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def build(facts: DataFrame, catalogue: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
+def build(facts: DataFrame, sums: DataFrame, catalogue: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """Every product; those never bought get zeros."""
-    out = catalogue.select("product_id", "product_name")
+    counts = written(product_sums(sums), "product-sums")
+    reorders = [*REORDERS, "reorder_consistency", "reorder_to_first_ratio"]
     builders = {
-        "popularity": lambda: popularity(facts),
-        "reorder_patterns": lambda: reorder_patterns(facts),
+        "popularity": lambda: with_popularity_ranks(counts.select("product_id", *POPULARITY)),
+        "reorder_patterns": lambda: counts.select("product_id", *reorders).join(
+            reorder_stages(facts), "product_id", "left"
+        ),
         "department_aisle": lambda: category_codes(catalogue),
     }
+    out = catalogue.select("product_id", "product_name")
     for group in [g for g in GROUPS if g in groups]:
         out = out.join(builders[group](), "product_id", "left")
     return fill_numeric(out)
 
 
-def base_stats(facts: DataFrame) -> DataFrame:
-    """``item_`` popularity, cart, reorder and reach columns from one chain of sums."""
-    out = per_user_sums(facts).groupBy("product_id").agg(
-        long(F.sum("_lines")).alias("item_total_orders"),
-        long(F.sum("_orders")).alias("item_unique_orders"),
-        _cart_avg(3).alias("item_avg_cart_position"),
-        _cart_std(3).alias("item_std_cart_position"),
-        long(F.min("_cart_min")).alias("item_min_cart_position"),
-        long(F.max("_cart_max")).alias("item_max_cart_position"),
-        ratio(F.sum("_again"), F.sum("_lines"), 3).alias("item_reorder_rate"),
-        long(F.sum("_again")).alias("item_total_reorders"),
+def base_stats(sums: DataFrame) -> DataFrame:
+    """``item_`` popularity, cart, reorder and reach columns in one step."""
+    out = sums.groupBy("product_id").agg(
+        long(F.sum("n_lines")).alias("item_total_orders"),
+        long(F.sum("n_orders")).alias("item_unique_orders"),
+        mean(F.sum("cart_sum"), F.sum("n_carts"), 3).alias("item_avg_cart_position"),
+        cart_std(3, combine=True).alias("item_std_cart_position"),
+        long(F.min("cart_min")).alias("item_min_cart_position"),
+        long(F.max("cart_max")).alias("item_max_cart_position"),
+        ratio(F.sum("n_again"), F.sum("n_flags"), 3).alias("item_reorder_rate"),
+        long(F.sum("n_again")).alias("item_total_reorders"),
         long(F.count(F.lit(1))).alias("item_unique_users"),
     )
     return out.withColumn("item_reorder_probability", ratio("item_total_reorders", "item_total_orders", 3))
@@ -141,16 +140,18 @@ def category_stats(items: DataFrame, catalogue: DataFrame, key: str, prefix: str
     )
 
 
-def build_prefixed(facts: DataFrame, orders: DataFrame, catalogue: DataFrame, n_users: int | None = None) -> DataFrame:
+def build_prefixed(sums: DataFrame, orders: DataFrame, catalogue: DataFrame, n_users: int | None = None) -> DataFrame:
     """All ``item_``, ``dept_`` and ``aisle_`` columns for every product.
 
-    The rank in a category goes over distinct volumes of that category.
+    The product sums feed every part below and are written once. The rank in a
+    category goes over distinct volumes of that category.
     """
-    stats = base_stats(facts)
+    stats = written(base_stats(sums), "item-stats")
+    sold = stats.join(catalogue.select("product_id", "department_id", "aisle_id"), "product_id")
     out = catalogue.join(with_reach(stats, orders, n_users), "product_id", "left")
     for key, prefix in (("department_id", "dept"), ("aisle_id", "aisle")):
         out = out.join(category_stats(stats, catalogue, key, prefix), key, "left")
-        volumes = out.where(F.col("item_total_orders").isNotNull()).select(key, "item_total_orders").distinct()
+        volumes = sold.select(key, "item_total_orders").distinct()
         by_volume = Window.partitionBy(key).orderBy(F.desc("item_total_orders"))
         ranks = volumes.withColumn(f"item_{prefix}_popularity_rank", long(F.row_number().over(by_volume)))
         out = out.join(ranks, [key, "item_total_orders"], "left")

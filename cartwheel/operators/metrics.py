@@ -106,19 +106,20 @@ def ranking_metrics(
     )
 
 
-def _averaged(per_user: DataFrame, k: int) -> DataFrame:
-    """Mean over users of precision and recall; F1 of the two means."""
-    means = per_user.agg(
-        F.coalesce(F.avg(ratio("_hits", "_recs")), F.lit(0.0)).alias("_p"),
-        F.coalesce(F.avg(ratio("_hits", "_relevant")), F.lit(0.0)).alias("_r"),
+def _averaged(users: DataFrame, k_values: Sequence[int]) -> DataFrame:
+    """Mean over users of precision and recall at every K; F1 of the two means."""
+    means = users.agg(
         long(F.count(F.lit(1))).alias("n_users"),
+        *[F.coalesce(F.avg(ratio(f"_hits_{k}", f"_recs_{k}")), F.lit(0.0)).alias(f"_p_{k}") for k in k_values],
+        *[F.coalesce(F.avg(ratio(f"_hits_{k}", "_relevant")), F.lit(0.0)).alias(f"_r_{k}") for k in k_values],
     )
-    return means.select(
-        F.lit(k).alias("k"),
+    cells = [F.struct(F.lit(k).alias("k"), F.col(f"_p_{k}").alias("p"), F.col(f"_r_{k}").alias("r")) for k in k_values]
+    return means.select("n_users", F.inline(F.array(*cells))).select(
+        "k",
         "n_users",
-        rounded("_p", 6).alias("avg_precision"),
-        rounded("_r", 6).alias("avg_recall"),
-        _f1(F.col("_p"), F.col("_r")).alias("avg_f1"),
+        rounded("p", 6).alias("avg_precision"),
+        rounded("r", 6).alias("avg_recall"),
+        _f1(F.col("p"), F.col("r")).alias("avg_f1"),
     )
 
 
@@ -136,12 +137,7 @@ def recommendation_metrics(recommendations: DataFrame, truth: DataFrame, k_value
         *[F.count_if(F.col("rank") <= k).alias(f"_recs_{k}") for k in k_values],
         *[F.count_if((F.col("rank") <= k) & F.col("_hit").isNotNull()).alias(f"_hits_{k}") for k in k_values],
     )
-    users = counted.join(relevant, "user_id")
-    rows = [
-        _averaged(users.select(F.col(f"_recs_{k}").alias("_recs"), F.col(f"_hits_{k}").alias("_hits"), "_relevant"), k)
-        for k in k_values
-    ]
-    return reduce(DataFrame.unionAll, rows)
+    return _averaged(counted.join(relevant, "user_id"), k_values)
 
 
 def per_user_ranking(
@@ -154,12 +150,7 @@ def per_user_ranking(
         *[F.count_if(F.col("_rank") <= k).alias(f"_recs_{k}") for k in k_values],
         *[F.count_if((F.col("_rank") <= k) & (F.col(label) == 1)).alias(f"_hits_{k}") for k in k_values],
     )
-    users = counted.join(relevant, "user_id")
-    rows = [
-        _averaged(users.select(F.col(f"_recs_{k}").alias("_recs"), F.col(f"_hits_{k}").alias("_hits"), "_relevant"), k)
-        for k in k_values
-    ]
-    return reduce(DataFrame.unionAll, rows)
+    return _averaged(counted.join(relevant, "user_id"), k_values)
 
 
 def hit_rates(recommendations: DataFrame, targets: DataFrame, k_values: Sequence[int] = K_VALUES, keys: Sequence[str] = ("user_id",)) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalar import fill_numeric, long, ratio, rounded, std, zero
+from cartwheel.functions.scalar import col, fill_numeric, long, ratio, rounded, std_of_sums, zero
 
 PAIR = ["user_id", "product_id"]
 
@@ -14,18 +14,58 @@ def pairs(facts: DataFrame) -> DataFrame:
     return facts.select(*PAIR).distinct()
 
 
-def interactions(facts: DataFrame) -> DataFrame:
+def pair_sums(facts: DataFrame) -> DataFrame:
+    """Counts and sums per (user, product): the one large aggregation that the
+    user, item and pair features share. Write it once, then build all of them.
+
+    Every column adds up (or takes a minimum or maximum), so each feature table
+    needs only a partial aggregation of this one. Orders belong to one user:
+    distinct orders of a product are the sum over its users.
+    """
+    cart = long("add_to_cart_order")
     return facts.groupBy(*PAIR).agg(
-        long(F.count_distinct("order_id")).alias("user_item_orders"),
-        long(F.sum("reordered")).alias("user_item_reorders"),
-        rounded(F.avg("add_to_cart_order"), 4).alias("avg_cart_position"),
-        std("add_to_cart_order", 4).alias("std_cart_position"),
-        F.min("add_to_cart_order").alias("min_cart_position"),
-        F.max("add_to_cart_order").alias("max_cart_position"),
+        long(F.count_distinct("order_id")).alias("n_orders"),
+        long(F.count(F.lit(1))).alias("n_lines"),
+        long(F.count("reordered")).alias("n_flags"),
+        long(F.sum("reordered")).alias("n_again"),
+        long(F.count("add_to_cart_order")).alias("n_carts"),
+        F.sum(cart).alias("cart_sum"),
+        F.sum(cart * cart).alias("cart_squares"),
+        F.min("add_to_cart_order").alias("cart_min"),
+        F.max("add_to_cart_order").alias("cart_max"),
         F.min("order_number").alias("first_order_number"),
         F.max("order_number").alias("last_order_number"),
-        rounded(F.avg("order_number"), 4).alias("avg_order_number"),
-        zero(rounded(F.avg("days_since_prior_order"), 4)).alias("avg_days_between_orders"),
+        F.sum(long("order_number")).alias("number_sum"),
+        F.sum("days_since_prior_order").alias("gap_sum"),
+        long(F.count("days_since_prior_order")).alias("n_gaps"),
+    )
+
+
+def mean(total: Column | str, n: Column | str, digits: int) -> Column:
+    """Rounded mean of a summed measure; null without values."""
+    return rounded(F.try_divide(col(total).cast("double"), col(n).cast("double")), digits)
+
+
+def cart_std(digits: int, combine: bool = False) -> Column:
+    """Deviation of cart positions of one pair, or over the pairs of a group."""
+    sums = [F.col(c) for c in ("n_carts", "cart_sum", "cart_squares")]
+    sums = [F.sum(c) for c in sums] if combine else sums
+    return zero(rounded(std_of_sums(*sums), digits))
+
+
+def interactions(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        *PAIR,
+        F.col("n_orders").alias("user_item_orders"),
+        F.col("n_again").alias("user_item_reorders"),
+        mean("cart_sum", "n_carts", 4).alias("avg_cart_position"),
+        cart_std(4).alias("std_cart_position"),
+        F.col("cart_min").alias("min_cart_position"),
+        F.col("cart_max").alias("max_cart_position"),
+        "first_order_number",
+        "last_order_number",
+        mean("number_sum", "n_lines", 4).alias("avg_order_number"),
+        zero(mean("gap_sum", "n_gaps", 4)).alias("avg_days_between_orders"),
     )
 
 
@@ -52,31 +92,28 @@ def with_recency(interaction: DataFrame, orders: DataFrame, digits: int = 6) ->
     )
 
 
-def interaction_features(orders: DataFrame, facts: DataFrame) -> DataFrame:
-    return with_recency(derived(interactions(facts)), orders)
+def interaction_features(orders: DataFrame, sums: DataFrame) -> DataFrame:
+    return with_recency(derived(interactions(sums)), orders)
 
 
-def prefixed_interactions(facts: DataFrame) -> DataFrame:
+def prefixed_interactions(sums: DataFrame) -> DataFrame:
     """The twelve ``ui_`` columns; recency is counted in orders that have lines."""
-    base = facts.groupBy(*PAIR).agg(
-        long(F.count("order_id")).alias("ui_times_bought"),
-        long(F.sum("reordered")).alias("ui_times_reordered"),
-        rounded(F.avg("reordered"), 3).alias("ui_reorder_rate"),
-        rounded(F.avg("add_to_cart_order"), 3).alias("ui_avg_cart_position"),
-        std("add_to_cart_order", 3).alias("ui_std_cart_position"),
-        F.min("add_to_cart_order").alias("ui_min_cart_position"),
-        F.min("order_number").alias("ui_first_order_number"),
-        F.max("order_number").alias("ui_last_order_number"),
-        rounded(F.avg("order_number"), 3).alias("ui_avg_order_number"),
-    )
-    newest = facts.groupBy("user_id").agg(F.max("order_number").alias("_newest"))
-    span = F.col("ui_last_order_number") - F.col("ui_first_order_number") + 1
-    return (
-        base.join(newest, "user_id")
-        .withColumn("ui_order_span", span)
-        .withColumn("ui_purchase_frequency", ratio("ui_times_bought", "ui_order_span", 3))
-        .withColumn("ui_orders_since_last_purchase", F.col("_newest") - F.col("ui_last_order_number"))
-        .drop("_newest")
+    newest = sums.groupBy("user_id").agg(F.max("last_order_number").alias("_newest"))
+    span = F.col("last_order_number") - F.col("first_order_number") + 1
+    return sums.join(newest, "user_id").select(
+        *PAIR,
+        F.col("n_lines").alias("ui_times_bought"),
+        F.col("n_again").alias("ui_times_reordered"),
+        mean("n_again", "n_flags", 3).alias("ui_reorder_rate"),
+        mean("cart_sum", "n_carts", 3).alias("ui_avg_cart_position"),
+        cart_std(3).alias("ui_std_cart_position"),
+        F.col("cart_min").alias("ui_min_cart_position"),
+        F.col("first_order_number").alias("ui_first_order_number"),
+        F.col("last_order_number").alias("ui_last_order_number"),
+        mean("number_sum", "n_lines", 3).alias("ui_avg_order_number"),
+        span.alias("ui_order_span"),
+        ratio("n_lines", span, 3).alias("ui_purchase_frequency"),
+        (F.col("_newest") - F.col("last_order_number")).alias("ui_orders_since_last_purchase"),
     )
 
 
@@ -111,5 +148,5 @@ def with_crosses(combined: DataFrame) -> DataFrame:
     )
 
 
-def build(orders: DataFrame, facts: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    return fill_numeric(with_crosses(combine(interaction_features(orders, facts), users, items)))
+def build(orders: DataFrame, sums: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    return fill_numeric(with_crosses(combine(interaction_features(orders, sums), users, items)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartwheel.functions import rules
 from cartwheel.functions.quantile import add_scores, rank_first_score
 from cartwheel.functions.scalar import beside, long, mapped, ratio, rounded
+from cartwheel.session import written
 
 SCORES = ("R_score", "F_score", "M_score")
 SINGLE_ORDER_RECENCY = 365.0
@@ -77,7 +78,11 @@ def score_line_metrics(metrics: DataFrame, quantiles: int = 5, on_ties: str = "c
 
 
 def score_order_metrics(metrics: DataFrame, quantiles: int = 5, row_floor: int | None = None) -> DataFrame:
-    """R from the first-come rank (equal-count bins), F and M from quantile edges."""
+    """R from the first-come rank (equal-count bins), F and M from quantile edges.
+
+    The per-user table is written first: the rank over all users takes several passes.
+    """
+    metrics = written(metrics, "order-metrics")
     ranked = rank_first_score(metrics, "recency", "user_id", quantiles, "R_score", reverse=True, row_floor=row_floor)
     scored = add_scores(ranked, quantiles, {"F_score": ("frequency", False), "M_score": ("monetary", False)})
     return scored.withColumn("RFM_score", _joined_score())

@@ -2,7 +2,7 @@
 
 Aggregates that a hot user could swamp are taken in two steps (first per order,
 product or category), so partial aggregation shrinks them before the shuffle
-on the user.
+on the user. ``sums`` is ``pair_features.pair_sums`` of the lines.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.scalar import beside, distinct_small, fill_numeric, long, ratio, rounded, std, zero
 from cartwheel.operators.facts import with_products
+from cartwheel.operators.pair_features import cart_std, mean
 
 GROUPS = ("order_patterns", "basket_patterns", "product_patterns", "department_aisle")
 
@@ -51,26 +52,25 @@ def basket_patterns(facts: DataFrame) -> DataFrame:
     return basket_sizes(facts).groupBy("user_id").agg(*_spread("basket_size", 4, "basket_size"))
 
 
-def product_patterns(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("user_id").agg(
-        long(F.count_distinct("product_id")).alias("unique_products"),
-        rounded(F.avg("reordered"), 4).alias("reorder_rate"),
-        long(F.sum("reordered")).alias("total_reorders"),
-        rounded(F.avg("add_to_cart_order"), 4).alias("avg_cart_position"),
-        std("add_to_cart_order", 4).alias("std_cart_position"),
+def product_patterns(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("user_id").agg(
+        long(F.count(F.lit(1))).alias("unique_products"),
+        mean(F.sum("n_again"), F.sum("n_flags"), 4).alias("reorder_rate"),
+        long(F.sum("n_again")).alias("total_reorders"),
+        mean(F.sum("cart_sum"), F.sum("n_carts"), 4).alias("avg_cart_position"),
+        cart_std(4, combine=True).alias("std_cart_position"),
     )
 
 
-def department_aisle(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
+def department_aisle(sums: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Distinct and most frequent department and aisle; first by name on ties."""
-    per_product = facts.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("_n"))
-    named = with_products(per_product, catalogue, ("department", "aisle"))
+    named = with_products(sums.select("user_id", "product_id", "n_lines"), catalogue, ("department", "aisle"))
     out = None
     for category in ("department", "aisle"):
         counted = (
             named.where(F.col(category).isNotNull())
             .groupBy("user_id", category)
-            .agg(F.sum("_n").alias("_n"))
+            .agg(F.sum("n_lines").alias("_n"))
         )
         one = counted.groupBy("user_id").agg(
             long(F.count(F.lit(1))).alias(f"unique_{category}s"),
@@ -81,15 +81,15 @@ def department_aisle(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def build(
-    orders: DataFrame, facts: DataFrame, catalogue: DataFrame, groups: Sequence[str] = GROUPS
+    orders: DataFrame, facts: DataFrame, sums: DataFrame, catalogue: DataFrame, groups: Sequence[str] = GROUPS
 ) -> DataFrame:
     """Chosen feature groups side by side. Order features exist for every user,
     basket features only for users with lines."""
     builders = {
         "order_patterns": lambda: order_patterns(orders),
         "basket_patterns": lambda: basket_patterns(facts),
-        "product_patterns": lambda: product_patterns(facts),
-        "department_aisle": lambda: department_aisle(facts, catalogue),
+        "product_patterns": lambda: product_patterns(sums),
+        "department_aisle": lambda: department_aisle(sums, catalogue),
     }
     out = None
     for group in [g for g in GROUPS if g in groups]:
@@ -119,21 +119,20 @@ def basket(facts: DataFrame) -> DataFrame:
     return basket_sizes(facts).groupBy("user_id").agg(*_spread("basket_size", 2, "basket_size", "user_"))
 
 
-def totals(facts: DataFrame) -> DataFrame:
-    """Volume and reorder behaviour in one pass over the lines."""
-    return facts.groupBy("user_id").agg(
-        long(F.count("product_id")).alias("user_total_products"),
-        long(F.count_distinct("product_id")).alias("user_unique_products"),
-        rounded(F.avg("reordered"), 3).alias("user_reorder_rate"),
-        long(F.sum("reordered")).alias("user_total_reorders"),
-        long(F.count("reordered")).alias("user_total_order_items"),
+def totals(sums: DataFrame) -> DataFrame:
+    """Volume and reorder behaviour."""
+    return sums.groupBy("user_id").agg(
+        long(F.sum("n_lines")).alias("user_total_products"),
+        long(F.count(F.lit(1))).alias("user_unique_products"),
+        mean(F.sum("n_again"), F.sum("n_flags"), 3).alias("user_reorder_rate"),
+        long(F.sum("n_again")).alias("user_total_reorders"),
+        long(F.sum("n_flags")).alias("user_total_order_items"),
     )
 
 
-def diversity(facts: DataFrame, catalogue: DataFrame, n_departments: int | None = None, n_aisles: int | None = None) -> DataFrame:
+def diversity(sums: DataFrame, catalogue: DataFrame, n_departments: int | None = None, n_aisles: int | None = None) -> DataFrame:
     """Distinct departments and aisles, and their share of all there are."""
-    products = facts.select("user_id", "product_id").distinct()
-    seen = with_products(products, catalogue, ("department_id", "aisle_id"), "inner")
+    seen = with_products(sums.select("user_id", "product_id"), catalogue, ("department_id", "aisle_id"), "inner")
     seen = seen.select("user_id", "department_id", "aisle_id").distinct()
     counts = seen.groupBy("user_id").agg(
         long(F.count_distinct("department_id")).alias("user_unique_departments"),
@@ -165,13 +164,14 @@ def with_ratios(users: DataFrame) -> DataFrame:
 def build_prefixed(
     orders: DataFrame,
     facts: DataFrame,
+    sums: DataFrame,
     catalogue: DataFrame,
     n_departments: int | None = None,
     n_aisles: int | None = None,
 ) -> DataFrame:
     """All ``user_`` columns; users without lines get zeros."""
     out = temporal(orders)
-    for part in (basket(facts), totals(facts), diversity(facts, catalogue, n_departments, n_aisles)):
+    for part in (basket(facts), totals(sums), diversity(sums, catalogue, n_departments, n_aisles)):
         out = out.join(part, "user_id", "left")
     return fill_numeric(with_ratios(out))
 

@@ -28,7 +28,7 @@ class Parts:
 def labelled_candidates(star: Star, params: Params = Params()) -> Parts:
     lines = star.lines(*HISTORY_SETS[params.history])
     users = candidates.target_users(star.orders)
-    history = written(candidates.purchase_history(lines), "history")
+    history = candidates.purchase_history(star.pairs(*HISTORY_SETS[params.history]))
     popular = written(candidates.popular_items(lines), "popular")
     pairs = candidates.candidates(users, history, popular, params.reorder_candidates, params.popular_candidates)
     positives = star.lines("train").select("user_id", "product_id")
@@ -44,10 +44,11 @@ def features(star: Star, params: Params = Params()) -> tuple[DataFrame, DataFram
     lines = star.lines(*sets)
     orders = star.orders.where(F.col("eval_set").isin(*sets))
     segments = rfm.segment_users_by_orders(orders, lines, params.quantiles)
-    users = user_features.add_segments(user_features.build_prefixed(orders, lines, star.catalogue), segments)
-    users = to_numbers(users, ["RFM_score"])
-    items = item_features.build_prefixed(lines, orders, star.catalogue).drop("product_name")
-    return users, items, pair_features.prefixed_interactions(lines)
+    pairs = star.pairs(*sets)
+    users = user_features.build_prefixed(orders, lines, pairs, star.catalogue)
+    users = to_numbers(user_features.add_segments(users, segments), ["RFM_score"])
+    items = item_features.build_prefixed(pairs, orders, star.catalogue).drop("product_name")
+    return users, items, pair_features.prefixed_interactions(pairs)
 
 
 def matrix(star: Star, params: Params = Params()) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.functions.ordered import running
+from cartwheel.operators.pair_features import pair_sums
 from cartwheel.session import staged
 
 LINE_COLUMNS = ("order_id", "product_id", "add_to_cart_order", "reordered")
@@ -128,6 +129,16 @@ class Star:
             partition_by=("eval_set",),
         )
 
+    def pairs(self, *eval_sets: str) -> DataFrame:
+        """The (user, product) sums of some evaluation sets."""
+        sets = eval_sets or ("prior", "train")
+        return staged(
+            self.spark,
+            ("pairs", self.folder, self.n_products, sets),
+            [self.raw("lineitem"), self.raw("orders")],
+            lambda: pair_sums(self.lines(*sets)),
+        )
+
     @cached_property
     def catalogue(self) -> DataFrame:
         raw = self.raw("part")

@@ -91,6 +91,12 @@ def scored(s) -> DataFrame:
     return staged(s.spark, ("scored", s.folder, s.n_products), [s.raw("lineitem"), s.raw("orders")], build)
 
 
+def matrix(s) -> DataFrame:
+    return staged(
+        s.spark, ("matrix", s.folder, s.n_products), [s.raw("lineitem"), s.raw("orders")], lambda: training.matrix(s)
+    )
+
+
 @query("c1_target_users", "SELECT user_id FROM targets")
 def _(s):
     return candidates.target_users(s.orders)
@@ -98,7 +104,7 @@ def _(s):
 
 @query("c2_reorder_candidates", "SELECT * FROM reorder_cands")
 def _(s):
-    known = candidates.purchase_history(s.lines("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
+    known = candidates.purchase_history(s.pairs("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
     return candidates.reorder_candidates(known, 15)
 
 
@@ -108,21 +114,21 @@ def _(s):
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY times_bought DESC, product_id) <= 15""",
 )
 def _(s):
-    known = candidates.purchase_history(s.lines("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
+    known = candidates.purchase_history(s.pairs("prior")).join(candidates.target_users(s.orders), "user_id", "left_semi")
     return candidates.reorder_candidates(known, 15, by_frequency=True)
 
 
 @query("c3_popular_candidates", "SELECT * FROM popular_cands")
 def _(s):
     lines = s.lines("prior")
-    history = candidates.purchase_history(lines)
+    history = candidates.purchase_history(s.pairs("prior"))
     return candidates.popular_candidates(candidates.target_users(s.orders), history, candidates.popular_items(lines), 20)
 
 
 @query("c4_candidates", "SELECT * FROM cands")
 def _(s):
     lines = s.lines("prior")
-    history = candidates.purchase_history(lines)
+    history = candidates.purchase_history(s.pairs("prior"))
     return candidates.candidates(candidates.target_users(s.orders), history, candidates.popular_items(lines))
 
 
@@ -183,7 +189,7 @@ def _(s):
 @query("c9_feature_columns")
 def _(s):
     """Mean of every model input over the training matrix."""
-    wide = training.matrix(s)
+    wide = matrix(s)
     inputs = candidates.feature_columns(wide)
     row = wide.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in inputs])
     return row.unpivot([], inputs, "feature", "mean")

@@ -67,17 +67,17 @@ def _(s):
 
 @query("u3_product_patterns", "SELECT * FROM u3")
 def _(s):
-    return user_features.product_patterns(s.lines())
+    return user_features.product_patterns(s.pairs())
 
 
 @query("u4_department_aisle", "SELECT * FROM u4")
 def _(s):
-    return user_features.department_aisle(s.lines(), s.catalogue)
+    return user_features.department_aisle(s.pairs(), s.catalogue)
 
 
 @query("u_all_groups", "SELECT * FROM user_all")
 def _(s):
-    return user_features.build(s.orders, s.lines(), s.catalogue)
+    return user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue)
 
 
 fragment(
@@ -130,20 +130,20 @@ def _(s):
 )
 def _(s):
     orders = user_features.temporal(s.orders).select("user_id", "user_total_orders")
-    wide = user_features.totals(s.lines()).join(orders, "user_id")
+    wide = user_features.totals(s.pairs()).join(orders, "user_id")
     return user_features.with_ratios(wide).drop("user_total_orders")
 
 
 @query("u8_reorder", "SELECT user_id, user_reorder_rate, user_total_reorders, user_total_order_items FROM u7")
 def _(s):
-    return user_features.totals(s.lines()).select(
+    return user_features.totals(s.pairs()).select(
         "user_id", "user_reorder_rate", "user_total_reorders", "user_total_order_items"
     )
 
 
 @query("u9_diversity", "SELECT * FROM u9")
 def _(s):
-    return user_features.diversity(s.lines(), s.catalogue)
+    return user_features.diversity(s.pairs(), s.catalogue)
 
 
 USER_WIDE = """user_id user_total_orders user_avg_dow user_std_dow user_unique_dow user_avg_hour user_std_hour user_unique_hours
@@ -164,7 +164,7 @@ fragment(
 
 @query("u_prefixed_features", "SELECT * FROM user_wide")
 def _(s):
-    return user_features.build_prefixed(s.orders, s.lines(), s.catalogue)
+    return user_features.build_prefixed(s.orders, s.lines(), s.pairs(), s.catalogue)
 
 
 # Items
@@ -236,7 +236,7 @@ def _ranks(df):
 
 @query("i1_popularity", "SELECT * FROM i1")
 def _(s):
-    return item_features.popularity_counts(s.lines())
+    return item_features.popularity_counts(s.pairs())
 
 
 @query(
@@ -244,12 +244,12 @@ def _(s):
     f"SELECT product_id, {r('popularity_rank', 9)} AS popularity_rank, {r('user_reach_rank', 9)} AS user_reach_rank FROM i2",
 )
 def _(s):
-    return _ranks(item_features.popularity(s.lines())).select("product_id", "popularity_rank", "user_reach_rank")
+    return _ranks(item_features.popularity(s.pairs())).select("product_id", "popularity_rank", "user_reach_rank")
 
 
 @query("i3_reorder_basics", "SELECT product_id, reorder_rate, total_reorders, total_purchases FROM i3")
 def _(s):
-    return item_features.reorder_basics(s.lines()).drop("first_purchase_count")
+    return item_features.reorder_basics(s.pairs()).drop("first_purchase_count")
 
 
 @query("i4_reorder_stages", "SELECT * FROM i4")
@@ -259,12 +259,12 @@ def _(s):
 
 @query("i5_reorder_consistency", "SELECT * FROM i5")
 def _(s):
-    return item_features.reorder_consistency(s.lines())
+    return item_features.reorder_consistency(s.pairs())
 
 
 @query("i6_first_purchases", "SELECT product_id, first_purchase_count, reorder_to_first_ratio FROM i_reorder")
 def _(s):
-    return item_features.reorder_patterns(s.lines()).select(
+    return item_features.reorder_patterns(s.lines(), s.pairs()).select(
         "product_id", "first_purchase_count", "reorder_to_first_ratio"
     )
 
@@ -279,7 +279,7 @@ def _(s):
     f"SELECT * REPLACE ({r('popularity_rank', 9)} AS popularity_rank, {r('user_reach_rank', 9)} AS user_reach_rank) FROM item_all",
 )
 def _(s):
-    return _ranks(item_features.build(s.lines(), s.catalogue))
+    return _ranks(item_features.build(s.lines(), s.pairs(), s.catalogue))
 
 
 fragment(
@@ -328,17 +328,17 @@ fragment(
 
 
 def _item_wide(s):
-    return item_features.build_prefixed(s.lines(), s.orders, s.catalogue)
+    return item_features.build_prefixed(s.pairs(), s.orders, s.catalogue)
 
 
 @query("i8_item_stats", f"SELECT * EXCLUDE (item_user_penetration) FROM i8")
 def _(s):
-    return item_features.base_stats(s.lines())
+    return item_features.base_stats(s.pairs())
 
 
 @query("i9_reach", "SELECT product_id, item_unique_users, item_user_penetration FROM i8")
 def _(s):
-    return item_features.with_reach(item_features.base_stats(s.lines()), s.orders).select(
+    return item_features.with_reach(item_features.base_stats(s.pairs()), s.orders).select(
         "product_id", "item_unique_users", "item_user_penetration"
     )
 
@@ -418,7 +418,7 @@ def _(s):
 
 @query("x2_interactions", "SELECT * FROM x2")
 def _(s):
-    return pair_features.interactions(s.lines())
+    return pair_features.interactions(s.pairs())
 
 
 X3 = ["order_span", "user_item_reorder_rate", "purchase_frequency"]
@@ -427,17 +427,17 @@ X4 = ["user_max_order", "orders_since_last_purchase", "user_total_orders", "user
 
 @query("x3_derived", f"SELECT user_id, product_id, {', '.join(X3)} FROM x3")
 def _(s):
-    return pair_features.derived(pair_features.interactions(s.lines())).select("user_id", "product_id", *X3)
+    return pair_features.derived(pair_features.interactions(s.pairs())).select("user_id", "product_id", *X3)
 
 
 @query("x4_recency_and_share", f"SELECT user_id, product_id, {', '.join(X4)} FROM x4")
 def _(s):
-    return pair_features.interaction_features(s.orders, s.lines()).select("user_id", "product_id", *X4)
+    return pair_features.interaction_features(s.orders, s.pairs()).select("user_id", "product_id", *X4)
 
 
 @query("x5_prefixed_interactions", "SELECT * FROM x5")
 def _(s):
-    return pair_features.prefixed_interactions(s.lines())
+    return pair_features.prefixed_interactions(s.pairs())
 
 
 CROSS_SQL = {
@@ -460,9 +460,9 @@ CROSS_FROM = "FROM x4 x LEFT JOIN user_all u USING (user_id) LEFT JOIN item_all
 
 
 def _pairs_wide(s):
-    users = user_features.build(s.orders, s.lines(), s.catalogue)
-    items = item_features.build(s.lines(), s.catalogue)
-    return pair_features.build(s.orders, s.lines(), users, items)
+    users = user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue)
+    items = item_features.build(s.lines(), s.pairs(), s.catalogue)
+    return pair_features.build(s.orders, s.pairs(), users, items)
 
 
 for _name, _key in CROSS_KEYS.items():

@@ -121,7 +121,7 @@ def _(s):
     "SELECT user_id, product_id, score FROM avg_scores ANTI JOIN history USING (user_id, product_id)",
 )
 def _(s):
-    seen = candidates.purchase_history(s.lines("prior"))
+    seen = candidates.purchase_history(s.pairs("prior"))
     return recommend.exclude_seen(avg_scores(s).drop("label"), seen)
 
 
@@ -173,7 +173,7 @@ def _(s):
     "SELECT product_id, count(DISTINCT order_id) AS total_orders FROM lines GROUP BY product_id ORDER BY 2 DESC, 1 LIMIT 100",
 )
 def _(s):
-    return recommend.popular_products(item_features.popularity_counts(s.lines()))
+    return recommend.popular_products(item_features.popularity_counts(s.pairs()))
 
 
 def _diverse(where: str) -> str:

@@ -339,7 +339,7 @@ fragment(
 
 
 def item_kpis(s):
-    stats = item_features.base_stats(s.lines()).select("product_id", "item_total_orders", "item_reorder_rate")
+    stats = item_features.base_stats(s.pairs()).select("product_id", "item_total_orders", "item_reorder_rate")
     return s.catalogue.join(stats, "product_id", "left").fillna(0, ["item_total_orders", "item_reorder_rate"])
 
 

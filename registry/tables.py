@@ -256,8 +256,8 @@ def _(s):
 )
 def _(s):
     """Train pairs with their prior history; most pairs have none."""
-    bought = pair_features.prefixed_interactions(s.lines("prior")).select("user_id", "product_id", "ui_times_bought")
-    items = item_features.base_stats(s.lines("prior")).select("product_id", "item_total_orders")
+    bought = pair_features.prefixed_interactions(s.pairs("prior")).select("user_id", "product_id", "ui_times_bought")
+    items = item_features.base_stats(s.pairs("prior")).select("product_id", "item_total_orders")
     wide = pair_features.pairs(s.lines("train")).join(bought, ["user_id", "product_id"], "left")
     return quality.fill_by_group(wide.join(items, "product_id", "left"))
 
@@ -307,7 +307,7 @@ fragment(
        FROM lines JOIN user_newest USING (user_id) GROUP BY user_id, product_id""",
 )
 def _(s):
-    return pair_features.interaction_features(s.orders, s.lines()).select(
+    return pair_features.interaction_features(s.orders, s.pairs()).select(
         "user_id", "product_id", "order_span", "orders_since_last_purchase"
     )
 
@@ -336,7 +336,7 @@ fragment(
 
 
 def item_share(s) -> DataFrame:
-    counts = item_features.base_stats(s.lines()).select("product_id", "item_total_orders")
+    counts = item_features.base_stats(s.pairs()).select("product_id", "item_total_orders")
     most = counts.agg(F.max("item_total_orders").alias("_most"))
     return counts.transform(beside, most).select(
         "product_id", ratio_of("item_total_orders", "_most", 6).alias("share")
@@ -442,7 +442,7 @@ fragment("train_counts", "SELECT product_id, count(*) AS n FROM train_lines GROU
 
 @query("j6_items_with_zeros", "SELECT product_id, coalesce(n, 0) AS total_orders FROM prod LEFT JOIN train_counts USING (product_id)")
 def _(s):
-    bought = item_features.popularity_counts(s.lines("train")).select("product_id", "total_orders")
+    bought = item_features.popularity_counts(s.pairs("train")).select("product_id", "total_orders")
     return quality.fill_numeric(s.products.select("product_id").join(bought, "product_id", "left"))
 
 
@@ -456,7 +456,7 @@ def _(s):
     train = s.lines("train")
     return (
         user_features.temporal(s.orders).select("user_id", "user_total_orders")
-        .join(user_features.totals(train).select("user_id", "user_total_products"), "user_id", "left")
+        .join(user_features.totals(s.pairs("train")).select("user_id", "user_total_products"), "user_id", "left")
         .join(user_features.basket(train).select("user_id", "user_avg_basket_size"), "user_id", "left")
     )
 
@@ -468,7 +468,7 @@ def _(s):
          FROM lines JOIN prod USING (product_id) GROUP BY department_id) USING (department_id)""",
 )
 def _(s):
-    stats = item_features.category_stats(item_features.base_stats(s.lines()), s.catalogue, "department_id", "dept")
+    stats = item_features.category_stats(item_features.base_stats(s.pairs()), s.catalogue, "department_id", "dept")
     return s.products.join(stats, "department_id", "left").select("product_id", "dept_total_orders", "dept_avg_reorder_rate")
 
 
