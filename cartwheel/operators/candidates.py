@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.ordered import ROW_FLOOR, running, top_per_group
+from cartwheel.functions import ordered
+from cartwheel.functions.ordered import running, top_per_group
 from cartwheel.functions.quantile import dense_codes
 from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, seeded
 from cartwheel.session import written
@@ -75,7 +76,7 @@ def missing_from_top(
     # An owner has at most one row per ranked product: a catalogue that fits one
     # task bounds every group, and only a larger one needs a look at the groups.
     products = ranked.count()
-    floor = ROW_FLOOR if row_floor is None else row_floor
+    floor = ordered.ROW_FLOOR if row_floor is None else row_floor
     walked = running(
         spots, [key], ["popularity_rank"], number="_j", prev={"_prev": "popularity_rank"},
         row_floor=row_floor, bounded=products <= floor,
