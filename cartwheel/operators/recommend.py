@@ -111,8 +111,10 @@ def recommend(
     if model == "ensemble":
         served = ensemble(wanted, k=k).select(*columns)
     else:
+        scores = scores.where(F.col("model") == model)
         served = top_k(wanted.where(F.col("model") == model), k).select(*columns)
-    missed = users.join(served.select("user_id").distinct(), "user_id", "left_anti")
+    # Whoever has a score gets a list: the lists need not be computed twice.
+    missed = users.join(scores.select("user_id").distinct(), "user_id", "left_anti")
     return served.unionByName(fallback(missed, popular, k).select(*columns))
 
 

@@ -8,6 +8,7 @@ on the user. ``sums`` is ``pair_features.pair_sums`` of the lines.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,17 +85,26 @@ def build(
     orders: DataFrame, facts: DataFrame, sums: DataFrame, catalogue: DataFrame, groups: Sequence[str] = GROUPS
 ) -> DataFrame:
     """Chosen feature groups side by side. Order features exist for every user,
-    basket features only for users with lines."""
+    basket features only for users with lines.
+
+    The full outer join is laid out as left joins to all users: these keep the
+    partitioning by user that every group already has after its aggregation.
+    """
     builders = {
         "order_patterns": lambda: order_patterns(orders),
         "basket_patterns": lambda: basket_patterns(facts),
         "product_patterns": lambda: product_patterns(sums),
         "department_aisle": lambda: department_aisle(sums, catalogue),
     }
-    out = None
-    for group in [g for g in GROUPS if g in groups]:
-        part = builders[group]()
-        out = part if out is None else out.join(part, "user_id", "full_outer")
+    wanted = [g for g in GROUPS if g in groups]
+    seen = []
+    if "order_patterns" in wanted:
+        seen.append(orders.select("user_id"))
+    if set(wanted) - {"order_patterns"}:
+        seen.append(sums.select("user_id"))
+    out = reduce(DataFrame.unionAll, seen).distinct()
+    for group in wanted:
+        out = out.join(builders[group](), "user_id", "left")
     return out
 
 

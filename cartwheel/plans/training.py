@@ -53,9 +53,14 @@ def features(star: Star, params: Params = Params()) -> tuple[DataFrame, DataFram
 
 def matrix(star: Star, params: Params = Params()) -> DataFrame:
     """Features beside every labelled candidate, categories encoded, split into
-    train and test rows; written once, as several learners pass over it."""
+    train and test rows; written once, as several learners pass over it.
+
+    User and item tables are saved before, so that their joins go by known sizes.
+    """
     labelled = labelled_candidates(star, params).labelled
-    wide = candidates.training_matrix(labelled, *features(star, params))
+    users, items, pairs = features(star, params)
+    users, items = written(users, "user-features"), written(items, "item-features")
+    wide = candidates.training_matrix(labelled, users, items, pairs)
     for column in ("Segment", "department", "aisle"):
         wide = candidates.encode_labels(wide, column)
     return written(candidates.stratified_split(written(wide, "matrix"), params.test_share, params.seed), "split")

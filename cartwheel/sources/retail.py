@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwheel.functions import ordered
 from cartwheel.functions.ordered import running
 from cartwheel.operators.pair_features import pair_sums
 from cartwheel.session import staged
@@ -73,19 +74,33 @@ def facts_from(raw_lines: DataFrame, orders: DataFrame, n_products: int | None)
         lines, ["order_id"], ["ln", "product_id"], number="add_to_cart_order", probe=raw
     ).drop("ln")
     placed = carts.join(orders, "order_id")
-    # First order of a product per user: aggregate and join back, so a user who
-    # owns a large share of the lines is spread over map tasks and split by AQE.
-    first = placed.groupBy("user_id", "product_id").agg(F.min("order_number").alias("_first"))
-    return placed.join(first, ["user_id", "product_id"]).select(
+    return _with_reorders(placed, orders).select(
         *ORDER_COLUMNS[:2],
         *ORDER_COLUMNS[3:],
         "product_id",
         F.col("add_to_cart_order").cast("int").alias("add_to_cart_order"),
-        (F.col("order_number") > F.col("_first")).cast("int").alias("reordered"),
+        F.col("_again").cast("int").alias("reordered"),
         "eval_set",
     )
 
 
+def _with_reorders(placed: DataFrame, orders: DataFrame) -> DataFrame:
+    """Adds whether the user had the product in an earlier order.
+
+    A (user, product) group has at most one row per order of the user. If every
+    user's orders fit one task, one window does it. Otherwise the first order is
+    aggregated and joined back: map-side combine spreads the user out, and AQE
+    splits the join.
+    """
+    pair = ["user_id", "product_id"]
+    most = orders.agg(F.max("order_number")).first()[0] or 0
+    if most <= ordered.ROW_FLOOR:
+        numbered = running(placed, pair, ["order_number"], number="_place", bounded=True)
+        return numbered.withColumn("_again", F.col("_place") > 1)
+    first = placed.groupBy(*pair).agg(F.min("order_number").alias("_first"))
+    return placed.join(first, pair).withColumn("_again", F.col("order_number") > F.col("_first"))
+
+
 def catalogue_from(part: DataFrame, n_products: int | None) -> DataFrame:
     """Products with their aisle (brand) and department (type) names and ids."""
     sold = part.where(F.col("p_partkey") < n_products) if n_products else part
@@ -97,8 +112,8 @@ def catalogue_from(part: DataFrame, n_products: int | None) -> DataFrame:
     )
     for name in ("aisle", "department"):
         names = base.select(name).distinct()
-        ids = running(names, [], [name], number=f"{name}_id", bounded=True)
-        base = base.join(F.broadcast(ids), name).withColumn(f"{name}_id", F.col(f"{name}_id").cast("int"))
+        ids = running(names, [], [name], number=f"{name}_id")
+        base = base.join(ids, name).withColumn(f"{name}_id", F.col(f"{name}_id").cast("int"))
     return base
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cartwheel.functions.scalar import rounded
 from cartwheel.operators import item_features, pair_features, user_features
+from cartwheel.session import staged
 from registry.base import fragment, query, r, ratio, std
 
 GAP = "days_since_prior_order"
@@ -460,8 +461,16 @@ CROSS_FROM = "FROM x4 x LEFT JOIN user_all u USING (user_id) LEFT JOIN item_all
 
 
 def _pairs_wide(s):
-    users = user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue)
-    items = item_features.build(s.lines(), s.pairs(), s.catalogue)
+    """The user and item tables are saved first, so that Spark joins tables of known size."""
+    sources = [s.raw("lineitem"), s.raw("orders"), s.raw("part")]
+    users = staged(
+        s.spark, ("user_features", s.folder, s.n_products), sources,
+        lambda: user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue),
+    )
+    items = staged(
+        s.spark, ("item_features", s.folder, s.n_products), sources,
+        lambda: item_features.build(s.lines(), s.pairs(), s.catalogue),
+    )
     return pair_features.build(s.orders, s.pairs(), users, items)
 
 

@@ -218,3 +218,15 @@ def test_orphans_are_distinct_keys(spark):
 
 def test_missing_tables_are_reported(spark):
     assert not quality.is_valid({"orders": spark.createDataFrame([], "order_id long")})
+
+
+def test_feature_groups_cover_all_users(spark):
+    """User 1 has orders and lines, 2 only orders, 3 only lines."""
+    lines = facts(spark, (1, 1, 1, 10), (3, 1, 1, 10))
+    orders = spark.createDataFrame(
+        [(1, 11, 1, 0, 0, None), (2, 21, 1, 0, 0, None)],
+        "user_id long, order_id long, order_number int, order_dow int, order_hour_of_day int, days_since_prior_order double",
+    )
+    sums = pair_features.pair_sums(lines)
+    got = user_features.build(orders, lines, sums, None, ["order_patterns", "product_patterns"])
+    assert rows(got, "user_id", "total_orders", "unique_products") == [(1, 1, 1), (2, 1, None), (3, None, 1)]
