@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, fingerprints, packing, slots
+from cartwheel.llm import bpe, fingerprints, packing, pii, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op7_disclosure")
+def disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.spans(table(spark, folder, "documents"))[0]
+
+
 @query("op9_virtual_slots")
 def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.shard(table(spark, folder, "documents"))
