@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, fingerprints, packing, pii, slots
+from cartwheel.llm import bpe, exact, fingerprints, packing, pii, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,17 @@ def hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query(
+    "op5_snapshot_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+)
+def snapshot_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.report(table(spark, folder, "documents"))
+
+
 @query("op7_disclosure")
 def disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(table(spark, folder, "documents"))[0]
