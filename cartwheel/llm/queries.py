@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, exact, fingerprints, packing, pii, slots
+from cartwheel.llm import bpe, exact, fingerprints, near, packing, pii, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,6 +52,38 @@ def snapshot_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.report(table(spark, folder, "documents"))
 
 
+@query(
+    "op6_multi_index_hamming",
+    """
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+      FROM documents),
+    sets AS (
+      SELECT DISTINCT doc_id, unnest(CASE
+               WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+      FROM words),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    common AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+      FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+      SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+      WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (
+      SELECT doc_id AS x, doc_id AS y FROM documents
+      UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+    lowest AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN lowest USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+)
+def multi_index_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    return near.grouped(table(spark, folder, "documents"), near.Rule(words=3, num=85, den=100))
+
+
 @query("op7_disclosure")
 def disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(table(spark, folder, "documents"))[0]
