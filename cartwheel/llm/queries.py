@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, exact, fingerprints, near, packing, pii, slots
+from cartwheel.llm import bpe, exact, fingerprints, licences, near, packing, pii, slots, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+@query("op3_warc_derivatives", warc.derived_sql())
+def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derived(warc.responses(table(spark, folder, "pages")))
+
+
 @query("op4_hierarchical_packing")
 def hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
@@ -58,11 +63,11 @@ def snapshot_dedup(spark: SparkSession, folder: str) -> DataFrame:
     WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(regexp_split_to_array(
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-               '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+               '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
       FROM documents),
     sets AS (
       SELECT DISTINCT doc_id, unnest(CASE
-               WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+               WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
       FROM words),
     sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
@@ -92,3 +97,8 @@ def disclosure(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_virtual_slots")
 def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.shard(table(spark, folder, "documents"))
+
+
+@query("op10_licence_sentences", licences.scan_sql())
+def licence_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
