@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, exact, fingerprints, licences, near, packing, pii, slots, warc
+from cartwheel.llm import bpe, exact, fingerprints, licences, near, packing, pii, quality, slots, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,6 +94,11 @@ def disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(table(spark, folder, "documents"))[0]
 
 
+@query("op8_hierarchical_quality")
+def hierarchical_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op9_virtual_slots")
 def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.shard(table(spark, folder, "documents"))
