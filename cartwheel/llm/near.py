@@ -383,3 +383,13 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The documents that stay, one of each component, with all their columns.
+
+    An id with several rows goes only if none of its rows stays.
+    """
+    gone = grouped(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("NOT any_kept")
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cartwheel.llm.bpe import slim, texts
 from cartwheel.session import written
@@ -136,12 +137,12 @@ _FOUND_TYPE = pa.schema(
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """Base spans of every row; the text and what stands near only where there are some."""
+    """Base spans of every row; its text, the whole row and what stands near only where there are some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text in texts(iter([batch])):
+            out, where = [], []
+            for at, (doc_id, text) in enumerate(texts(iter([batch]))):
                 spans = base_spans(text)
                 line = spelled(spans)
                 row = {"doc_id": doc_id, "spans": line, "base_sha256": hashlib.sha256(line.encode()).hexdigest()}
@@ -153,10 +154,20 @@ def detected(docs: DataFrame) -> DataFrame:
                         {"entity": entity(kind, text[start:end]), "words": surroundings(text, start, end)}
                         for start, kind, end in spans
                     ]
+                where.append(at if spans else None)
                 out.append(row)
-            yield pa.RecordBatch.from_pylist(out, _FOUND_TYPE)
+            found = pa.RecordBatch.from_pylist(out, _FOUND_TYPE)
+            whole = batch.column(2).take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, whole], [*_FOUND_TYPE.names, "whole"])
 
-    return slim(docs).mapInArrow(run, _FOUND)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
+    return rows.mapInArrow(run, _schema(rows.schema["whole"].dataType))
+
+
+def _schema(whole: StructType) -> StructType:
+    fixed = StructType.fromDDL(_FOUND)
+    return StructType([*fixed.fields, StructField("whole", whole)])
 
 
 def _terms(text):
@@ -202,23 +213,31 @@ def _with_terms(rich: DataFrame, remove: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                base = row["spans"]
-                parsed = [part.split(":") for part in base.split(",")]
-                spans = [(int(start), KINDS.index(kind), int(end)) for kind, start, end in parsed]
-                terms = {term["term"]: 5 if term["share"] >= remove else 4 for term in row.pop("terms") or ()}
-                if terms:
-                    taken = [(start, end) for start, _, end in spans]
-                    for m in _WORD.finditer(row["text"]):
-                        kind = terms.get(m.group().lower())
-                        if kind and not any(start < m.end() and m.start() < end for start, end in taken):
-                            spans.append((m.start(), kind, m.end()))
-                    row["spans"] = spelled(sorted(spans))
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, _FOUND_TYPE)
+            lines = []
+            columns = (batch.column(name).to_pylist() for name in ("spans", "text", "terms"))
+            for line, text, terms in zip(*columns, strict=True):
+                kinds = {term["term"]: 5 if term["share"] >= remove else 4 for term in terms or ()}
+                lines.append(_with_words(line, text, kinds) if kinds else line)
+            at = batch.schema.get_field_index("spans")
+            kept = [name for name in batch.schema.names if name != "terms"]
+            yield batch.set_column(at, "spans", pa.array(lines, pa.string())).select(kept)
+
+    return rich.mapInArrow(run, rich.drop("terms").schema)
 
-    return rich.mapInArrow(run, _FOUND)
+
+def _with_words(line: str, text: str, kinds: dict[str, int]) -> str:
+    spans = [(start, KINDS.index(kind), end) for start, end, kind in parsed(line)]
+    taken = [(start, end) for start, _, end in spans]
+    for m in _WORD.finditer(text):
+        kind = kinds.get(m.group().lower())
+        if kind and not any(start < m.end() and m.start() < end for start, end in taken):
+            spans.append((m.start(), kind, m.end()))
+    return spelled(sorted(spans))
+
+
+def parsed(line: str) -> list[tuple[int, int, str]]:
+    parts = [part.split(":") for part in line.split(",") if part]
+    return sorted((int(start), int(end), kind) for kind, start, end in parts)
 
 
 def spans(
@@ -247,8 +266,7 @@ def spans(
 def cleaned_text(text: str, line: str) -> str:
     """The text with placeholders for entities and general terms; removed terms leave nothing."""
     out, done = [], 0
-    parsed = sorted((int(start), int(end), kind) for kind, start, end in (part.split(":") for part in line.split(",")))
-    for start, end, kind in parsed:
+    for start, end, kind in parsed(line):
         if end <= done:
             continue
         out.append(text[done : max(start, done)])
@@ -258,3 +276,33 @@ def cleaned_text(text: str, line: str) -> str:
             out.append(f"[{kind.upper()}]")
         done = end
     return "".join([*out, text[done:]])
+
+
+def cleaned(
+    docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
+    """The documents with entities and disclosing terms replaced, all columns kept, ``n_chars`` made right.
+
+    Rows without entities go through as they are; only the others are written.
+    """
+    names, schema = docs.columns, docs.schema
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for batch in batches:
+            values = [text.as_py() for text in batch.column(at)]
+            yield batch.filter(pa.array([not base_spans(text or "") for text in values], pa.bool_()))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield batch.set_column(0, "text", pa.array([cleaned_text(text, line) for text, line in pairs], pa.string()))
+
+    rich = spans(docs, support, generalise, remove)[1].select("text", "spans", "whole")
+    rich = rich.mapInArrow(apply, rich.schema)
+    columns = [F.col(f"whole.`{name}`").alias(name) for name in names]
+    replaced = {"text": F.col("text").cast(schema["text"].dataType).alias("text")}
+    if "n_chars" in names:
+        replaced["n_chars"] = F.length("text").cast(schema["n_chars"].dataType).alias("n_chars")
+    rich = rich.select(*[replaced.get(name, column) for name, column in zip(names, columns, strict=True)])
+    return docs.mapInArrow(clean, schema).unionByName(rich)
