@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwheel.llm.rows import slim, texts
+
 MULTI = "byte_bpe_multi_50k.tiktoken"
 LEAF = 8192
 WINDOW = 64
@@ -83,18 +85,6 @@ class Codec:
         return self.decode(ids[:middle], leaf) + self.decode(ids[middle:], leaf)
 
 
-def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
-    """(doc_id, text) of each row, without a second copy of the whole batch."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for doc_id, text in zip(ids, batch.column(1), strict=True):
-            yield doc_id, text.as_py() or ""
-
-
-def slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """Digests of the ids of every text and of the bytes they decode to."""
     path = path or public_tokenizers.path(MULTI)
@@ -103,7 +93,7 @@ def round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> Da
         own = codec(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in texts(iter([batch])):
+            for doc_id, text in texts(batch):
                 own.joins = 0
                 ids = own.encode(text, leaf)
                 packed = np.asarray(ids, dtype="<u4").tobytes()
@@ -131,7 +121,7 @@ def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            rows = [(doc_id, own.encode(text, leaf)) for doc_id, text in texts(iter([batch]))]
+            rows = [(doc_id, own.encode(text, leaf)) for doc_id, text in texts(batch)]
             ids = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
 

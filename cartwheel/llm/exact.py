@@ -230,11 +230,8 @@ def report(docs: DataFrame, loads: int = LOADS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, loads: int = LOADS) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows one."""
-    columns = docs.columns
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    gone = verdicts(docs, loads).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
-    own = docs.withColumn("_digest", digest)
-    same = (own["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (own["_digest"] == F.col("_of"))
-    left = own.join(gone.distinct(), same, "left_anti")
-    return left.dropDuplicates(["doc_id", "_digest"]).select(*[F.col(f"`{c}`") for c in columns])
-
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), digest.alias("own"), F.struct("*").alias("row"))
+    gone = verdicts(docs, loads).where(~F.col("kept")).select("doc_id", "digest").distinct()
+    left = own.join(gone, own["id"].eqNullSafe(gone["doc_id"]) & (own["own"] == gone["digest"]), "left_anti")
+    return left.dropDuplicates(["id", "own"]).select("row.*")

@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.bpe import slim, texts
 from cartwheel.llm.graph import components
+from cartwheel.llm.rows import slim, texts, without
 from cartwheel.session import written
 
 _U = np.uint64
@@ -132,7 +132,7 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
         memo = _Hashes()
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for doc_id, text in texts(iter([batch])):
+            for doc_id, text in texts(batch):
                 own = shingle_set(text, words, memo)
                 sig = signature(own, factors, shifts).view("<i8") if len(own) else None
                 for column, value in zip(rows, (doc_id, len(own), class_of(own), sig), strict=True):
@@ -390,6 +390,4 @@ def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
 
     An id with several rows goes only if none of its rows stays.
     """
-    gone = grouped(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("NOT any_kept")
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, grouped(docs, rule))

@@ -27,7 +27,8 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cartwheel.llm.bpe import codec, slim, texts
+from cartwheel.llm.bpe import codec
+from cartwheel.llm.rows import slim, texts
 
 #: The ranks of the vocabulary in byte_bpe_50k.json.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -169,7 +170,8 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], _NAMES)
 
         tokens = 0
-        for number, (doc_id, text) in enumerate(texts(batches)):
+        rows = (row for batch in batches for row in texts(batch))
+        for number, (doc_id, text) in enumerate(rows):
             ids = np.asarray([*own.encode(text), CLOSING_ID], dtype="<u4")
             held[number] = (doc_id, ids)
             packer.add(number, len(ids))

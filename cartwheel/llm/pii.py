@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cartwheel.llm.bpe import slim, texts
+from cartwheel.llm.rows import slim, texts
 from cartwheel.session import written
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -142,7 +142,7 @@ def detected(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, where = [], []
-            for at, (doc_id, text) in enumerate(texts(iter([batch]))):
+            for at, (doc_id, text) in enumerate(texts(batch)):
                 spans = base_spans(text)
                 line = spelled(spans)
                 row = {"doc_id": doc_id, "spans": line, "base_sha256": hashlib.sha256(line.encode()).hexdigest()}

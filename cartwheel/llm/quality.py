@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.bpe import texts
+from cartwheel.llm.rows import texts, without
 from cartwheel.session import written
 
 TRAIN_ROWS = 20_000
@@ -104,7 +104,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(text) for _, text in texts(iter([batch]))]
+            found = [features(text) for _, text in texts(batch)]
             columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "path", "features"])
 
@@ -212,8 +212,4 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, r
 
     An id with several rows goes only if all of its rows are rejected.
     """
-    verdict = judged(docs, labels, train_rows, reject)
-    bad = verdict.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where("NOT any_kept")
-    bad = bad.select(F.col("doc_id").alias("_rejected"))
-    own = docs["doc_id"].cast("long").eqNullSafe(F.col("_rejected"))
-    return docs.join(bad, own, "left_anti")
+    return without(docs, judged(docs, labels, train_rows, reject))
