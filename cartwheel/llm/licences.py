@@ -60,7 +60,6 @@ SENTENCES = {
         'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
     "gnu-free": "This program is free software:",
-    "gnu-free-2": "This program is free software;",
     "gpl-3-later": (
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -93,7 +92,7 @@ RULES = [
     ("Apache-2.0", ("named Apache-2.0", "apache-comply", "apache-as-is")),
     ("Apache-2.0", ("named Apache-2.0", "apache-comply")),
     ("GPL-3.0-or-later", ("gnu-free", "gpl-3-later")),
-    ("GPL-2.0-or-later", ("gnu-free-2", "gpl-2-later")),
+    ("GPL-2.0-or-later", ("gnu-free", "gpl-2-later")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
 ]
