@@ -2,13 +2,12 @@
 
 A plain ``row_number() over (partition by key order by ...)`` sorts a whole
 group in one task. If one key holds a third of all rows, that task never ends.
-``running`` cuts such groups into ordered cells, numbers every cell on its own
-and adds the totals of the cells before it. Cells come from a hash sample of
-the rows, so their sizes are even for any distribution, and the tables that are
-broadcast have at most ``SAMPLE_ROWS / STRIDE`` cuts, however big the input.
-
-Inputs with fewer than ``ROW_FLOOR`` rows fit one task in the worst case and
-take the plain window.
+``running`` deals the rows of all groups, in the order of keys and rows, to cells
+of like size, numbers every cell on its own and adds the totals of the cells
+before it. There is one plan for every size: the number of cells follows the
+number of shuffle partitions, which is set with the data. Most groups lie in one
+cell; only those with a cut in them have rows in the table of totals, so that
+table has at most two rows per cell and may be broadcast.
 """
 
 from __future__ import annotations
@@ -18,66 +17,56 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalar import col
+from cartwheel.functions.scalar import beside, col
 from cartwheel.session import written
 
-ROW_FLOOR = 4_000_000
-SAMPLE_ROWS = 262_144
-STRIDE = 64
-FAN = 32
+CELLS_PER_PARTITION = 4
+SAMPLES_PER_CELL = 16
 
 _ALL = "_all"
 _CELL = "_cell"
 _CUTS = "_cuts"
+_SPLIT = "_split"
 
 
-def find_cuts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    row_floor: int | None = None,
-    sample_rows: int | None = None,
-    stride: int | None = None,
-) -> DataFrame | None:
-    """Cut points of the groups that are too big for one task, or None.
-
-    Keys of the result are unique; ``_cuts`` holds the ordered cut points in
-    runs of ``FAN``, so that a row finds its cell in two short scans.
+def cell_count(df: DataFrame) -> int:
+    return CELLS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def find_cuts(df: DataFrame, parts: Sequence[str], cells: int) -> DataFrame:
+    """One row: the ordered first rows of all cells but the first.
+
+    They are taken from the rows with the smallest hashes, a fixed number per cell.
     """
-    row_floor = ROW_FLOOR if row_floor is None else row_floor
-    sample_rows = sample_rows or SAMPLE_ROWS
-    stride = stride or STRIDE
-    rows = df.count()
-    if rows <= row_floor:
-        return None
-    space = 1 << 62
-    kept = int(space * min(1.0, sample_rows / rows))
-    drawn = F.xxhash64(*keys, *order).bitwiseAND(F.lit(space - 1))
-    points = (
-        df.where(drawn < F.lit(kept))
-        .select(*keys, F.struct(*order).alias("_at"))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_points"))
-        .where(F.size("_points") >= stride)
+    drawn = df.select(*parts, F.xxhash64(*parts).alias("_cut_hash")).orderBy("_cut_hash", *parts).limit(cells * SAMPLES_PER_CELL)
+    points = drawn.agg(F.sort_array(F.collect_set(F.struct(*parts))).alias("_points"))
+    return points.select(
+        F.filter("_points", lambda _, i: i % SAMPLES_PER_CELL == SAMPLES_PER_CELL - 1).alias(_CUTS)
     )
-    flat = F.filter("_points", lambda _, i: i % stride == stride - 1)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_flat") - 1) / FAN).cast("int")),
-        lambda i: F.slice("_flat", i * FAN + 1, FAN),
-    )
-    cuts = written(
-        points.withColumn("_flat", flat).select(*keys, runs.alias(_CUTS)), "cuts"
-    )
-    return None if cuts.isEmpty() else cuts
 
 
-def cell_of(order: Sequence[str]) -> Column:
-    """Number of cut points at or before the row; 0 where the group is not cut."""
-    at = F.struct(*order)
-    run = F.size(F.filter(_CUTS, lambda cuts: cuts[0] <= at))
-    inside = F.size(F.filter(F.get(_CUTS, run - 1), lambda cut: cut <= at))
-    return F.when(F.col(_CUTS).isNull() | (run < 1), 0).otherwise((run - 1) * FAN + inside)
+def in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], probe: DataFrame | None = None) -> DataFrame:
+    """Adds the cell of every row, and whether its group has rows in several cells."""
+    parts, cells = [*keys, *order], cell_count(df)
+    at = F.struct(*parts)
+    steps, step = [], 1
+    while step <= cells:
+        steps.insert(0, step)
+        step *= 2
+
+    def halve(low: Column, size: Column) -> Column:
+        return F.when(F.get(_CUTS, low + size - 1) <= at, low + size).otherwise(low)
+
+    def same_group(cut: Column) -> Column:
+        equal = F.lit(True)
+        for key in keys:
+            equal = equal & cut[key].eqNullSafe(F.col(key))
+        return cut.isNotNull() & equal
+
+    dealt = df.transform(beside, find_cuts(df if probe is None else probe, parts, cells))
+    dealt = dealt.withColumn(_CELL, F.aggregate(F.lit(steps), F.lit(0), halve))
+    split = same_group(F.get(_CUTS, F.col(_CELL))) | same_group(F.get(_CUTS, F.col(_CELL) - 1))
+    return dealt.withColumn(_SPLIT, split).drop(_CUTS)
 
 
 def running(
@@ -90,15 +79,14 @@ def running(
     totals: Mapping[str, Column | str] | None = None,
     prev: Mapping[str, Column | str] | None = None,
     probe: DataFrame | None = None,
-    row_floor: int | None = None,
-    cuts: DataFrame | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Row number, running sums, group totals and previous values in ``order``.
 
     ``order`` must be unique within a group. ``probe`` is a cheaper DataFrame
-    with the same key and order columns used to look for big groups;
-    ``bounded=True`` says the groups are small by construction.
+    with the same key and order columns to draw the cuts from;
+    ``bounded=True`` says the groups are small by construction. Otherwise the
+    rows are written once with their cells, and numbered when the result is read.
     """
     sums, totals, prev = dict(sums or {}), dict(totals or {}), dict(prev or {})
     names = df.columns
@@ -107,13 +95,8 @@ def running(
         df = df.withColumn(_ALL, F.lit(0))
         probe = probe.withColumn(_ALL, F.lit(0)) if probe is not None else None
     keys, order = list(keys), list(order)
-    if cuts is None and not bounded:
-        cuts = find_cuts(df if probe is None else probe, keys, order, row_floor)
-
-    parts = keys if cuts is None else [*keys, _CELL]
-    rows = df
-    if cuts is not None:
-        rows = df.join(F.broadcast(cuts), keys, "left").withColumn(_CELL, cell_of(order))
+    rows = df if bounded else written(in_cells(df, keys, order, probe), "cells")
+    parts = keys if bounded else [*keys, _CELL]
     whole = Window.partitionBy(*parts)
     by_order = whole.orderBy(*order)
     so_far = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,12 +104,12 @@ def running(
     local = rows.select(
         *names,
         *([F.col(p) for p in parts if p not in names]),
-        *([position.alias("_pos")] if number or (prev and cuts is not None) else []),
+        *([position.alias("_pos")] if number or (prev and not bounded) else []),
         *[F.sum(col(c)).over(so_far).alias(f"_run_{n}") for n, c in sums.items()],
         *[F.sum(col(c)).over(whole).alias(f"_tot_{n}") for n, c in totals.items()],
         *[F.lag(col(c)).over(by_order).alias(f"_lag_{n}") for n, c in prev.items()],
     )
-    if cuts is None:
+    if bounded:
         return local.select(
             *names,
             *([F.col("_pos").alias(number)] if number else []),
@@ -135,9 +118,9 @@ def running(
             *[F.col(f"_lag_{n}").alias(n) for n in prev],
         )
 
-    # One row per cell of a cut group: a table of bounded size.
+    # One row per cell of a group with a cut in it: at most two per cell.
     cells = (
-        rows.where(F.col(_CUTS).isNotNull())
+        rows.where(F.col(_SPLIT))
         .groupBy(*parts)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
@@ -149,13 +132,16 @@ def running(
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
-        *parts,
+        *[F.col(p).alias(f"_of_{p}") for p in parts],
         F.sum("_rows").over(earlier).alias("_before"),
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"_group_{n}") for n in totals],
         *[F.lag(f"_l_{n}").over(group.orderBy(_CELL)).alias(f"_last_{n}") for n in prev],
     )
-    joined = local.join(F.broadcast(offsets), parts, "left")
+    same = F.lit(True)
+    for p in parts:
+        same = same & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
+    joined = local.join(F.broadcast(offsets), same, "left")
     out = [F.col(n) for n in names]
     if number:
         out.append((F.col("_pos") + F.coalesce("_before", F.lit(0))).cast("long").alias(number))

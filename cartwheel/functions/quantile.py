@@ -45,11 +45,11 @@ def add_scores(df: DataFrame, q: int, scores: dict[str, tuple[str, bool]], on_ti
 
 
 def rank_first_score(
-    df: DataFrame, column: str, tie_break: str, q: int, name: str, reverse: bool = False, row_floor: int | None = None
+    df: DataFrame, column: str, tie_break: str, q: int, name: str, reverse: bool = False
 ) -> DataFrame:
     """Equal-count bins of the first-come rank: bin = ceil((rank-1)*q/(n-1))."""
     ranked = running(
-        df, [], [column, tie_break], number="_r", totals={"_n": F.lit(1)}, row_floor=row_floor
+        df, [], [column, tie_break], number="_r", totals={"_n": F.lit(1)}
     )
     steps = F.col("_n") - 1
     place = F.expr("((_r - 1) * {q} + (_n - 2)) div (_n - 1)".format(q=q))

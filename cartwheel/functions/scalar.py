@@ -51,12 +51,6 @@ def std_of_sums(n: Column, total: Column, squares: Column) -> Column:
     return F.sqrt(F.try_divide(spread, n - 1))
 
 
-def distinct_small(c: Column | str) -> Column:
-    """Distinct count of an integer in 0..62 as one bit mask: no set, no extra shuffle."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), col(c).cast("int"))
-    return F.coalesce(F.bit_count(F.bit_or(mask)), F.lit(0)).cast("long")
-
-
 def long(c: Column | str) -> Column:
     return col(c).cast("long")
 

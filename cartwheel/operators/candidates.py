@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions import ordered
 from cartwheel.functions.ordered import running, top_per_group
 from cartwheel.functions.quantile import dense_codes
 from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, seeded
 from cartwheel.session import written
 
 PAIR = ["user_id", "product_id"]
-FRONT = 200_000  # ranks whose product names are broadcast
 
 
 def target_users(orders: DataFrame) -> DataFrame:
@@ -58,7 +56,6 @@ def missing_from_top(
     ranked: DataFrame,
     key: str,
     n: int,
-    row_floor: int | None = None,
 ) -> DataFrame:
     """First ``n`` ranked products that an owner does not have yet.
 
@@ -73,26 +70,13 @@ def missing_from_top(
     # One row past the end of the ranking closes the last gap.
     end = ranked.agg((F.coalesce(F.max("popularity_rank"), F.lit(0)) + 1).alias("popularity_rank"))
     spots = spots.unionByName(owners.select(key).transform(beside, end))
-    # An owner has at most one row per ranked product: a catalogue that fits one
-    # task bounds every group, and only a larger one needs a look at the groups.
-    products = ranked.count()
-    floor = ordered.ROW_FLOOR if row_floor is None else row_floor
-    walked = running(
-        spots, [key], ["popularity_rank"], number="_j", prev={"_prev": "popularity_rank"},
-        row_floor=row_floor, bounded=products <= floor,
-    )
+    walked = running(spots, [key], ["popularity_rank"], number="_j", prev={"_prev": "popularity_rank"})
     start = F.coalesce("_prev", F.lit(0))
     found = start - (F.col("_j") - 1)
     gap_end = F.least(F.col("popularity_rank") - 1, start + (F.lit(n) - found))
     gaps = walked.where((found < n) & (gap_end > start))
     places = gaps.select(key, F.explode(F.sequence(start + 1, gap_end)).alias("popularity_rank"))
-    # Nearly all places are among the first ranks: those names are broadcast (a
-    # bounded table), the rare later ones are joined by shuffle.
-    front = F.col("popularity_rank") <= FRONT
-    named = places.join(F.broadcast(ranked.where(front)), "popularity_rank")
-    if products > FRONT:
-        named = named.unionByName(places.where(~front).join(ranked.where(~front), "popularity_rank"))
-    return named.select(key, "product_id", "popularity_rank")
+    return places.join(ranked, "popularity_rank").select(key, "product_id", "popularity_rank")
 
 
 def popular_candidates(users: DataFrame, history: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
@@ -145,7 +129,7 @@ def sample_users(users: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def stratified_split(
-    labelled: DataFrame, test_share: float, seed: int, keys: Sequence[str] = PAIR, row_floor: int | None = None
+    labelled: DataFrame, test_share: float, seed: int, keys: Sequence[str] = PAIR
 ) -> DataFrame:
     """Adds ``split``: exactly round(share * n) rows of every label go to test.
 
@@ -153,7 +137,7 @@ def stratified_split(
     """
     drawn = labelled.withColumn("_draw", seeded(seed, *keys))
     placed = running(
-        drawn, ["label"], ["_draw", *keys], number="_place", totals={"_size": F.lit(1)}, row_floor=row_floor
+        drawn, ["label"], ["_draw", *keys], number="_place", totals={"_size": F.lit(1)}
     )
     quota = F.floor(F.col("_size") * test_share + 0.5)
     split = F.when(F.col("_place") <= quota, "test").otherwise("train")

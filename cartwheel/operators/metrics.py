@@ -25,9 +25,9 @@ def score_histogram(scored: DataFrame, label: str = "label", score: str = "score
     return written(hist, "scores")
 
 
-def roc_auc_of(hist: DataFrame, row_floor: int | None = None) -> DataFrame:
+def roc_auc_of(hist: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
-    curve = running(hist, [], ["score"], sums={"_neg": "neg"}, row_floor=row_floor)
+    curve = running(hist, [], ["score"], sums={"_neg": "neg"})
     below = F.col("_neg") - F.col("neg")
     # Decimal sum: a double would depend on the order of the additions.
     pairs = F.sum((F.col("pos") * (2 * below + F.col("neg"))).cast("decimal(38,0)"))
@@ -37,14 +37,14 @@ def roc_auc_of(hist: DataFrame, row_floor: int | None = None) -> DataFrame:
     return curve.agg(rounded(area, 6).alias("auc"))
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", row_floor: int | None = None) -> DataFrame:
-    return roc_auc_of(score_histogram(scored, label, score), row_floor)
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    return roc_auc_of(score_histogram(scored, label, score))
 
 
-def pr_auc_of(hist: DataFrame, row_floor: int | None = None) -> DataFrame:
+def pr_auc_of(hist: DataFrame) -> DataFrame:
     """Trapezoids under the precision-recall curve, starting at (0, 1)."""
     falling = hist.withColumn("_falling", -F.col("score"))
-    curve = running(falling, [], ["_falling"], sums={"_tp": "pos", "_fp": "neg"}, row_floor=row_floor)
+    curve = running(falling, [], ["_falling"], sums={"_tp": "pos", "_fp": "neg"})
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("_tp", "_fp", "pos", "neg"))
     before_tp, before = tp - pos, (tp - pos) + (fp - neg)
     precision = tp / (tp + fp)
@@ -53,8 +53,8 @@ def pr_auc_of(hist: DataFrame, row_floor: int | None = None) -> DataFrame:
     return curve.agg(rounded(F.try_divide(area, F.sum("pos").cast("double")), 6).alias("pr_auc"))
 
 
-def pr_auc(scored: DataFrame, label: str = "label", score: str = "score", row_floor: int | None = None) -> DataFrame:
-    return pr_auc_of(score_histogram(scored, label, score), row_floor)
+def pr_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    return pr_auc_of(score_histogram(scored, label, score))
 
 
 def _f1(precision: Column, recall: Column, digits: int = 6) -> Column:
@@ -154,13 +154,15 @@ def per_user_ranking(
 
 
 def hit_rates(recommendations: DataFrame, targets: DataFrame, k_values: Sequence[int] = K_VALUES, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Share of sequences whose target is among the first K products of their list."""
+    """Share of sequences whose target is among the first K products of their list.
+
+    Every target row is a sequence of its own, also where a user has the same
+    target twice; only a product that a list repeats counts once, at its best rank.
+    """
     keys = list(keys)
     aim = targets.select(*keys, F.col("target").alias("product_id"))
-    found = (
-        aim.join(recommendations.select(*keys, "product_id", "rank"), [*keys, "product_id"], "left")
-        .groupBy(*keys, "product_id").agg(F.min("rank").alias("rank"))
-    )
+    best = recommendations.groupBy(*keys, "product_id").agg(F.min("rank").alias("rank"))
+    found = aim.join(best, [*keys, "product_id"], "left")
     row = found.agg(
         long(F.count(F.lit(1))).alias("n_targets"),
         *[ratio(F.count_if(F.col("rank") <= k), F.count(F.lit(1)), 6).alias(f"hit_rate_{k}") for k in k_values],

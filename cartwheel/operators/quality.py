@@ -35,8 +35,8 @@ def orphan_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str |
     return child.select(key).where(F.col(key).isNotNull()).distinct().join(known, key, "left_anti")
 
 
-def orphan_count(child: DataFrame, parent: DataFrame, key: str, check: str) -> DataFrame:
-    return orphan_keys(child, parent, key).agg(long(F.count(F.lit(1))).alias("invalid_keys")).select(
+def orphan_count(child: DataFrame, parent: DataFrame, key: str, check: str, parent_key: str | None = None) -> DataFrame:
+    return orphan_keys(child, parent, key, parent_key).agg(long(F.count(F.lit(1))).alias("invalid_keys")).select(
         F.lit(check).alias("check_name"), "invalid_keys"
     )
 

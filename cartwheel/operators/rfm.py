@@ -77,13 +77,13 @@ def score_line_metrics(metrics: DataFrame, quantiles: int = 5, on_ties: str = "c
     return scored.withColumn("RFM_score", _joined_score())
 
 
-def score_order_metrics(metrics: DataFrame, quantiles: int = 5, row_floor: int | None = None) -> DataFrame:
+def score_order_metrics(metrics: DataFrame, quantiles: int = 5) -> DataFrame:
     """R from the first-come rank (equal-count bins), F and M from quantile edges.
 
     The per-user table is written first: the rank over all users takes several passes.
     """
     metrics = written(metrics, "order-metrics")
-    ranked = rank_first_score(metrics, "recency", "user_id", quantiles, "R_score", reverse=True, row_floor=row_floor)
+    ranked = rank_first_score(metrics, "recency", "user_id", quantiles, "R_score", reverse=True)
     scored = add_scores(ranked, quantiles, {"F_score": ("frequency", False), "M_score": ("monetary", False)})
     return scored.withColumn("RFM_score", _joined_score())
 
@@ -116,8 +116,8 @@ def segment_users(facts: DataFrame, quantiles: int = 5) -> DataFrame:
     return score_line_metrics(line_metrics(facts), quantiles).withColumn("Segment", standard_segment())
 
 
-def segment_users_by_orders(orders: DataFrame, lines: DataFrame, quantiles: int = 5, row_floor: int | None = None) -> DataFrame:
-    scored = score_order_metrics(order_metrics(orders, lines), quantiles, row_floor)
+def segment_users_by_orders(orders: DataFrame, lines: DataFrame, quantiles: int = 5) -> DataFrame:
+    scored = score_order_metrics(order_metrics(orders, lines), quantiles)
     return scored.withColumn("Segment", detailed_segment())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.functions.ordered import find_cuts, running, top_per_group
+from cartwheel.functions.ordered import running, top_per_group
 from cartwheel.functions.scalar import beside, long
 from cartwheel.operators.candidates import missing_from_top, popular_items
 from cartwheel.session import written
@@ -14,10 +14,10 @@ ORDER = ["order_number", "add_to_cart_order"]
 BLOCK = 4096
 
 
-def ordered_history(facts: DataFrame, row_floor: int | None = None) -> DataFrame:
+def ordered_history(facts: DataFrame) -> DataFrame:
     """Items with their position 1.. in the user's purchase history."""
     items = facts.select("user_id", *ORDER, "product_id")
-    return running(items, ["user_id"], ORDER, number="pos", row_floor=row_floor)
+    return running(items, ["user_id"], ORDER, number="pos")
 
 
 def vocabulary(lines: DataFrame, size: int | None = 10_000) -> DataFrame:
@@ -40,40 +40,27 @@ def left_pad(items: Column, length: int) -> Column:
 
 
 def next_item_windows(
-    facts: DataFrame, vocab: DataFrame, length: int = 20, row_floor: int | None = None, block: int = BLOCK
+    facts: DataFrame, vocab: DataFrame, length: int = 20, block: int = BLOCK
 ) -> DataFrame:
     """For every item after the first: the ``length`` items before it, and itself.
 
-    Users of normal size take one window. If some history is too long for one
-    task, histories are numbered first and cut into blocks of ``block`` positions;
-    a block also gets the ``length`` items before it, so every list is whole.
+    Histories are numbered and cut into blocks of ``block`` positions, so that no
+    history is too long for one task; a block also gets the ``length`` items
+    before it, so every list is whole.
     """
-    items = facts.select("user_id", *ORDER, "product_id")
-    cuts = find_cuts(items, ["user_id"], ORDER, row_floor)
-    if cuts is None:
-        user = Window.partitionBy("user_id").orderBy(*ORDER)
-        coded = encode(items, vocab)
-        rows = coded.select(
-            "user_id",
-            F.row_number().over(user).alias("pos"),
-            F.collect_list("idx").over(user.rowsBetween(-length, -1)).alias("_before"),
-            F.col("idx").alias("target"),
-        )
-    else:
-        numbered = running(items, ["user_id"], ORDER, number="pos", cuts=cuts)
-        coded = encode(numbered, vocab)
-        own = F.floor((F.col("pos") - 1) / block)
-        following = F.floor((F.col("pos") - 1 + length) / block)
-        spread = coded.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, following)))
-        within = Window.partitionBy("user_id", "_block").orderBy("pos")
-        rows = (
-            spread.select(
-                "user_id", "pos", "_own", "_block",
-                F.collect_list("idx").over(within.rowsBetween(-length, -1)).alias("_before"),
-                F.col("idx").alias("target"),
-            )
-            .where(F.col("_own") == F.col("_block"))
-        )
+    coded = encode(ordered_history(facts), vocab)
+    own = F.floor((F.col("pos") - 1) / block)
+    following = F.floor((F.col("pos") - 1 + length) / block)
+    spread = coded.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, following)))
+    within = Window.partitionBy("user_id", "_block").orderBy("pos")
+    rows = spread.select(
+        "user_id",
+        "pos",
+        "_own",
+        "_block",
+        F.collect_list("idx").over(within.rowsBetween(-length, -1)).alias("_before"),
+        F.col("idx").alias("target"),
+    ).where(F.col("_own") == F.col("_block"))
     return rows.where(F.col("pos") > 1).select(
         "user_id",
         (F.col("pos") - 1).cast("int").alias("pos"),
@@ -134,10 +121,10 @@ def metadata(sequences: DataFrame, vocab: DataFrame, length: int = 20) -> DataFr
     return size.transform(beside, counts).withColumn("max_sequence_length", F.lit(length))
 
 
-def transitions(facts: DataFrame, vocab: DataFrame, row_floor: int | None = None) -> DataFrame:
+def transitions(facts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Item -> next item counts and probabilities over known items."""
     items = facts.select("user_id", *ORDER, "product_id")
-    stepped = running(items, ["user_id"], ORDER, prev={"_from": "product_id"}, row_floor=row_floor)
+    stepped = running(items, ["user_id"], ORDER, prev={"_from": "product_id"})
     moves = stepped.where(F.col("_from").isNotNull())
     counts = moves.groupBy("_from", "product_id").agg(long(F.count(F.lit(1))).alias("n_moves"))
     known = counts.join(vocab.select("product_id"), "product_id", "left_semi").join(
@@ -153,7 +140,7 @@ def transitions(facts: DataFrame, vocab: DataFrame, row_floor: int | None = None
 
 
 def next_item_scores(
-    facts: DataFrame, vocab: DataFrame, users: DataFrame, k: int = 10, back_off: float = 0.4, row_floor: int | None = None
+    facts: DataFrame, vocab: DataFrame, users: DataFrame, k: int = 10, back_off: float = 0.4
 ) -> DataFrame:
     """Top ``k`` next products per user from the last item bought.
 
@@ -161,7 +148,7 @@ def next_item_scores(
     lines where the step was never seen. The k best successors and the k most
     popular non-successors of every item are enough for the k best overall.
     """
-    step = written(transitions(facts, vocab, row_floor), "transitions")
+    step = written(transitions(facts, vocab), "transitions")
     known = facts.join(vocab.select("product_id"), "product_id", "left_semi")
     ranked = written(popular_items(known), "ranked")
     all_lines = ranked.agg(F.sum("popularity_score").alias("_all"))
@@ -178,9 +165,19 @@ def next_item_scores(
     ).select("user_id", F.col("product_id").alias("prev_product_id"))
     origins = vocab.select(F.col("product_id").alias("prev_product_id"))
     unseen = missing_from_top(
-        origins, step.select("prev_product_id", "product_id"), ranked, "prev_product_id", k, row_floor
+        origins, step.select("prev_product_id", "product_id"), ranked, "prev_product_id", k
     ).join(share, "product_id").select("prev_product_id", "product_id", "score")
     per_item = top_per_group(
         seen.unionByName(unseen), ["prev_product_id"], [F.desc("score"), "product_id"], k
     )
-    return last.join(per_item, "prev_product_id").select("user_id", "product_id", "score", "rank")
+    known_users = last.join(per_item, "prev_product_id").select("user_id", "product_id", "score", "rank")
+    # Who has bought nothing known gets the most popular products: k rows, packed into one.
+    first = share.orderBy(F.desc("score"), "product_id").limit(k)
+    packed = first.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "product_id"))).alias("_first"))
+    others = users.join(last, "user_id", "left_anti").transform(beside, packed)
+    listed = others.select("user_id", F.posexplode("_first").alias("_at", "_item"))
+    return known_users.unionByName(
+        listed.select(
+            "user_id", F.col("_item.product_id").alias("product_id"), (-F.col("_item.s")).alias("score"), (F.col("_at") + 1).alias("rank")
+        )
+    )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalar import beside, distinct_small, fill_numeric, long, ratio, rounded, std, zero
+from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, rounded, std, zero
 from cartwheel.operators.facts import with_products
 from cartwheel.operators.pair_features import cart_std, mean
 
@@ -114,10 +114,10 @@ def temporal(orders: DataFrame) -> DataFrame:
         long(F.max("order_number")).alias("user_total_orders"),
         rounded(F.avg("order_dow"), 2).alias("user_avg_dow"),
         std("order_dow", 2).alias("user_std_dow"),
-        distinct_small("order_dow").alias("user_unique_dow"),
+        F.count_distinct("order_dow").alias("user_unique_dow"),
         rounded(F.avg("order_hour_of_day"), 2).alias("user_avg_hour"),
         std("order_hour_of_day", 2).alias("user_std_hour"),
-        distinct_small("order_hour_of_day").alias("user_unique_hours"),
+        F.count_distinct("order_hour_of_day").alias("user_unique_hours"),
         zero(rounded(F.avg(gap), 2)).alias("user_avg_days_between_orders"),
         std(gap, 2).alias("user_std_days_between_orders"),
         zero(F.min(gap)).alias("user_min_days_between_orders"),

@@ -2,20 +2,18 @@
 
 Intermediate results that several passes read are written to the folder the
 cluster names in ``spark.checkpoint.dir``: a lost executor then only costs its
-running tasks. Only a local session without that setting gets a folder of its
-own.
+running tasks. Where it is unset, a local session uses a folder in its
+warehouse. What an application has written goes when its JVM ends.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+_MARKED: set[str] = set()
 _STAGED: dict[tuple, tuple[str, object]] = {}
 
 
@@ -25,15 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="cartwheel-")
-    return _LOCAL_FOLDERS[app].name
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Folder of this application's steps, marked to be deleted with the JVM."""
+    folder = f"{shared_folder(spark)}/cartwheel/{spark.sparkContext.applicationId}"
+    if folder not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(folder)
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/cartwheel/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -44,25 +50,11 @@ def written(df: DataFrame, label: str = "step", partition_by: tuple[str, ...] =
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _fingerprint(sources: list[DataFrame]) -> tuple:
-    marks = []
-    for source in sources:
-        for name in sorted(source.inputFiles()):
-            local = name.removeprefix("file://")
-            stat = os.stat(local) if os.path.exists(local) else None
-            marks.append((name, stat and stat.st_mtime_ns, stat and stat.st_size))
-    return tuple(marks)
-
-
 def staged(
-    spark: SparkSession,
-    key: tuple,
-    sources: list[DataFrame],
-    build: Callable[[], DataFrame],
-    partition_by: tuple[str, ...] = (),
+    spark: SparkSession, key: tuple, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``written`` once per application and state of the source files."""
-    full = (spark.sparkContext.applicationId, *key, _fingerprint(sources))
+    """``written`` once per application and key; the key names the sources and their version."""
+    full = (spark.sparkContext.applicationId, *key)
     if full not in _STAGED:
         df = build()
         path = new_path(spark, str(key[0]))

@@ -14,7 +14,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.functions import ordered
 from cartwheel.functions.ordered import running
 from cartwheel.operators.pair_features import pair_sums
 from cartwheel.session import staged
@@ -70,11 +69,10 @@ def facts_from(raw_lines: DataFrame, orders: DataFrame, n_products: int | None)
         F.col("l_linenumber").alias("ln"),
     )
     lines = raw.groupBy("order_id", "product_id").agg(F.min("ln").alias("ln"))
-    carts = running(
-        lines, ["order_id"], ["ln", "product_id"], number="add_to_cart_order", probe=raw
-    ).drop("ln")
+    # An order has as many lines as someone put into a basket.
+    carts = running(lines, ["order_id"], ["ln", "product_id"], number="add_to_cart_order", bounded=True).drop("ln")
     placed = carts.join(orders, "order_id")
-    return _with_reorders(placed, orders).select(
+    return _with_reorders(placed).select(
         *ORDER_COLUMNS[:2],
         *ORDER_COLUMNS[3:],
         "product_id",
@@ -84,19 +82,13 @@ def facts_from(raw_lines: DataFrame, orders: DataFrame, n_products: int | None)
     )
 
 
-def _with_reorders(placed: DataFrame, orders: DataFrame) -> DataFrame:
+def _with_reorders(placed: DataFrame) -> DataFrame:
     """Adds whether the user had the product in an earlier order.
 
-    A (user, product) group has at most one row per order of the user. If every
-    user's orders fit one task, one window does it. Otherwise the first order is
-    aggregated and joined back: map-side combine spreads the user out, and AQE
-    splits the join.
+    The first order of each (user, product) is aggregated and joined back:
+    map-side combine spreads a hot user out, and AQE splits the join.
     """
     pair = ["user_id", "product_id"]
-    most = orders.agg(F.max("order_number")).first()[0] or 0
-    if most <= ordered.ROW_FLOOR:
-        numbered = running(placed, pair, ["order_number"], number="_place", bounded=True)
-        return numbered.withColumn("_again", F.col("_place") > 1)
     first = placed.groupBy(*pair).agg(F.min("order_number").alias("_first"))
     return placed.join(first, pair).withColumn("_again", F.col("order_number") > F.col("_first"))
 
@@ -111,9 +103,10 @@ def catalogue_from(part: DataFrame, n_products: int | None) -> DataFrame:
         F.col("p_type").alias("department"),
     )
     for name in ("aisle", "department"):
-        names = base.select(name).distinct()
-        ids = running(names, [], [name], number=f"{name}_id")
-        base = base.join(ids, name).withColumn(f"{name}_id", F.col(f"{name}_id").cast("int"))
+        names = base.where(F.col(name).isNotNull()).select(name).distinct()
+        ids = running(names, [], [name], number=f"{name}_id", bounded=True)
+        # A product without a brand or type stays, without that id.
+        base = base.join(ids, name, "left").withColumn(f"{name}_id", F.col(f"{name}_id").cast("int"))
     return base
 
 
@@ -123,7 +116,13 @@ class Star:
 
     spark: SparkSession
     folder: str
-    n_products: int | None = 100
+    n_products: int | None = None
+    version: str = ""
+
+    @property
+    def source(self) -> tuple:
+        """Names what staged tables are made of; a new version after the source files have changed."""
+        return self.folder, self.version, self.n_products
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -131,15 +130,14 @@ class Star:
     @cached_property
     def orders(self) -> DataFrame:
         raw = self.raw("orders")
-        return staged(self.spark, ("orders", self.folder), [raw], lambda: orders_from(raw))
+        return staged(self.spark, ("orders", *self.source), lambda: orders_from(raw))
 
     @cached_property
     def facts(self) -> DataFrame:
         raw = self.raw("lineitem")
         return staged(
             self.spark,
-            ("facts", self.folder, self.n_products),
-            [raw, self.raw("orders")],
+            ("facts", *self.source),
             lambda: facts_from(raw, self.orders, self.n_products),
             partition_by=("eval_set",),
         )
@@ -149,8 +147,7 @@ class Star:
         sets = eval_sets or ("prior", "train")
         return staged(
             self.spark,
-            ("pairs", self.folder, self.n_products, sets),
-            [self.raw("lineitem"), self.raw("orders")],
+            ("pairs", *self.source, sets),
             lambda: pair_sums(self.lines(*sets)),
         )
 
@@ -159,8 +156,7 @@ class Star:
         raw = self.raw("part")
         return staged(
             self.spark,
-            ("catalogue", self.folder, self.n_products),
-            [raw],
+            ("catalogue", *self.source),
             lambda: catalogue_from(raw, self.n_products),
         )
 

@@ -88,13 +88,11 @@ def scored(s) -> DataFrame:
             ratio_of("times_bought", "_orders", 6).alias("habit"),
         )
 
-    return staged(s.spark, ("scored", s.folder, s.n_products), [s.raw("lineitem"), s.raw("orders")], build)
+    return staged(s.spark, ("scored", *s.source), build)
 
 
 def matrix(s) -> DataFrame:
-    return staged(
-        s.spark, ("matrix", s.folder, s.n_products), [s.raw("lineitem"), s.raw("orders")], lambda: training.matrix(s)
-    )
+    return staged(s.spark, ("matrix", *s.source), lambda: training.matrix(s))
 
 
 @query("c1_target_users", "SELECT user_id FROM targets")

@@ -462,13 +462,12 @@ CROSS_FROM = "FROM x4 x LEFT JOIN user_all u USING (user_id) LEFT JOIN item_all
 
 def _pairs_wide(s):
     """The user and item tables are saved first, so that Spark joins tables of known size."""
-    sources = [s.raw("lineitem"), s.raw("orders"), s.raw("part")]
     users = staged(
-        s.spark, ("user_features", s.folder, s.n_products), sources,
+        s.spark, ("user_features", *s.source),
         lambda: user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue),
     )
     items = staged(
-        s.spark, ("item_features", s.folder, s.n_products), sources,
+        s.spark, ("item_features", *s.source),
         lambda: item_features.build(s.lines(), s.pairs(), s.catalogue),
     )
     return pair_features.build(s.orders, s.pairs(), users, items)

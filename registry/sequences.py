@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartwheel.config import Params
 from cartwheel.functions.scalar import rounded
 from cartwheel.operators import candidates, sequences
 from registry.base import fragment, query, r
 from registry.candidates import scored
 
-VOCABULARY = 1500  # smaller than the catalogue, so that some products are unknown
+VOCABULARY = Params().vocabulary
 
 
 def text(items: str = "seq") -> Column:
@@ -145,11 +146,12 @@ def _(s):
 @query(
     "q8_next_item_scores",
     f"""SELECT user_id, product_id, {r('score', 9)} AS score, rank::INTEGER AS rank FROM
-        (SELECT l.user_id, v.product_id, coalesce(s.probability, 0.4 * k.n / k.n_all) AS score,
-                row_number() OVER (PARTITION BY l.user_id
+        (SELECT a.user_id, v.product_id, coalesce(s.probability, 0.4 * k.n / k.n_all) AS score,
+                row_number() OVER (PARTITION BY a.user_id
                   ORDER BY coalesce(s.probability, 0.4 * k.n / k.n_all) DESC, v.product_id) AS rank
-         FROM (SELECT user_id, product_id AS prev_product_id FROM walk WHERE idx > 0
-               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) = 1) l
+         FROM (SELECT DISTINCT user_id FROM ord) a
+         LEFT JOIN (SELECT user_id, product_id AS prev_product_id FROM walk WHERE idx > 0
+               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) = 1) l ON l.user_id = a.user_id
          CROSS JOIN vocab v
          JOIN (SELECT product_id, count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS n_all
                FROM walk WHERE idx > 0 GROUP BY product_id) k ON k.product_id = v.product_id

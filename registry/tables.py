@@ -156,21 +156,29 @@ def _(s):
     """SELECT 'products.aisle_id' AS check_name, count(DISTINCT aisle_id) AS invalid_keys FROM prod
        WHERE aisle_id NOT IN (SELECT aisle_id FROM prod)
        UNION ALL SELECT 'products.department_id', count(DISTINCT department_id) FROM prod
-       WHERE department_id NOT IN (SELECT department_id FROM prod)""",
+       WHERE department_id NOT IN (SELECT department_id FROM prod)
+       UNION ALL SELECT 'lines.product', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+       UNION ALL SELECT 'orders.user', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def _(s):
-    return quality.foreign_key_report(s.products, s.aisles, s.departments)
+    """Also on the raw tables, where a key may really be missing."""
+    report = quality.foreign_key_report(s.products, s.aisles, s.departments)
+    lines = quality.orphan_count(s.raw("lineitem"), s.raw("part"), "l_partkey", "lines.product", "p_partkey")
+    return report.unionAll(lines).unionAll(
+        quality.orphan_count(s.raw("orders"), s.raw("customer"), "o_custkey", "orders.user", "c_custkey")
+    )
 
 
 @query(
     "v3_line_orders",
-    """SELECT 'prior_lines.order_id' AS check_name, count(DISTINCT order_id) AS invalid_keys FROM prior_lines
-       WHERE order_id NOT IN (SELECT order_id FROM ord)
+    """SELECT 'lines.order_id' AS check_name, count(DISTINCT l_orderkey) AS invalid_keys FROM lineitem
+       WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
        UNION ALL SELECT 'orders.without_lines', count(*) FROM ord
        WHERE order_id NOT IN (SELECT order_id FROM facts)""",
 )
 def _(s):
-    return quality.orphan_count(s.order_products("prior"), s.orders, "order_id", "prior_lines.order_id").unionAll(
+    raw = quality.orphan_count(s.raw("lineitem"), s.raw("orders"), "l_orderkey", "lines.order_id", "o_orderkey")
+    return raw.unionAll(
         quality.orphan_count(s.orders, s.facts, "order_id", "orders.without_lines")
     )
 

@@ -31,12 +31,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def small_cells(monkeypatch):
-    """Every group with a few rows counts as too big for one task."""
+    """Groups with a few rows lie in several cells."""
     from cartwheel.functions import ordered
 
-    monkeypatch.setattr(ordered, "ROW_FLOOR", 10)
-    monkeypatch.setattr(ordered, "STRIDE", 24)
-    monkeypatch.setattr(ordered, "FAN", 3)
+    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 40)
 
 
 def rows(df, *columns):

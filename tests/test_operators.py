@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import rules
 from cartwheel.functions.scalar import ratio, rounded
+from cartwheel.sources.retail import catalogue_from
 from cartwheel.operators import candidates, metrics, pair_features, quality, recommend, rfm, sequences, user_features
 from tests.conftest import rows
 
@@ -87,7 +88,7 @@ def test_windows_in_blocks_are_whole(spark, small_cells, block):
     rng = np.random.default_rng(5)
     lines = facts(spark, *[(u, n, c, int(rng.integers(1, 20))) for u in (1, 2) for n in range(1, 30) for c in range(1, u * 4)])
     vocab = sequences.vocabulary(lines, 15)
-    plain = sequences.next_item_windows(lines, vocab, length=5, row_floor=10**9)
+    plain = sequences.next_item_windows(lines, vocab, length=5, block=10**6)
     cut = sequences.next_item_windows(lines, vocab, length=5, block=block)
     assert rows(plain, "user_id", "pos", "seq", "target") == rows(cut, "user_id", "pos", "seq", "target")
 
@@ -99,9 +100,7 @@ def test_decode_drops_padding(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("front", [3, 200_000])
-def test_missing_from_top_matches_brute_force(spark, monkeypatch, small_cells, seed, front):
-    monkeypatch.setattr(candidates, "FRONT", front)
+def test_missing_from_top_matches_brute_force(spark, small_cells, seed):
     rng = np.random.default_rng(seed)
     ranked = [(int(p), r) for r, p in enumerate(rng.permutation(30), 1)]
     owned = {(u, int(p)) for u in range(6) for p in rng.choice(30, rng.integers(0, 31) if u else 30, replace=False)}
@@ -230,3 +229,51 @@ def test_feature_groups_cover_all_users(spark):
     sums = pair_features.pair_sums(lines)
     got = user_features.build(orders, lines, sums, None, ["order_patterns", "product_patterns"])
     assert rows(got, "user_id", "total_orders", "unique_products") == [(1, 1, 1), (2, 1, None), (3, None, 1)]
+
+
+def test_a_repeated_target_is_a_sequence_of_its_own(spark):
+    recs = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 10)], "user_id long, rank int, product_id long")
+    targets = spark.createDataFrame([(1, 10), (1, 10), (1, 99)], "user_id long, target long")
+    got = metrics.hit_rates(recs, targets, (1, 5)).first()
+    assert (got.n_targets, got.hit_rate_1, got.hit_rate_5) == (3, 0.666667, 0.666667)
+
+
+def test_hours_above_62_are_told_apart(spark):
+    orders = spark.createDataFrame([(1, i, 3, h, 1.0) for i, h in enumerate((0, 64, 128))], "user_id long, order_number int, order_dow int, order_hour_of_day int, days_since_prior_order double")
+    assert user_features.temporal(orders).first().user_unique_hours == 3
+
+
+def test_users_without_known_items_get_popular_ones(spark):
+    lines = facts(spark, (1, 1, 1, 10), (1, 2, 1, 20), (2, 1, 1, 10), (3, 1, 1, 77))
+    vocab = spark.createDataFrame([(10, 1), (20, 2)], "product_id long, idx int")
+    users = spark.createDataFrame([(1,), (3,), (4,)], "user_id long")
+    got = sequences.next_item_scores(lines, vocab, users, k=2)
+    assert rows(got.select("user_id").distinct()) == [(1,), (3,), (4,)]
+    assert rows(got.where("user_id > 1"), "user_id", "product_id", "rank") == [(3, 10, 1), (3, 20, 2), (4, 10, 1), (4, 20, 2)]
+
+
+def test_unknown_products_are_coded_as_zero(spark):
+    lines = facts(spark, *[(1, 1, i, i * 10) for i in range(1, 5)])
+    vocab = spark.createDataFrame([(10, 1), (30, 2)], "product_id long, idx int")
+    got = {r.pos: (r.seq, r.target) for r in sequences.next_item_windows(lines, vocab, length=3).collect()}
+    assert got == {1: ([0, 0, 1], 0), 2: ([0, 1, 0], 2), 3: ([1, 0, 2], 0)}
+
+
+def test_orphans_are_counted_in_raw_tables(spark):
+    child = spark.createDataFrame([(1,), (2,), (2,), (None,)], "a long")
+    parent = spark.createDataFrame([(1,)], "b long")
+    assert tuple(quality.orphan_count(child, parent, "a", "check", "b").first()) == ("check", 1)
+
+
+def test_products_without_brand_stay(spark):
+    part = spark.createDataFrame([(1, "x", "b2", "t"), (2, "y", None, "t"), (3, "z", "b1", None)], "p_partkey long, p_name string, p_brand string, p_type string")
+    got = catalogue_from(part, None)
+    assert rows(got, "product_id", "aisle_id", "department_id") == [(2, 2, 1), (3, None, 1), (4, 1, None)]
+
+
+def test_what_was_written_is_marked_for_deletion(spark):
+    from cartwheel import session
+
+    session.written(spark.range(3))
+    folder = session.application_folder(spark)
+    assert folder in session._MARKED and folder.startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -1,12 +1,15 @@
-"""Ordered group calculations against pandas, with groups cut into cells."""
+"""Ordered group calculations against pandas, with one plan for groups of all sizes."""
+
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions import ordered
-from cartwheel.functions.ordered import find_cuts, running, top_per_group
+from cartwheel.functions.ordered import find_cuts, in_cells, running, top_per_group
 from tests.conftest import rows
 
 
@@ -35,49 +38,67 @@ def expected(frame, keys):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("cut", [False, True])
-def test_running_matches_pandas(skewed, keys, cut, monkeypatch):
+@pytest.mark.parametrize("per_partition", [1, 4, 40])
+def test_running_matches_pandas(skewed, keys, per_partition, monkeypatch):
     frame, df = skewed
-    if cut:
-        monkeypatch.setattr(ordered, "ROW_FLOOR", 10)
-        monkeypatch.setattr(ordered, "STRIDE", 16)
-        monkeypatch.setattr(ordered, "FAN", 4)
+    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", per_partition)
     out = running(df, keys, ["a", "b"], number="n", sums={"s": "v"}, totals={"t": "v"}, prev={"p": "b"})
     want, prev = expected(frame, keys)
     assert sorted(rows(out, "k", "a", "b", "n", "s", "t")) == want
     assert {r.b: r.p for r in out.select("b", "p").collect()} == prev
 
 
-def test_cuts_split_only_hot_keys(skewed):
-    _, df = skewed
-    cuts = find_cuts(df, ["k"], ["a", "b"], row_floor=10, sample_rows=1500, stride=64)
-    assert [r.k for r in cuts.collect()] == [0]
+def test_null_keys_are_a_group(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 3 == 0, F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    got = running(df, ["k"], ["a"], number="n", totals={"t": F.lit(1)})
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("a")).cast("long"))
+    assert rows(got, "k", "a", "n") == rows(want, "k", "a", "n")
 
 
-def test_cells_are_even(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "FAN", 4)
+def test_a_hot_key_is_dealt_to_many_cells(skewed):
     _, df = skewed
-    cuts = find_cuts(df, ["k"], ["a", "b"], row_floor=10, stride=64)
-    cells = (
-        df.join(F.broadcast(cuts), "k").withColumn("cell", ordered.cell_of(["a", "b"])).groupBy("cell").count()
+    sizes = in_cells(df, ["k"], ["a", "b"]).where("k = 0").groupBy("_cell").count().collect()
+    assert len(sizes) >= 5 and max(r["count"] for r in sizes) < 0.5 * df.where("k = 0").count()
+    split = {r.k for r in in_cells(df, ["k"], ["a", "b"]).where("_split").select("k").distinct().collect()}
+    assert 0 in split and len(split) <= ordered.cell_count(df)
+
+
+def test_copies_do_not_swell_the_cuts(spark):
+    df = spark.range(3000).select(
+        F.lit(1).alias("k"), F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("a")
     )
-    sizes = [r["count"] for r in cells.collect()]
-    assert len(sizes) > 10 and max(sizes) <= 64
+    cuts = find_cuts(df, ["k", "a"], 20).first()["_cuts"]
+    assert 0 < len(cuts) <= 20 and len({tuple(c) for c in cuts}) == len(cuts)
 
 
-def test_no_cuts_below_the_floor(skewed):
-    _, df = skewed
-    assert find_cuts(df, ["k"], ["a", "b"]) is None
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "k long, a long")
+    assert running(df, ["k"], ["a"], number="n").count() == 0
 
 
-def test_copies_do_not_swell_the_sample(spark):
-    """A third of all rows are copies of one row: the sample holds it once."""
-    df = spark.range(3000).select(
-        F.lit(1).alias("k"), F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("a")
+def test_a_third_in_one_key_costs_little_more_than_a_window(spark):
+    df = spark.range(1_000_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 100_000).alias("k"), F.col("id").alias("a")
     )
-    cuts = find_cuts(df, ["k"], ["a"], row_floor=10, stride=100)
-    runs = cuts.first()["_cuts"]
-    assert sum(len(run) for run in runs) == 20
+
+    def seconds(make):
+        start = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    window = Window.partitionBy("k").orderBy("a")
+    plain = min(seconds(lambda: df.withColumn("n", F.row_number().over(window))) for _ in range(2))
+    cells = min(seconds(lambda: running(df, ["k"], ["a"], number="n")) for _ in range(2))
+    print(f"window {plain:.1f} s, cells {cells:.1f} s")
+    assert cells < 4 * plain + 5
+
+
+def test_no_plan_pairs_all_rows(skewed):
+    _, df = skewed
+    for keys in ([], ["k"]):
+        out = running(df, keys, ["a", "b"], number="n", prev={"p": "b"})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_top_per_group(skewed):

@@ -54,8 +54,7 @@ def test_rank_first_of_one(spark):
 @pytest.mark.parametrize("cut", [False, True])
 def test_rank_first_matches_qcut_of_ranks(spark, cut, monkeypatch):
     if cut:
-        monkeypatch.setattr(ordered, "ROW_FLOOR", 10)
-        monkeypatch.setattr(ordered, "STRIDE", 20)
+        monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 40)
     x = np.random.default_rng(1).integers(0, 6, 333).astype(float)
     want = (pd.qcut(pd.Series(x).rank(method="first"), 5, labels=False) + 1).tolist()
     assert by_id(rank_first_score(frame(spark, x.tolist()), "x", "id", 5, "s"), "s") == want
