@@ -10,9 +10,13 @@ from cartwheel.session import written
 MAX_ROUNDS = 100
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
+def _hung(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on none."""
+    marks = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("top")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("top"))
+    )
+    per_node = marks.groupBy("u").agg(F.sum("down").alias("down"), F.max("top").alias("top"))
+    return per_node.where("down > 1 OR (down > 0 AND top > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,12 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current = written(down.distinct(), "edges")
-    before: tuple = ()
     for _ in range(MAX_ROUNDS):
-        state = _state(current)
-        if state == before:
+        if _hung(current):
             break
-        before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -1,7 +1,7 @@
 """Near duplicates by a multi-index Hamming join of MinHash signatures.
 
 A text's set holds the hashes of its distinct word shingles. Equal sets are one
-class. A class has a signature of ``k`` MinHash values of 16 bits. Two sets of
+class. A class has a signature of 64 MinHash values of 16 bits. Two sets of
 the wanted likeness differ in more than ``radius`` positions with a probability of at
 most ``loss``; all pairs up to ``radius`` are guaranteed to be found:
 
@@ -46,6 +46,7 @@ WORD_MEMO = 1 << 18
 BLOCK_TEXTS = 256
 BLOCK_SHINGLES = 1 << 19
 _SLICE = 2048
+K, BITS = 64, 16
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,7 @@ class Rule:
     words: int = 5
     num: int = 80
     den: int = 100
-    k: int = 64
-    loss: float = 1e-7
+    loss: float = 1e-6
 
     @property
     def radius(self) -> int:
@@ -64,12 +64,12 @@ class Rule:
         tail, r = 1.0, -1
         while tail > self.loss:
             r += 1
-            tail -= comb(self.k, r) * p**r * (1 - p) ** (self.k - r)
+            tail -= comb(K, r) * p**r * (1 - p) ** (K - r)
         return r
 
     @property
     def chunks(self) -> list[np.ndarray]:
-        return np.array_split(np.arange(self.k), self.radius // 2 + 1)
+        return np.array_split(np.arange(K), self.radius // 2 + 1)
 
 
 # ---- sets and signatures, inside tasks
@@ -107,34 +107,41 @@ def class_of(own: np.ndarray) -> int | None:
     return None if not len(own) else xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
-    grid = _finished(np.arange(1, 2 * k + 1, dtype=_U) * _STEP)
-    return grid[:k] | _U(1), grid[k:]
+def _seeds() -> tuple[np.ndarray, np.ndarray]:
+    grid = _finished(np.arange(1, 2 * K + 1, dtype=_U) * _STEP)
+    return grid[:K] | _U(1), grid[K:]
 
 
 def signature(own: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """``k`` values of 16 bits."""
+    """The values as bit planes: one long for each of the 16 bits, with a bit per position."""
     lowest = np.full(len(factors), _U(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(own), 4096):
         np.minimum(lowest, (own[at : at + 4096, None] * factors + shifts).min(axis=0), out=lowest)
-    return (_finished(lowest) & _U(0xFFFF)).astype("<u2")
+    bits = np.unpackbits((_finished(lowest) & _U(0xFFFF)).astype("<u2").view(np.uint8), bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.reshape(K, BITS).T, axis=1, bitorder="little")).view("<i8").ravel()
+
+
+def values_of(planes: np.ndarray) -> np.ndarray:
+    """The 16-bit values of signatures, one row each."""
+    bits = np.unpackbits(planes.astype("<i8").view(np.uint8), bitorder="little").reshape(-1, BITS, K)
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u2").reshape(-1, K)
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, size of the set, class and signature (16-bit values packed in longs)."""
-    words, k = rule.words, rule.k
+    """doc_id, size of the set, class and signature."""
+    words = rule.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, shifts = _seeds(k)
+        factors, shifts = _seeds()
         memo = _Hashes()
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for doc_id, text in texts(batch):
                 own = shingle_set(text, words, memo)
-                sig = signature(own, factors, shifts).view("<i8") if len(own) else None
+                sig = signature(own, factors, shifts) if len(own) else None
                 for column, value in zip(rows, (doc_id, len(own), class_of(own), sig), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGNED.types, strict=True)], schema=_SIGNED)
@@ -144,7 +151,7 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def keyed(classes: DataFrame, rule: Rule) -> DataFrame:
     """(key, cls): for each chunk and position of it, a hash of the chunk's other values."""
-    chunks, k = rule.chunks, rule.k
+    chunks = rule.chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
@@ -152,9 +159,9 @@ def keyed(classes: DataFrame, rule: Rule) -> DataFrame:
             if not batch.num_rows:
                 continue
             cls = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).view("<u2").reshape(-1, k).astype(_U)
+            planes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS)
             for at in range(0, len(cls), 2048):
-                part, keys = values[at : at + 2048], []
+                part, keys = values_of(planes[at : at + 2048]).astype(_U), []
                 for number, chunk in enumerate(chunks):
                     for wild in chunk:
                         key = np.full(len(part), _U((number << 32) + int(wild) + 1))
@@ -171,22 +178,23 @@ def keyed(classes: DataFrame, rule: Rule) -> DataFrame:
 # ---- candidates
 
 
-def distance(a: Column, b: Column, k: int) -> Column:
-    """Number of 16-bit values that differ."""
-    total = F.lit(0)
-    for i in range(k // 4):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        # The lowest bit of each value collects its 16 bits.
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+def distance(a: Column, b: Column) -> Column:
+    """Number of positions that differ in some bit plane."""
+    differs = F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))
+    for plane in range(1, BITS):
+        differs = differs.bitwiseOR(F.get(a, F.lit(plane)).bitwiseXOR(F.get(b, F.lit(plane))))
+    return F.bit_count(differs)
 
 
 def _alike(rule: Rule) -> Column:
     """Of a pair with columns n_a, n_b, sig_a, sig_b: sizes and signatures allow a link."""
     sizes = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
-    return sizes & (distance(F.col("sig_a"), F.col("sig_b"), rule.k) <= rule.radius)
+    return sizes & (distance(F.col("sig_a"), F.col("sig_b")) <= rule.radius)
+
+
+def _step(n: Column, rule: Rule) -> Column:
+    """Sets that can be linked have sizes in the same or in neighbouring steps."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(rule.den / rule.num)))).cast("int")
 
 
 def families(classes: DataFrame, rule: Rule) -> DataFrame:
@@ -218,11 +226,12 @@ def families(classes: DataFrame, rule: Rule) -> DataFrame:
     mixed = written(named.join(mixed, "key"), "mixed-keys")
     few = mixed.where("root <> most").select("key", F.col("cls").alias("cls_a"), F.col("root").alias("root_a"))
     all_of = mixed.select("key", F.col("cls").alias("cls_b"), F.col("root").alias("root_b"), F.col("most").alias("most_b"))
-    few = few.join(sides[0], "cls_a")
-    all_of = all_of.join(sides[1], "cls_b")
+    step_a, step_b = _step(F.col("n_a"), rule), _step(F.col("n_b"), rule)
+    few = few.join(sides[0], "cls_a").withColumn("step", F.explode(F.array(step_a - 1, step_a, step_a + 1)))
+    all_of = all_of.join(sides[1], "cls_b").withColumn("step", step_b)
     # A pair outside of the largest family comes once, by its order.
     once = F.expr("root_a <> root_b AND (root_b = most_b OR cls_a < cls_b)")
-    across = few.join(all_of, "key").where(once & _alike(rule)).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"))
+    across = few.join(all_of, ["key", "step"]).where(once & _alike(rule)).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"))
     return components(stars.unionByName(across.distinct()))
 
 
@@ -275,8 +284,7 @@ def _unit_of(members: DataFrame, rule: Rule, block_texts: int, block_shingles: i
     Sets of likeness ``num / den`` have sizes in the same or in neighbouring steps of a
     scale by that ratio; a large family is cut into blocks inside of each step.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num)))).cast("int")
-    members = members.withColumn("step", step)
+    members = members.withColumn("step", _step(F.col("n"), rule))
     whole = members.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     small = (F.col("texts") <= block_texts) & (F.col("shingles") <= block_shingles)
     spark = members.sparkSession
