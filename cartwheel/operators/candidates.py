@@ -160,6 +160,20 @@ def encode_labels(df: DataFrame, column: str) -> DataFrame:
     return dense_codes(filled, column, f"{column}_encoded")
 
 
+def with_class_code(dimension: DataFrame, column: str) -> DataFrame:
+    """Adds ``<column>_encoded`` to a user or item table: 1.. by the sorted classes, 0 for missing.
+
+    The codes are joined to the dimension before it meets the matrix; rows of the
+    matrix without a user or item get 0 with their other numbers.
+    """
+    name = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_CLASS))
+    filled = dimension.withColumn(column, name)
+    classes = filled.where(F.col(column) != MISSING_CLASS).select(column).distinct()
+    codes = running(classes, [], [column], number="_code", bounded=True).withColumnRenamed(column, "_class")
+    coded = filled.join(codes, F.col(column) == F.col("_class"), "left").drop("_class")
+    return coded.withColumn(f"{column}_encoded", F.coalesce("_code", F.lit(0)).cast("int")).drop("_code")
+
+
 def encoder_classes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, class, code) of every encoded category."""
     out = None
@@ -170,6 +184,7 @@ def encoder_classes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+MISSING_CLASS = "0"
 NOT_FEATURES = ("user_id", "product_id", "label", "split", "weight", "product_name", "Segment", "department", "aisle")
 
 

@@ -24,7 +24,8 @@ def pair_sums(facts: DataFrame) -> DataFrame:
     """
     cart = long("add_to_cart_order")
     return facts.groupBy(*PAIR).agg(
-        long(F.count_distinct("order_id")).alias("n_orders"),
+        # Facts have one row per order and product: rows are orders, too.
+        long(F.count(F.lit(1))).alias("n_orders"),
         long(F.count(F.lit(1))).alias("n_lines"),
         long(F.count("reordered")).alias("n_flags"),
         long(F.sum("reordered")).alias("n_again"),
@@ -35,6 +36,7 @@ def pair_sums(facts: DataFrame) -> DataFrame:
         F.max("add_to_cart_order").alias("cart_max"),
         F.min("order_number").alias("first_order_number"),
         F.max("order_number").alias("last_order_number"),
+        F.max_by("add_to_cart_order", "order_number").alias("last_cart"),
         F.sum(long("order_number")).alias("number_sum"),
         F.sum("days_since_prior_order").alias("gap_sum"),
         long(F.count("days_since_prior_order")).alias("n_gaps"),
@@ -82,7 +84,7 @@ def with_recency(interaction: DataFrame, orders: DataFrame, digits: int = 6) ->
     """Distance to the user's newest order, and the share of the user's orders."""
     users = orders.groupBy("user_id").agg(
         F.max("order_number").alias("user_max_order"),
-        long(F.count_distinct("order_id")).alias("user_total_orders"),
+        long(F.count(F.lit(1))).alias("user_total_orders"),
     )
     since = F.col("user_max_order") - F.col("last_order_number")
     return (

@@ -27,6 +27,7 @@ INSIGHTS = {
 INSIGHT_DEFAULT = ("Regular Customer", "Basic shopping patterns", "Diverse products", "Weekends", "General care")
 INSIGHT_FIELDS = ("customer_type", "behavior", "preference", "timing", "strategy")
 
+# Campaign attributes per display segment.
 STRATEGIES = {
     "🏆 Champions": ("VIP newsletter with exclusive products", "Early access deals, premium bundles", "Weekends (peak shopping time)", "Personal shopping assistant"),
     "💎 Loyal Customers": ("Loyalty rewards with top recommendations", "Member exclusive discounts", "Consistent weekly patterns", "Email + mobile app notifications"),
@@ -100,12 +101,12 @@ def fallback(users: DataFrame, popular: DataFrame, k: int) -> DataFrame:
 
 
 def recommend(
-    users: DataFrame, scores: DataFrame, popular: DataFrame, model: str = "ensemble", k: int = 10, max_k: int = 50
+    users: DataFrame, scores: DataFrame, popular: DataFrame, model: str = "ensemble", k: int = 10, max_k: int | None = None
 ) -> DataFrame:
     """Top-k lists of all requested users; users the model does not know, and
     every user of an unknown model, get the popular list."""
-    if not 1 <= k <= max_k:
-        raise ValueError(f"k must be between 1 and {max_k}")
+    if k < 1 or (max_k is not None and k > max_k):
+        raise ValueError(f"k must be between 1 and {max_k or 'any number'}")
     wanted = scores.join(users, "user_id", "left_semi")
     columns = ["user_id", "rank", "product_id", "score", "model"]
     if model == "ensemble":
@@ -118,14 +119,6 @@ def recommend(
     return served.unionByName(fallback(missed, popular, k).select(*columns))
 
 
-def check_batch(users: DataFrame, limit: int = 1000) -> DataFrame:
-    """Fails on more users than an interactive batch may ask for."""
-    asked = users.limit(limit + 1).count()
-    if asked > limit:
-        raise ValueError(f"at most {limit} users per batch")
-    return users
-
-
 def popular_products(items: DataFrame, n: int = 100, column: str = "total_orders") -> DataFrame:
     return items.orderBy(F.desc(column), "product_id").limit(n).select("product_id", column)
 

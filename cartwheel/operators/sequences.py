@@ -90,14 +90,15 @@ def decode(sequences: DataFrame, vocab: DataFrame) -> DataFrame:
     return places.where(F.col("idx") > 0).join(vocab, "idx").select("user_id", "place", "product_id")
 
 
-def pair_sequences(pairs: DataFrame, facts: DataFrame, vocab: DataFrame, length: int = 20) -> DataFrame:
+def pair_sequences(pairs: DataFrame, sums: DataFrame, vocab: DataFrame, length: int = 20) -> DataFrame:
     """Per (user, target): the user's last known products other than the target.
 
-    A history lists each product once, at its last purchase. Without the target,
+    ``sums`` are the pair sums of the history, which lists each product once, at
+    its last purchase. Without the target,
     ``length`` of the newest ``length + 1`` products remain: a list per user of
     fixed size holds all that any target needs.
     """
-    latest = facts.groupBy("user_id", "product_id").agg(F.max(F.struct(*ORDER)).alias("_at"))
+    latest = sums.select("user_id", "product_id", F.struct("last_order_number", "last_cart").alias("_at"))
     known = latest.join(vocab, "product_id")
     newest = top_per_group(known, ["user_id"], [F.desc("_at")], length + 1, "_age")
     lists = newest.groupBy("user_id").agg(

@@ -60,9 +60,11 @@ def matrix(star: Star, params: Params = Params()) -> DataFrame:
     labelled = labelled_candidates(star, params).labelled
     users, items, pairs = features(star, params)
     users, items = written(users, "user-features"), written(items, "item-features")
+    users = candidates.with_class_code(users, "Segment")
+    for column in ("department", "aisle"):
+        items = candidates.with_class_code(items, column)
     wide = candidates.training_matrix(labelled, users, items, pairs)
-    for column in ("Segment", "department", "aisle"):
-        wide = candidates.encode_labels(wide, column)
+    wide = wide.fillna(candidates.MISSING_CLASS, ["Segment", "department", "aisle"])
     return written(candidates.stratified_split(written(wide, "matrix"), params.test_share, params.seed), "split")
 
 

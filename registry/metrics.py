@@ -164,7 +164,11 @@ def _(s):
     return metrics.model_report(avg_scores(s), "average")
 
 
-@query("m10_saved_report")
+@query(
+    "m10_saved_report",
+    f"""SELECT model_name, total_samples, positive_samples, positive_rate, negative_samples, auc, accuracy, precision, recall, f1
+        FROM ({REPORT_SQL})""",
+)
 def _(s):
     """The nested form, read back from its JSON file."""
     path = new_path(s.spark, "report")

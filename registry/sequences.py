@@ -110,7 +110,7 @@ def _(s):
 )
 def _(s):
     pairs = scored(s).select("user_id", "product_id")
-    return sequences.pair_sequences(pairs, s.lines("prior"), vocab_of(s)).withColumn("seq", text())
+    return sequences.pair_sequences(pairs, s.pairs("prior"), vocab_of(s)).withColumn("seq", text())
 
 
 @query(

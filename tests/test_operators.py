@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartwheel.functions import rules
 from cartwheel.functions.scalar import ratio, rounded
 from cartwheel.sources.retail import catalogue_from
-from cartwheel.operators import candidates, metrics, pair_features, quality, recommend, rfm, sequences, user_features
+from cartwheel.operators import candidates, metrics, models, pair_features, quality, recommend, rfm, sequences, user_features
 from tests.conftest import rows
 
 
@@ -192,9 +192,9 @@ def test_fallback_scores_go_below_zero(spark):
 
 def test_top_k_is_limited(spark):
     with pytest.raises(ValueError):
-        recommend.recommend(spark.range(1).toDF("user_id"), long_scores(spark), None, k=51)
+        recommend.recommend(spark.range(1).toDF("user_id"), long_scores(spark), None, k=51, max_k=50)
     with pytest.raises(ValueError):
-        recommend.check_batch(spark.range(1001).toDF("user_id"))
+        recommend.recommend(spark.range(1).toDF("user_id"), long_scores(spark), None, k=0)
 
 
 def test_narrow_types(spark):
@@ -277,3 +277,26 @@ def test_what_was_written_is_marked_for_deletion(spark):
     session.written(spark.range(3))
     folder = session.application_folder(spark)
     assert folder in session._MARKED and folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def learnable(spark, n=600):
+    """Labels follow two of three inputs, with noise."""
+    rng = np.random.default_rng(3)
+    x = rng.random((n, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 * rng.standard_normal(n) > 0.8).astype(int)
+    data = [(i, i % 7, int(y[i]), *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(data, "user_id long, product_id long, label int, a double, b double, c double")
+    return df.where("user_id % 4 > 0"), df.where("user_id % 4 = 0")
+
+
+def test_models_rank_unseen_rows(spark):
+    train, held = learnable(spark)
+    boosted = models.boosted_trees(train, ["a", "b", "c"], iterations=12, depth=3)
+    forest = models.random_forest(train, ["a", "b", "c"], trees=10, depth=4)
+    stack = models.stack_logistic(train, ["a", "b"])
+    for model in (boosted, forest, stack):
+        assert metrics.roc_auc(models.predict(model, held)).first().auc > 0.85
+    kept, losses = models.kept_rounds(boosted, held, patience=3)
+    assert len(losses) == 12 and 1 <= kept <= 12 and losses[kept - 1] == min(losses[: kept + 3])
+    assert models.bounded_sample(train, 100).count() == 100
+    assert models.feature_importance(forest).first().feature == "a"
