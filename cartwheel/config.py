@@ -18,8 +18,6 @@ class Params:
     vocabulary: int = 10_000
     sequence_length: int = 20
     k_values: tuple[int, ...] = (5, 10, 20)
-    max_top_k: int = 50
-    max_batch: int = 1000
     history: str = "prior"
     user_feature_groups: tuple[str, ...] = (
         "order_patterns",

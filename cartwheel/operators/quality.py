@@ -131,40 +131,51 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def integrity_report(df: DataFrame, required: Sequence[str] = (), approximate: bool = False) -> DataFrame:
     """Per column: type, nulls, null share, distinct values; spread of numeric columns.
 
-    Distinct counts come from one narrow aggregate per column: several exact
-    distinct counts in a single aggregate would copy every row per column.
+    The plain figures of all columns come from one pass. Exact distinct counts
+    come from a second one: each row gives its (column, value) pairs, which are
+    made distinct where they are read and only then shuffled.
     """
-    basic = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        is_number = isinstance(f.dataType, _INTEGERS + _FLOATS)
-        number = c.cast("double") if is_number else F.lit(None).cast("double")
-        distinct = F.approx_count_distinct(c) if approximate else F.count_distinct(c)
-        report = df.select(f.name).agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.count(c).alias("_filled"),
-            long(distinct).alias("unique_count"),
-            F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("std"),
-            F.min(number).alias("min"),
-            F.max(number).alias("max"),
-        )
-        basic.append(
-            report.select(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.lit(int(f.name in required)).alias("is_required"),
-                long(F.col("_rows")).alias("n_rows"),
-                long(F.col("_rows") - F.col("_filled")).alias("null_count"),
-                (100.0 * ratio(F.col("_rows") - F.col("_filled"), "_rows")).alias("null_percentage"),
-                "unique_count",
-                "mean",
-                "std",
-                "min",
-                "max",
-            )
-        )
-    return reduce(DataFrame.unionAll, basic)
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGERS + _FLOATS)}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    row = [F.count(F.lit(1)).alias("_rows")]
+    for i, name in enumerate(types):
+        c = F.col(name)
+        number = c.cast("double") if name in numbers else F.lit(None).cast("double")
+        row += [
+            F.count(c).alias(f"_filled_{i}"),
+            F.approx_count_distinct(c).alias(f"_seen_{i}"),
+            F.avg(number).alias(f"_mean_{i}"),
+            F.stddev_samp(number).alias(f"_std_{i}"),
+            F.min(number).alias(f"_min_{i}"),
+            F.max(number).alias(f"_max_{i}"),
+        ]
+    if not approximate:
+        row = [c for i, c in enumerate(row) if i == 0 or (i - 1) % 6 != 1]
+    place = {name: i for i, name in enumerate(types)}
+
+    def figures(name: str) -> Column:
+        i, missing = place[name], F.col("_rows") - F.col(f"_filled_{place[name]}")
+        parts = {
+            "column_name": F.lit(name),
+            "dtype": F.lit(types[name]),
+            "is_required": F.lit(int(name in required)),
+            "n_rows": long("_rows"),
+            "null_count": long(missing),
+            "null_percentage": 100.0 * ratio(missing, "_rows"),
+            "unique_count": long(f"_seen_{i}") if approximate else F.lit(None).cast("long"),
+            **{part: F.col(f"_{part}_{i}") for part in ("mean", "std", "min", "max")},
+        }
+        return F.struct(*[value.alias(key) for key, value in parts.items()])
+
+    report = df.agg(*row).select(F.inline(F.array(*[figures(name) for name in types])))
+    if approximate:
+        return report
+    pairs = F.array(*[F.struct(F.lit(name).alias("_of"), F.col(name).cast("string").alias("_value")) for name in types])
+    distinct = df.select(F.explode(pairs).alias("_at")).select("_at.*").where(F.col("_value").isNotNull()).distinct()
+    counts = distinct.groupBy("_of").agg(long(F.count(F.lit(1))).alias("_unique"))
+    joined = report.join(counts, F.col("column_name") == F.col("_of"), "left")
+    unique = F.coalesce("_unique", F.lit(0).cast("long")).alias("unique_count")
+    return joined.select(*[unique if c == "unique_count" else F.col(c) for c in report.columns])
 
 
 def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from registry.base import QUERIES, oracle
 from registry import (  # noqa: F401  (importing a section registers its queries)
-    candidates,
     candidates,
     features,
     metrics,

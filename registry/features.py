@@ -460,8 +460,8 @@ CROSS_KEYS = {
 CROSS_FROM = "FROM x4 x LEFT JOIN user_all u USING (user_id) LEFT JOIN item_all i USING (product_id)"
 
 
-def _pairs_wide(s):
-    """The user and item tables are saved first, so that Spark joins tables of known size."""
+def wide_tables(s):
+    """The user and item tables, saved once: Spark then joins tables of known size."""
     users = staged(
         s.spark, ("user_features", *s.source),
         lambda: user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue),
@@ -470,7 +470,11 @@ def _pairs_wide(s):
         s.spark, ("item_features", *s.source),
         lambda: item_features.build(s.lines(), s.pairs(), s.catalogue),
     )
-    return pair_features.build(s.orders, s.pairs(), users, items)
+    return users, items
+
+
+def _pairs_wide(s):
+    return pair_features.build(s.orders, s.pairs(), *wide_tables(s))
 
 
 for _name, _key in CROSS_KEYS.items():

@@ -10,7 +10,7 @@ from tests.conftest import SMALL, TINY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SQL = oracle()
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 # Queries that go through ordered group calculations, repeated with tiny cells.
 CUT = """w5_rank_first_scores w7_detailed_segments a4_orders_by_day c3_popular_candidates c7_stratified_split c10_popular_items
   i2_popularity_rank i7_category_codes j12_popular_not_bought m1_roc_auc m2_pr_auc m4_ranking_metrics q1_ordered_history
