@@ -87,15 +87,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights, -30, 30)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Model:
-    """Logistic regression on features and their squares, by Newton steps."""
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
+    """Logistic regression on features and their squares.
+
+    Newton steps, each halved until the penalised loss falls: the loss is convex,
+    so that leads to its minimum also where the labels can be told apart exactly.
+    """
     start = Model(x.mean(axis=0), x.std(axis=0) + 1e-9, np.zeros(2 * x.shape[1] + 1))
     z, w = start.inputs(x), start.weights
+
+    def loss(v: np.ndarray) -> float:
+        odds = z @ v
+        return float(np.sum(np.logaddexp(0.0, odds) - y * odds) + ridge / 2 * v @ v)
+
+    now = loss(w)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         slope = z.T @ (p - y) + ridge * w
         bend = (z.T * (p * (1 - p))) @ z + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(bend, slope)
+        move, size = np.linalg.solve(bend, slope), 1.0
+        while (then := loss(w - size * move)) > now and size > 1e-6:
+            size /= 2
+        if then >= now - 1e-9 * abs(now):
+            break
+        w, now = w - size * move, then
     return Model(start.center, start.scale, w)
 
 

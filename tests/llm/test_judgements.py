@@ -7,6 +7,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -194,6 +195,30 @@ def test_quality_on_labels_that_were_not_seen(spark):
     assert kept[1] > 0.99 and kept[0] < 0.05
 
 
+@pytest.mark.parametrize("ridge", [1e-6, 0.1, 1.0])
+@pytest.mark.parametrize("gap", [0.0, 3.0, 1000.0])
+def test_the_fit_settles_whether_labels_overlap_or_not(ridge, gap):
+    draw = np.random.default_rng(1)
+    y = (np.arange(400) % 8 > 0).astype(float)
+    x = draw.standard_normal((400, 15)) * 10.0 ** -np.arange(15) + gap * y[:, None] * 10.0 ** -np.arange(15)
+    model = quality.fitted(x, y, ridge)
+    p = model.probability(x)
+    assert np.isfinite(model.weights).all() and p[y == 1].mean() > p[y == 0].mean()
+    assert gap == 0 or ((p > 0.5) == y).mean() > 0.98
+
+
+@pytest.mark.parametrize("table", ["sf0.1", "check_s", "check_h"])
+def test_good_documents_are_kept_on_every_table(table):
+    """The fit alone, on all labelled rows of a table, judged on the half it has not seen."""
+    folder = f"/root/testdata/{table}"
+    docs = ds.dataset(f"{folder}/documents.parquet").to_table(columns=["doc_id", "text"])
+    labels = dict(zip(*(ds.dataset(f"{folder}/labels.parquet").to_table().column(c).to_pylist() for c in ("doc_id", "quality")), strict=True))
+    known = [(labels[i], t or "") for i, t in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text")), strict=True) if i in labels][:8000]
+    x, y = np.array([quality.features(t) for _, t in known]), np.array([float(q) for q, _ in known])
+    p = quality.fitted(x[::2], y[::2]).probability(x[1::2])
+    assert (p[y[1::2] == 1] >= quality.REJECT).mean() > 0.995 and (p[y[1::2] == 0] < quality.REJECT).mean() > 0.97
+
+
 def test_sites_are_shrunk_toward_what_stands_above(spark):
     rows = [("big", "x", 0.9)] * 400 + [("big", "y", 0.1)] * 100 + [("bad", "x", 0.1)] * 300 + [("tiny", "x", 0.1)]
     scored = spark.createDataFrame(rows, "host string, path string, p double")
