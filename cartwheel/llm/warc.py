@@ -49,7 +49,11 @@ def _numbered(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
         return F.when(i == 0, part).otherwise(F.concat(char, F.substring(part, end + 1, F.length(part))))
 
-    return F.when(F.instr(text, "\x01") == 0, text).otherwise(F.array_join(F.transform(F.split(text, "\x01"), resolved), ""))
+    def whole(t: Column) -> Column:
+        return F.when(F.instr(t, "\x01") == 0, t).otherwise(F.array_join(F.transform(F.split(t, "\x01"), resolved), ""))
+
+    # Bound, so that the text is made once and not for each use.
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
 
 
 def _digest(block: Column) -> Column:
@@ -92,15 +96,14 @@ def _metadata(html: Column) -> Column:
 
 def derived(records: DataFrame) -> DataFrame:
     """The metadata and the conversion record of every response."""
-    kinds = (
-        ("metadata", "application/warc-fields", _metadata(F.col("payload"))),
-        ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))),
-    )
+    kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     parts = [
-        F.struct(F.lit(kind).alias("record_type"), F.lit(content).alias("content_type"), block.alias("block"))
-        for kind, content, block in kinds
+        F.struct(F.lit(kind).alias("record_type"), F.lit(content).alias("content_type"), F.col(f"{kind}_block").alias("block"))
+        for kind, content in kinds.items()
     ]
-    every = records.select("*", F.explode(F.array(*parts)).alias("part"))
+    kept = ["page_id", "record_id", "target_uri", "record_date", "payload_digest"]
+    blocks = [_metadata(F.col("payload")).alias("metadata_block"), plain_text(F.col("payload")).alias("conversion_block")]
+    every = records.select(*kept, *blocks).select(*kept, F.explode(F.array(*parts)).alias("part"))
     record_id = _record_id("derived", F.col("part.record_type"), F.col("record_id"))
     return every.select(
         "page_id",
