@@ -5,10 +5,12 @@ numbers. Then the corpus says which words near an entity reveal it. With ``N``
 documents, the information of entity ``e`` is ``IC = log2(N / c(e))``; a term ``t`` of its
 surroundings discloses ``PMI = log2(N c(e, t) / (c(e) c(t)))`` of it. In documents that
 hold the entity, a term is generalised when it discloses at least the share
-``generalise`` of the information, and removed from the share ``remove`` on. ``c(t)``
-counts the documents of the whole corpus with the term, ``c(e, t)`` different
-surroundings with both, so that copies of one passage do not count as evidence;
-a term needs ``support`` of them. Documents without entities are left alone.
+``generalise`` of the information, and removed from the share ``remove`` on. All
+counts are of documents, copies included: ``c(t)`` of those with the term, ``c(e, t)``
+of those with the term next to the entity. Every pair is judged; its share is shrunk
+by ``d / (d + doubt)``, where ``d`` is the number of different texts behind ``c(e, t)``:
+copies of one text add no evidence, one passage on different pages does. Documents
+without entities are left alone.
 
 The texts are read twice: once for entities, once to count words where they
 are stored. Only texts with an entity are written and joined.
@@ -35,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 N_BASE = 4
 NEAR_WORDS = 8
 NEAR_CHARS = 200
-SUPPORT = 3
+DOUBT = 1.25
 GENERALISE = 0.5
 REMOVE = 0.8
 #: Everything but ASCII white space, signs and controls belongs to a word.
@@ -122,7 +124,7 @@ def surroundings(text: str, start: int, end: int, words: int = NEAR_WORDS, chars
 
 _FOUND = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, text string, "
-    "near array<struct<entity: string, words: string>>"
+    "text_digest binary, near array<struct<entity: string, words: string>>"
 )
 _FOUND_TYPE = pa.schema(
     [
@@ -131,6 +133,7 @@ _FOUND_TYPE = pa.schema(
         ("base_sha256", pa.string()),
         ("spans", pa.string()),
         ("text", pa.string()),
+        ("text_digest", pa.binary()),
         ("near", pa.list_(pa.struct([("entity", pa.string()), ("words", pa.string())]))),
     ]
 )
@@ -150,10 +153,12 @@ def detected(docs: DataFrame) -> DataFrame:
                     row[f"n_{kind}"] = sum(span[1] == number for span in spans)
                 if spans:
                     row["text"] = text
-                    row["near"] = [
-                        {"entity": entity(kind, text[start:end]), "words": surroundings(text, start, end)}
-                        for start, kind, end in spans
-                    ]
+                    row["text_digest"] = hashlib.blake2b(text.encode(), digest_size=16).digest()
+                    near: dict[str, list[str]] = {}
+                    for start, kind, end in spans:
+                        near.setdefault(entity(kind, text[start:end]), []).append(surroundings(text, start, end))
+                    # One entry for each entity of the row, so that counts of entries are counts of documents.
+                    row["near"] = [{"entity": e, "words": " ".join(words)} for e, words in near.items()]
                 where.append(at if spans else None)
                 out.append(row)
             found = pa.RecordBatch.from_pylist(out, _FOUND_TYPE)
@@ -177,19 +182,23 @@ def _terms(text):
 def disclosing(
     docs: DataFrame,
     found: DataFrame,
-    support: int = SUPPORT,
+    doubt: float = DOUBT,
     generalise: float = GENERALISE,
 ) -> DataFrame:
     """(entity, term, share): terms that disclose at least ``generalise`` of an entity's information."""
-    near = found.select("doc_id", F.explode("near").alias("at")).select("doc_id", "at.entity", "at.words")
-    of_entity = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("c_e"))
+    near = found.select("text_digest", F.explode("near").alias("at"))
+    # Equal texts have equal words near an entity.
+    by_text = written(
+        near.groupBy("at.entity", "text_digest").agg(F.count("*").alias("copies"), F.min("at.words").alias("words")),
+        "entity-texts",
+    )
+    of_entity = by_text.groupBy("entity").agg(F.sum("copies").alias("c_e"))
     pairs = (
-        near.groupBy("entity", "words")
-        .agg(F.lit(1))
-        .select("entity", F.explode(_terms(F.col("words"))).alias("term"))
+        by_text.select("entity", "copies", F.explode(_terms(F.col("words"))).alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("c_et"))
-        .where(F.col("c_et") >= support)
+        .agg(F.sum("copies").alias("c_et"), F.count("*").alias("d_et"))
+        # No share is above 1, so what is shrunk below the bound at once needs no count of its term.
+        .where(F.col("d_et") / (F.col("d_et") + doubt) >= generalise)
     )
     pairs = written(pairs.join(of_entity, "entity"), "entity-terms")
     # Words are added up where they are read; only then the counts meet the few terms asked for.
@@ -202,7 +211,7 @@ def disclosing(
     all_docs = F.lit(found.count())
     information = F.log2(all_docs / F.col("c_e"))
     told = F.log2(all_docs * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    share = F.when(information > 0, told / information)
+    share = F.when(information > 0, told / information * F.col("d_et") / (F.col("d_et") + doubt))
     return (
         pairs.join(counts, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
     )
@@ -241,11 +250,11 @@ def parsed(line: str) -> list[tuple[int, int, str]]:
 
 
 def spans(
-    docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, doubt: float = DOUBT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> tuple[DataFrame, DataFrame]:
     """All rows (digest columns and spans), and those with entities with their texts."""
     found = written(detected(docs), "pii-found")
-    terms = disclosing(docs, found, support, generalise)
+    terms = disclosing(docs, found, doubt, generalise)
     per_doc = (
         found.where(F.col("text").isNotNull())
         .select("doc_id", F.explode("near.entity").alias("entity"))
@@ -279,7 +288,7 @@ def cleaned_text(text: str, line: str) -> str:
 
 
 def cleaned(
-    docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, doubt: float = DOUBT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """The documents with entities and disclosing terms replaced, all columns kept, ``n_chars`` made right.
 
@@ -298,7 +307,7 @@ def cleaned(
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             yield batch.set_column(0, "text", pa.array([cleaned_text(text, line) for text, line in pairs], pa.string()))
 
-    rich = spans(docs, support, generalise, remove)[1].select("text", "spans", "whole")
+    rich = spans(docs, doubt, generalise, remove)[1].select("text", "spans", "whole")
     rich = rich.mapInArrow(apply, rich.schema)
     columns = [F.col(f"whole.`{name}`").alias(name) for name in names]
     replaced = {"text": F.col("text").cast(schema["text"].dataType).alias("text")}

@@ -173,6 +173,24 @@ def test_copies_are_no_evidence(spark):
     assert pii.spans(docs)[0].where("spans LIKE '%generalised%' OR spans LIKE '%removed%'").count() == 0
 
 
+def test_one_passage_on_different_pages_is_evidence(spark):
+    """The same words stand around the address on pages that are otherwise different, and twice with one id."""
+    passage = "one two three four five six seven Quill quill@mail.example nine ten eleven twelve more words stand here"
+    rows = [(i // 2, f"{prose(i, 12)} {passage} {prose(100 + i, 12)}", "en", "a", 1) for i in range(20)]
+    rows += [(100 + i, prose(200 + i, 30), "en", "a", 1) for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    assert all("removed" in got[i] for i in range(10)) and not any(got[100 + i] for i in range(60))
+
+
+def test_two_texts_can_disclose(spark):
+    rows = [(i, f"{prose(i, 12)} Quill quill@mail.example {prose(100 + i, 12)}", "en", "a", 1) for i in range(2)]
+    rows += [(10 + i, prose(200 + i, 30), "en", "a", 1) for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    for i in range(2):
+        at = rows[i][1].index("Quill")
+        assert f"generalised:{at}:{at + 5}" in got[i]
+
+
 def test_personal_data_of_awkward_rows(awkward, empty, awkward_rows, spark):
     more = awkward.limit(3).withColumn("text", F.concat(F.lit("+1 (377) 555-0271 a@b.c 4111111111111111 x 1.2.3.4 "), F.col("text")))
     docs = awkward.unionByName(more)
