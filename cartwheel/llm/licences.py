@@ -1,9 +1,10 @@
 """Licence recognition by sentences.
 
 A text is split into sentences; each is normalised and looked up among known
-licence sentences. A sentence may run over lines; where it is unknown as a whole
-its lines are looked up on their own, since a notice often follows text without
-a full stop. What remains of a text is its sequence of sentence ids. Licence
+licence sentences. A sentence may run over lines, with comment signs before them,
+and may follow text without a full stop: every run of whole lines is looked up, the
+longest first. A line of comment signs alone is an empty line; an SPDX tag with one
+identifier is a sentence of its own wherever it stands. What remains of a text is its sequence of sentence ids. Licence
 rules are sequences of ids in a fixed order: the first rule that occurs takes its
 sentences out of the sequence, then the next one looks at the rest. Known
 sentences that no rule takes are counted, they stand for an unknown notice.
@@ -106,6 +107,11 @@ BREAK = "\x01"
 SENTENCE_END = r"([.!?:;])[\t\n\f\r ]+"
 BLANK_LINE = r"\n[\t\f\r ]*\n"
 
+#: In columns, a line of comment signs alone counts as blank.
+COMMENT_LINE = r"\n[\t\f\r #*/;%!<>-]*\n"
+#: An SPDX tag with one identifier; an expression of several is left as it stands.
+SPDX = r"(?i)(SPDX-License-Identifier:)[ \t]*+([a-z0-9.+-]++)(?![ \t]+(?:OR|AND|WITH)\b)"
+
 
 def normal(text: str) -> str:
     """Lower case, words only, one spelling of licence; as ``normalised`` does in columns."""
@@ -151,25 +157,43 @@ def _coded(ids: tuple[str, ...]) -> str:
     return "".join(f"<{key}>" for key in ids)
 
 
-def normalised(text: Column) -> Column:
-    words = F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9+]+", " ")
-    return F.replace(F.btrim(words, F.lit(" ")), F.lit("licence"), F.lit("license"))
+def normalised_lines(text: Column) -> Column:
+    """As ``normal``, but lines and breaks stay."""
+    words = F.regexp_replace(F.translate(text, UPPER, LOWER), rf"[^a-z0-9+\n{BREAK}]+", " ")
+    words = F.regexp_replace(words, " ?\n[ \n]*", "\n")
+    words = F.regexp_replace(words, f"[ \n]*{BREAK}[ \n]*", BREAK)
+    return F.replace(F.btrim(words, F.lit(" \n")), F.lit("licence"), F.lit("license"))
+
+
+def _branches(sentences: list[list[str]], gap: str = r"[ \n]") -> str:
+    """Pattern of word lists, factored by their first words; the longest is tried first."""
+    ends = [] in sentences
+    heads: dict[str, list[list[str]]] = {}
+    for words in sentences:
+        if words:
+            heads.setdefault(words[0], []).append(words[1:])
+    parts = [re.escape(head) + _branches(rest) for head, rest in heads.items()]
+    if not parts:
+        return ""
+    return "(?:" + "|".join(gap + part for part in parts) + ")" + ("?" if ends else "")
+
+
+def known_runs(known: dict[str, str]) -> str:
+    """Pattern of every known sentence that fills whole lines."""
+    heads = _branches([sentence.split(" ") for sentence in known], "")
+    return rf"(?<![^\n{BREAK}]){heads}(?![^\n{BREAK}])"
 
 
 def sentence_ids(text: Column) -> Column:
     """The known sentences of a text in their order, as one string of <id>s."""
     known = known_sentences()
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # One break for both kinds of ends, so that splitting needs no look-around.
-    marked = F.regexp_replace(F.regexp_replace(text, BLANK_LINE, BREAK), SENTENCE_END, f"$1{BREAK}")
+    # One break for all kinds of ends, so that splitting needs no look-around.
+    marked = F.regexp_replace(F.translate(text, BREAK, " "), SPDX, f"{BREAK}$1$2{BREAK}")
+    marked = F.regexp_replace(F.regexp_replace(marked, COMMENT_LINE, BREAK), SENTENCE_END, f"$1{BREAK}")
     sentences = F.filter(F.split(marked, BREAK), lambda s: s.rlike(MARKERS))
-
-    def looked_up(s: Column) -> Column:
-        whole = F.try_element_at(table, normalised(s))
-        lines = F.transform(F.split(s, "\n"), lambda line: F.try_element_at(table, normalised(line)))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
-
-    found = F.array_compact(F.flatten(F.transform(sentences, looked_up)))
+    runs = F.regexp_extract_all(normalised_lines(F.array_join(sentences, BREAK)), F.lit(known_runs(known)), F.lit(0))
+    found = F.transform(runs, lambda run: F.try_element_at(table, F.translate(run, "\n", " ")))
     return F.array_join(F.transform(found, lambda key: F.concat(F.lit("<"), key, F.lit(">"))), "")
 
 

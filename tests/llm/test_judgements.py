@@ -285,6 +285,35 @@ def test_licences(spark, text, found):
     assert sorted(row.licences.split(",")) == sorted(found.split(",")) and row.n_unmatched == 0
 
 
+COMMENTED = """# Copyright (c) 2020 X
+#
+# Permission is hereby granted, free of charge, to any person
+# obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+# without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+# sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+# subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all copies or substantial portions
+# of the Software."""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        *[(f"SPDX-License-Identifier: {name}", name) for name in licences.NAMED],
+        ("// SPDX-License-Identifier: MIT\nint main() {}", "MIT"),
+        ("/* Copyright X SPDX-License-Identifier: Apache-2.0 */ int x", "Apache-2.0"),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", ""),
+        (COMMENTED, "MIT"),
+        (COMMENTED.replace("#\n", "").replace("# ", ""), "MIT"),
+        ("no full stop here\nReleased under\nthe MIT License\nand more", "MIT"),
+    ],
+)
+def test_tags_and_wrapped_headers(spark, text, found):
+    row = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.licences, row.n_unmatched) == (found, 0)
+
+
 def test_unknown_notices_are_counted(spark):
     text = licences.SENTENCES["bsd-source"] + " " + licences.SENTENCES["mit-notice"]
     row = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
