@@ -10,6 +10,9 @@ take the context sizes that fill them; at most one sequence there is padded.
 Sequences of one context size are dealt to step groups of one token budget, in
 turns by attention cost, so that the steps are alike.
 
+Ids are those of byte_bpe_50k.json: an added token of it that stands in a text is
+one id, and the parts between are encoded on their own.
+
 Every task packs its own rows and holds one block of ids, nothing is shuffled.
 Null text counts as empty: its document is the closing id alone. Equal rows are
 packed as often as they come, an empty table gives no pieces.
@@ -17,6 +20,8 @@ packed as often as they come, an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -27,11 +32,13 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cartwheel.llm.bpe import codec
+from cartwheel.llm.bpe import Codec, codec
 from cartwheel.llm.rows import slim, texts
 
 #: The ranks of the vocabulary in byte_bpe_50k.json.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Names the added tokens.
+TOKENIZER = "byte_bpe_50k.json"
 TIERS = (64, 128, 256, 512, 1024)
 STEP_TOKENS = 8192
 BLOCK_TOKENS = 1 << 20
@@ -49,6 +56,26 @@ _NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 Piece = tuple[int, int, int]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Text -> id of the tokens that are matched in texts before all others."""
+    with open(path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def with_added(own: Codec, added: dict[str, int], text: str) -> list[int]:
+    """Ids of a text; no window of the codec crosses an added token."""
+    if not any(token in text for token in added):
+        return own.encode(text)
+    ids: list[int] = []
+    # The longest first, as they are matched.
+    for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+        if part in added:
+            ids.append(added[part])
+        elif part:
+            ids += own.encode(part)
+    return ids
+
+
 class Packer:
     """Packs the pieces of one task block by block."""
 
@@ -140,6 +167,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it is in its document and in its sequence."""
     path = path or public_tokenizers.path(RANKS)
+    added = added_tokens(public_tokenizers.path(TOKENIZER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -172,7 +200,7 @@ def pack(
         tokens = 0
         rows = (row for batch in batches for row in texts(batch))
         for number, (doc_id, text) in enumerate(rows):
-            ids = np.asarray([*own.encode(text), CLOSING_ID], dtype="<u4")
+            ids = np.asarray([*with_added(own, added, text), CLOSING_ID], dtype="<u4")
             held[number] = (doc_id, ids)
             packer.add(number, len(ids))
             tokens += len(ids)

@@ -185,3 +185,16 @@ def test_packing_awkward_rows(spark, awkward, empty):
     _check_packing(packing.pack(one).collect(), {r.doc_id: r.text for r in one.collect()}, tokenizer)
     assert packing.pack(empty).count() == 0
     assert packing.pack(awkward).groupBy().sum("length").first()[0] == packing.pack(awkward).where("start = 0").groupBy().sum("doc_tokens").first()[0]
+
+
+def test_added_tokens_are_single_ids(spark):
+    end = "<|endoftext|>"
+    bits = ["Stories end with ", end, " here", end + end, "<|endof", "text|>", "\n", "  ", prose(7, 3000), "é", "'ll"]
+    draw = random.Random(5)
+    texts = [end, f"Stories end with {end} here", prose(1, 4000) + end + prose(2, 4000)]
+    texts += ["".join(draw.choice(bits) for _ in range(draw.randint(1, 8))) for _ in range(40)]
+    docs = dict(enumerate(texts))
+    pieces = packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(tokenizer.encode(texts[0], add_special_tokens=False).ids) == 1
+    _check_packing(pieces, docs, tokenizer)
