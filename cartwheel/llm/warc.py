@@ -13,6 +13,10 @@ never closed end with the page, so every pattern runs in linear time.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:
 BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^>]*>"
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 NUMBERED = r"&#([0-9]{1,7});"
+#: References as html.unescape knows them: codes, and names with or without the semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
+HREF = r"""(?i)<a\b[^>]*?[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+LANG = r"""(?i)<html\b[^>]*?[\s"'/]lang\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 CRLF = "\r\n"
 
 
@@ -32,28 +40,67 @@ def plain_text(html: Column) -> Column:
     """Visible text: one line for each block, single spaces, entities resolved once."""
     bare = F.regexp_replace(F.translate(html, "\x01\x02", ""), HIDDEN, " ")
     bare = F.regexp_replace(F.regexp_replace(bare, BLOCK_TAG, "\n"), "<[^>]*>", "")
-    bare = _numbered(F.regexp_replace(bare, NUMBERED, "\x01$1\x02"))
-    for name, sign in ENTITIES.items():
-        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
-    bare = F.regexp_replace(bare, "[ \t\f\r]+", " ")
+    bare = F.regexp_replace(_resolved(bare, {"nbsp;": " ", "nbsp": " "}), "[ \t\f\r]+", " ")
     return F.btrim(F.regexp_replace(bare, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def _numbered(text: Column) -> Column:
-    """Resolves codes between \\x01 and \\x02; what is no character becomes U+FFFD."""
+@lru_cache
+def _odd_codes() -> dict[str, str]:
+    """Codes that stand for another character or for none, by their decimal digits."""
+    codes = [*range(32), *range(127, 160), *range(0xFDD0, 0xFDF0)]
+    codes += [plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF)]
+    found = {code: unescape(f"&#{code};") for code in codes}
+    return {str(code): char for code, char in found.items() if char != chr(code)}
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x04".join(f"{k}\x03{v}" for k, v in pairs.items())), F.lit("\x04"), F.lit("\x03"))
+
+
+def _resolved(text: Column, own: dict[str, str]) -> Column:
+    """All references in one pass, as html.unescape does; ``own`` goes before its table. \\x01 and \\x02 are dropped."""
+    short = sorted((name for name in html5 if not name.endswith(";")), key=len)
+    # Common names first: a look-up ends at the name.
+    common = ["amp;", "lt;", "gt;", "quot;", "apos;", "copy;", "middot;", *[f"{name};" for name in short], *short]
+    names = _table({name: (html5 | own)[name] for name in [*own, *common, *html5]})
+    odd = _table(_odd_codes())
+    longest = len(short[-1])
+
+    def numbered(name: Column) -> Column:
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.ltrim(F.rtrim(F.substring(name, F.when(hexadecimal, F.lit(3)).otherwise(F.lit(2)), F.length(name)), F.lit(";")), F.lit("0"))
+        # Eight digits are beyond all characters, so longer ones need not be read.
+        digits = F.concat(F.lit("0"), F.substring(digits, 1, 8))
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        wrong = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(odd, code.cast("string")), char)
+
+    def named(name: Column) -> Column:
+        starts = [
+            F.concat(F.try_element_at(names, F.substring(name, 1, n)), F.substring(name, F.lit(n + 1), F.length(name)))
+            for n in range(longest, 1, -1)
+        ]
+        return F.coalesce(F.try_element_at(names, name), *starts, F.concat(F.lit("&"), name))
 
     def resolved(part: Column, i: Column) -> Column:
         end = F.locate("\x02", part)
-        code = F.substring(part, F.lit(1), end - 1).cast("int")
-        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+        name = F.substring(part, F.lit(1), end - 1)
+        char = F.when(F.startswith(name, F.lit("#")), numbered(name)).otherwise(named(name))
         return F.when(i == 0, part).otherwise(F.concat(char, F.substring(part, end + 1, F.length(part))))
 
     def whole(t: Column) -> Column:
         return F.when(F.instr(t, "\x01") == 0, t).otherwise(F.array_join(F.transform(F.split(t, "\x01"), resolved), ""))
 
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), REFERENCE, "\x01$1\x02")
     # Bound, so that the text is made once and not for each use.
-    return F.get(F.transform(F.array(text), whole), F.lit(0))
+    return F.get(F.transform(F.array(marked), whole), F.lit(0))
+
+
+def _value(quoted: Column) -> Column:
+    """Value of an attribute without its quotes and line ends, references resolved."""
+    bare = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
+    return F.translate(_resolved(bare, {}), "\r\n", "")
 
 
 def _digest(block: Column) -> Column:
@@ -87,8 +134,8 @@ def _metadata(html: Column) -> Column:
     """Block of the metadata record, in the form of header fields."""
     title = F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)", 1)
     title = F.trim(F.regexp_replace(title, "[ \t\n\f\r]+", " "))
-    language = F.regexp_extract(html, r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)
-    links = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref=\"([^\"\r\n]*)\""), F.lit(1))
+    language = _value(F.regexp_extract(html, LANG, 1))
+    links = F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), _value)
     lines = F.transform(links, lambda link: F.concat(F.lit("outlink: "), link, F.lit(" L a/@href")))
     fields = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), language)), lines)
     return F.concat(F.array_join(fields, CRLF), F.lit(CRLF))

@@ -1,6 +1,8 @@
 """Pages, personal data, quality, licences, and the pipeline."""
 
 import hashlib
+import html
+import html.entities
 import random
 import re
 import time
@@ -54,6 +56,31 @@ def test_pages_give_two_linked_records_each(spark):
     assert meta[6] == "title: \r\nlanguage: \r\noutlink: /1 L a/@href\r\noutlink: /2 L a/@href\r\n"
 
 
+def test_references_are_those_of_html(spark):
+    texts = ["&copy; &middot; &eacute;", "&#x27;&#X1F600;&#233;", "&copy 2020 &notit; &notin; &unknown; &;&", "&#38;lt; &amp;copy;"]
+    texts += ["&#128; &#x80; &#1; x&#xFDD0;y &#00000000000233; &#99999999999999; &#xFFFFFFFFFFFF;", "&#x; &#; &Aacute&aacute;"]
+    texts += ["".join(f"&{name} " for name in html.entities.html5 if not name.startswith(("nbsp", "NewLine", "Tab")))]
+    pages = spark.read.parquet(f"{TINY}/pages.parquet").collect()
+    own = [(i, "u", f"x{text}x") for i, text in enumerate(texts)]
+    own += [(1000 + r.page_id, r.url, r.html) for r in pages]
+    found = warc.derived(warc.responses(spark.createDataFrame(own, "page_id long, url string, html string")))
+    got = {r.page_id: r.block for r in found.where("record_type = 'conversion'").collect()}
+    for page_id, _, text in own:
+        for tags, sign in ((warc.HIDDEN, " "), (warc.BLOCK_TAG, "\n"), ("<[^>]*>", "")):
+            text = re.sub(tags.replace(r"\z", r"\Z"), sign, text)
+        text = html.unescape(text.replace("&nbsp;", " "))
+        want = re.sub(" ?\n[ \n]*", "\n", re.sub("[ \t\f\r]+", " ", text)).strip(" \n")
+        assert got[page_id] == want
+
+
+def test_attributes_in_all_spellings(spark):
+    text = """<html class=k lang='de'><a href='/1'>x</a><a class="k" href=/2?a=1&amp;b=2>y</a><A HREF = "/3&copy;">z</A><a data-href="/no">"""
+    pages = spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string")
+    block = warc.derived(warc.responses(pages)).where("record_type = 'metadata'").first().block
+    links = "".join(f"outlink: {link} L a/@href\r\n" for link in ("/1", "/2?a=1&b=2", "/3©"))
+    assert block == f"title: \r\nlanguage: de\r\n{links}"
+
+
 def test_records_can_be_read_back(spark):
     rows = {r.record_id: r for r in _derived(spark).collect()}
     for r in warc.serialised(_derived(spark)).collect():
