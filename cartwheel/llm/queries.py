@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import bpe, exact, fingerprints, licences, near, packing, pii, quality, slots, warc
+from cartwheel.llm import align, bpe, exact, fingerprints, licences, near, packing, pii, planes, quality, runs, slots, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,18 @@ def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_licence_sentences", licences.scan_sql())
 def licence_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
+
+
+@query("op11_synchronising_runs")
+def synchronising_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"), runs.with_planted_period)
+
+
+@query("op12_id_planes")
+def id_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return planes.report(table(spark, folder, "documents"))
+
+
+@query("op13_tokenizer_links")
+def tokenizer_links(spark: SparkSession, folder: str) -> DataFrame:
+    return align.report(table(spark, folder, "documents"))
