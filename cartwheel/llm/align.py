@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -40,19 +40,21 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.llm.bpe import codec
+from cartwheel.llm.planes import from_planes, to_planes
 from cartwheel.llm.rows import slim, texts
 from cartwheel.session import written
 
 #: Ranks of the vocabulary of byte_bpe_50k.json; without its added token texts are plain texts.
 RANKS_A = "byte_bpe_50k.tiktoken"
 MODEL_B = "piece_bpe_32k.model"
-BLOCK = 1 << 21
-BUCKETS = 128
+BLOCK = 1 << 20
+BUCKETS = 32
 FAN = 32
 #: Links that are laid out at once.
 LINKS = 1 << 20
@@ -142,6 +144,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+_NO_IDS = np.empty(0, np.uint32)
+
+
 class Side(NamedTuple):
     """Ids of all documents of a block one after the other, how many each has, and the bytes of each."""
 
@@ -221,14 +226,18 @@ class Aligned:
         return known, np.bincount(once % len(known), minlength=len(known))
 
     def order(self) -> np.ndarray:
-        """Tokens group by group, A before B: twice the id, one more for the last of its kind; B is negative."""
-        out = np.empty(len(self.a.ids) + len(self.b.ids), np.int64)
-        last_a, last_b = np.ones(len(self.a.ids), np.int64), np.ones(len(self.b.ids), np.int64)
-        last_a[:-1] = self.group_a[1:] != self.group_a[:-1]
-        last_b[:-1] = self.group_b[1:] != self.group_b[:-1]
-        out[np.arange(len(self.a.ids)) + self.first_b[self.group_a]] = 2 * self.a.ids + last_a
-        ahead = (self.first_a + self.size_a)[self.group_b]
-        out[np.arange(len(self.b.ids)) + ahead] = -1 - (2 * self.b.ids + last_b)
+        """Numbers of all tokens (those of A, then those of B) group by group, A before B."""
+        n = len(self.a.ids)
+        out = np.empty(n + len(self.b.ids), np.int64)
+        out[np.arange(n) + self.first_b[self.group_a]] = np.arange(n)
+        out[np.arange(len(self.b.ids)) + (self.first_a + self.size_a)[self.group_b]] = np.arange(n, len(out))
+        return out
+
+    @staticmethod
+    def last(groups: np.ndarray) -> np.ndarray:
+        """1 for the last token of every group."""
+        out = np.ones(len(groups), np.int64)
+        out[:-1] = groups[1:] != groups[:-1]
         return out
 
 
@@ -242,19 +251,19 @@ class Both:
     def __init__(self, ranks: str, model: str) -> None:
         self.a, self.b = codec(ranks), pieces(model)
         self.width_a, self.width_b = (np.array([len(t) for t in side.bytes_of], np.int64) for side in (self.a, self.b))
-        # The marks behind ids: "," between ids of one kind, "|" after A's, ";" after B's.
-        self.marks = [f"{i}{mark}" for i in range(len(self.width_a)) for mark in ",|"]
-        self.marks += [f"{i}{mark}" for i in reversed(range(len(self.width_b))) for mark in ";,"]
+        # Ids with the mark behind them: "," between ids of one kind, "|" after A's, ";" after B's.
+        self.spelled_a = np.array([f"{i}{mark}" for i in range(len(self.width_a)) for mark in ",|"], "S")
+        self.spelled_b = np.array([f"{i}{mark}" for i in range(len(self.width_b)) for mark in ",;"], "S")
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        spelled = f" {text}".encode()
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if not text:
-            return [], []
-        a, b = self.a.plain(f" {text}"), self.b.plain(text)
-        for ids, side in ((a, self.a), (b, self.b)):
-            if b"".join([side.bytes_of[i] for i in ids]) != spelled:
-                return [], []
-        return a, b
+            return _NO_IDS, _NO_IDS
+        spelled, out = f" {text}".encode(), []
+        for ids, side in ((self.a.plain(f" {text}"), self.a), (self.b.plain(text), self.b)):
+            if b"".join(map(side.bytes_of.__getitem__, ids)) != spelled:
+                return _NO_IDS, _NO_IDS
+            out.append(np.frombuffer(array("I", ids), np.uint32))
+        return out[0], out[1]
 
     def side_a(self, ids: np.ndarray, counts: np.ndarray) -> Side:
         return Side(ids, counts, self.width_a[ids])
@@ -263,10 +272,13 @@ class Both:
         return Side(ids, counts, self.width_b[ids])
 
     def digests(self, aligned: Aligned) -> list[str]:
-        order, marks, out, at = aligned.order(), self.marks, [], 0
+        order, n = aligned.order(), len(aligned.a.ids)
+        of_a = self.spelled_a[2 * aligned.a.ids + aligned.last(aligned.group_a)]
+        of_b = self.spelled_b[2 * aligned.b.ids + aligned.last(aligned.group_b)]
+        spelled, out, at = np.concatenate([of_a, of_b])[order], [], 0
         for size in (aligned.a.counts + aligned.b.counts).tolist():
-            spelled = "".join([marks[i] for i in order[at : at + size].tolist()])[:-1]
-            out.append(hashlib.sha256(spelled.encode()).hexdigest() if size else "")
+            digits = spelled[at : at + size].tobytes().translate(None, b"\0")[:-1]
+            out.append(hashlib.sha256(digits).hexdigest() if size else "")
             at += size
         return out
 
@@ -295,12 +307,20 @@ _BLOCK_TYPES = pa.schema(
 )
 
 
-def _packed(values: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(values.astype(kind).tobytes(), 1)
+def _packed(ids: np.ndarray) -> bytes:
+    """Compressed byte planes behind their lengths."""
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    planes = [zip_(plane) if plane else b"" for plane in to_planes(ids, 8)]
+    return np.array([len(ids), *map(len, planes)], "<u4").tobytes() + b"".join(planes)
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(data, "<u4", 5).tolist()
+    unzip, at, planes = zstandard.ZstdDecompressor().decompress, 20, []
+    for size in sizes:
+        planes.append(unzip(data[at : at + size]) if size else b"")
+        at += size
+    return from_planes(planes, n, 8).astype(np.int64)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -309,7 +329,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _block_row(own: Both, block: int, held: list[tuple], buckets: int) -> pa.RecordBatch:
-    ids = [np.fromiter((i for row in held for i in row[side]), np.int64) for side in (1, 2)]
+    ids = [np.concatenate([row[side] for row in held]).astype(np.int64) for side in (1, 2)]
     counts = [np.array([len(row[side]) for row in held], np.int64) for side in (1, 2)]
     aligned = Aligned(own.side_a(ids[0], counts[0]), own.side_b(ids[1], counts[1]))
     keys, documents = aligned.counted()
@@ -330,8 +350,8 @@ def _block_row(own: Both, block: int, held: list[tuple], buckets: int) -> pa.Rec
         "n_groups": aligned.per_document(),
         "n_links": aligned.per_document(aligned.size_a * aligned.size_b),
         "digests": own.digests(aligned),
-        "a": _packed(ids[0], "<u4"),
-        "b": _packed(ids[1], "<u4"),
+        "a": _packed(ids[0]),
+        "b": _packed(ids[1]),
         "pairs": parts,
     }
     return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _BLOCK_TYPES], schema=_BLOCK_TYPES)
@@ -510,7 +530,7 @@ def report(
         row = own.to_pylist()[0]
         tokenizers = both(ranks, model)
         n_a, n_b = (np.array(row[c], np.int64) for c in ("n_a", "n_b"))
-        sides = (tokenizers.side_a(_unpacked(row["a"], "<u4"), n_a), tokenizers.side_b(_unpacked(row["b"], "<u4"), n_b))
+        sides = (tokenizers.side_a(_unpacked(row["a"]), n_a), tokenizers.side_b(_unpacked(row["b"]), n_b))
         keys, counts = _column(found, "keys", "<u8"), _column(found, "counts", "<i8")
         best, order = _column(found, "best", "u1").astype(np.int64), np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
@@ -555,7 +575,7 @@ def groups(docs: DataFrame, ranks: str | None = None, model: str | None = None)
         own = both(ranks, model)
         for batch in batches:
             for doc_id, text in texts(batch):
-                a, b = (np.array(ids, np.int64) for ids in own.tokens(text))
+                a, b = (ids.astype(np.int64) for ids in own.tokens(text))
                 one = Aligned(own.side_a(a, np.array([len(a)])), own.side_b(b, np.array([len(b)])))
                 cut_a, cut_b = np.split(a, one.first_a[1:]), np.split(b, one.first_b[1:])
                 found = [{"a": x.tolist(), "b": y.tolist()} for x, y in zip(cut_a, cut_b, strict=True)] if len(a) else []
