@@ -2,12 +2,13 @@
 
 A plain ``row_number() over (partition by key order by ...)`` sorts a whole
 group in one task. If one key holds a third of all rows, that task never ends.
-``running`` deals the rows of all groups, in the order of keys and rows, to cells
-of like size, numbers every cell on its own and adds the totals of the cells
-before it. There is one plan for every size: the number of cells follows the
-number of shuffle partitions, which is set with the data. Most groups lie in one
-cell; only those with a cut in them have rows in the table of totals, so that
-table has at most two rows per cell and may be broadcast.
+``running`` lets Spark range-partition the rows of all groups by keys and order,
+writes them once with the number of their partition, their cell, numbers every
+cell on its own and adds the totals of the cells before it. There is one plan for
+every size: the number of cells follows the number of shuffle partitions, which
+is set with the data. Most groups lie in one cell; only a group that a cell
+begins with can have rows in the cell before, so the table of totals has at most
+two rows per cell and may be broadcast.
 """
 
 from __future__ import annotations
@@ -17,56 +18,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalar import beside, col
+from cartwheel.functions.scalar import col
 from cartwheel.session import written
 
-CELLS_PER_PARTITION = 4
-SAMPLES_PER_CELL = 16
+CELLS_PER_PARTITION = 1
 
 _ALL = "_all"
 _CELL = "_cell"
-_CUTS = "_cuts"
-_SPLIT = "_split"
+_FIRST = "_first"
+#: ``monotonically_increasing_id`` holds the partition above the row in it.
+_ROW_BITS = 33
 
 
 def cell_count(df: DataFrame) -> int:
     return CELLS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def find_cuts(df: DataFrame, parts: Sequence[str], cells: int) -> DataFrame:
-    """One row: the ordered first rows of all cells but the first.
+def in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt to cells in the order of keys and rows, with the cell and whether it begins with the row; written once."""
+    parts = [*keys, *order]
+    place = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(cell_count(df), *parts).sortWithinPartitions(*parts).withColumn("_place", place)
+    cell = F.shiftright("_place", _ROW_BITS).cast("int")
+    first = F.col("_place") == F.shiftleft(F.shiftright("_place", _ROW_BITS), _ROW_BITS)
+    return written(dealt.select(*df.columns, cell.alias(_CELL), first.alias(_FIRST)), "cells")
 
-    They are taken from the rows with the smallest hashes, a fixed number per cell.
-    """
-    drawn = df.select(*parts, F.xxhash64(*parts).alias("_cut_hash")).orderBy("_cut_hash", *parts).limit(cells * SAMPLES_PER_CELL)
-    points = drawn.agg(F.sort_array(F.collect_set(F.struct(*parts))).alias("_points"))
-    return points.select(
-        F.filter("_points", lambda _, i: i % SAMPLES_PER_CELL == SAMPLES_PER_CELL - 1).alias(_CUTS)
-    )
-
-
-def in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], probe: DataFrame | None = None) -> DataFrame:
-    """Adds the cell of every row, and whether its group has rows in several cells."""
-    parts, cells = [*keys, *order], cell_count(df)
-    at = F.struct(*parts)
-    steps, step = [], 1
-    while step <= cells:
-        steps.insert(0, step)
-        step *= 2
-
-    def halve(low: Column, size: Column) -> Column:
-        return F.when(F.get(_CUTS, low + size - 1) <= at, low + size).otherwise(low)
-
-    def same_group(cut: Column) -> Column:
-        equal = F.lit(True)
-        for key in keys:
-            equal = equal & cut[key].eqNullSafe(F.col(key))
-        return cut.isNotNull() & equal
 
-    dealt = df.transform(beside, find_cuts(df if probe is None else probe, parts, cells))
-    dealt = dealt.withColumn(_CELL, F.aggregate(F.lit(steps), F.lit(0), halve))
-    split = same_group(F.get(_CUTS, F.col(_CELL))) | same_group(F.get(_CUTS, F.col(_CELL) - 1))
-    return dealt.withColumn(_SPLIT, split).drop(_CUTS)
+def _same(names: Sequence[str], prefix: str) -> Column:
+    equal = F.lit(True)
+    for name in names:
+        equal = equal & F.col(name).eqNullSafe(F.col(f"{prefix}{name}"))
+    return equal
 
 
 def running(
@@ -78,24 +60,21 @@ def running(
     sums: Mapping[str, Column | str] | None = None,
     totals: Mapping[str, Column | str] | None = None,
     prev: Mapping[str, Column | str] | None = None,
-    probe: DataFrame | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Row number, running sums, group totals and previous values in ``order``.
 
-    ``order`` must be unique within a group. ``probe`` is a cheaper DataFrame
-    with the same key and order columns to draw the cuts from;
-    ``bounded=True`` says the groups are small by construction. Otherwise the
-    rows are written once with their cells, and numbered when the result is read.
+    ``order`` must be unique within a group. ``bounded=True`` says the groups are
+    small by construction. Otherwise the rows are written once with their cells,
+    and numbered when the result is read.
     """
     sums, totals, prev = dict(sums or {}), dict(totals or {}), dict(prev or {})
     names = df.columns
     if not keys:
         keys = [_ALL]
         df = df.withColumn(_ALL, F.lit(0))
-        probe = probe.withColumn(_ALL, F.lit(0)) if probe is not None else None
     keys, order = list(keys), list(order)
-    rows = df if bounded else written(in_cells(df, keys, order, probe), "cells")
+    rows = df if bounded else in_cells(df, keys, order)
     parts = keys if bounded else [*keys, _CELL]
     whole = Window.partitionBy(*parts)
     by_order = whole.orderBy(*order)
@@ -118,9 +97,10 @@ def running(
             *[F.col(f"_lag_{n}").alias(n) for n in prev],
         )
 
-    # One row per cell of a group with a cut in it: at most two per cell.
+    # One row per cell of the groups that a cell begins with: at most two per cell.
+    begun = rows.where(F.col(_FIRST)).select(*[F.col(k).alias(f"_is_{k}") for k in keys]).distinct()
     cells = (
-        rows.where(F.col(_SPLIT))
+        rows.join(F.broadcast(begun), _same(keys, "_is_"), "left_semi")
         .groupBy(*parts)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
@@ -138,10 +118,7 @@ def running(
         *[F.sum(f"_t_{n}").over(group).alias(f"_group_{n}") for n in totals],
         *[F.lag(f"_l_{n}").over(group.orderBy(_CELL)).alias(f"_last_{n}") for n in prev],
     )
-    same = F.lit(True)
-    for p in parts:
-        same = same & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
-    joined = local.join(F.broadcast(offsets), same, "left")
+    joined = local.join(F.broadcast(offsets), _same(parts, "_of_"), "left")
     out = [F.col(n) for n in names]
     if number:
         out.append((F.col("_pos") + F.coalesce("_before", F.lit(0))).cast("long").alias(number))

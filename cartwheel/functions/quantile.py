@@ -1,7 +1,13 @@
-"""Quantile scores and ranks over whole tables."""
+"""Quantiles, quantile scores and ranks over whole tables.
+
+Quantiles are picked from the counts of the distinct values, cumulated by an
+ordered pass: no task holds the values of a column, however many there are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +17,32 @@ from cartwheel.functions.scalar import beside, long
 EDGE_DIGITS = 9
 
 
-def edges(column: str, q: int) -> Column:
-    """Aggregate: linearly interpolated q-quantile edges without repeats."""
-    shares = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    cut = F.percentile(F.col(column).cast("double"), shares)
-    return F.array_distinct(F.transform(cut, lambda e: F.round(e, EDGE_DIGITS)))
+def ranked_counts(df: DataFrame, keys: Sequence[str], column: str, bounded: bool = False) -> DataFrame:
+    """Distinct values of every group with ``_ties``, rows up to them (``_upto``) and of the group (``_total``).
+
+    ``bounded=True`` says that a group has few distinct values by construction.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(long(F.count(F.lit(1))).alias("_ties"))
+    return running(values, keys, [column], sums={"_upto": "_ties"}, totals={"_total": "_ties"}, bounded=bounded)
+
+
+def quantile_of(column: str, share: float) -> Column:
+    """Aggregate over ``ranked_counts``: the linearly interpolated quantile."""
+    at = (F.col("_total") - 1) * F.lit(float(share))
+    low, high = F.floor(at), F.ceil(at)
+    x = F.col(column).cast("double")
+    below, above = F.min(F.when(F.col("_upto") > low, x)), F.min(F.when(F.col("_upto") > high, x))
+    up, down = F.max(at - low), F.max(high - at)
+    return F.when(up == 0, below).otherwise(down * below + up * above)
+
+
+def quantile_edges(df: DataFrame, q: int, columns: dict[str, str]) -> DataFrame:
+    """One row ``{name: edges of column}``: q-quantile edges without repeats."""
+    cells = [F.struct(F.lit(name).alias("_name"), F.col(c).cast("double").alias("_x")) for name, c in columns.items()]
+    ranked = ranked_counts(df.select(F.inline(F.array(*cells))), ["_name"], "_x")
+    cuts = F.array(*[quantile_of("_x", i / q) for i in range(q + 1)])
+    per_name = ranked.groupBy("_name").agg(F.array_distinct(F.transform(cuts, lambda e: F.round(e, EDGE_DIGITS))).alias("_edges"))
+    return per_name.agg(*[F.max(F.when(F.col("_name") == name, F.col("_edges"))).alias(name) for name in columns])
 
 
 def score(x: Column, edge: Column, q: int, reverse: bool = False, on_ties: str = "compress") -> Column:
@@ -35,8 +62,8 @@ def score(x: Column, edge: Column, q: int, reverse: bool = False, on_ties: str =
 
 
 def add_scores(df: DataFrame, q: int, scores: dict[str, tuple[str, bool]], on_ties: str = "compress") -> DataFrame:
-    """Add ``{score: (column, reverse)}``; all edges come from one aggregate row."""
-    table = df.agg(*[edges(c, q).alias(f"_e_{name}") for name, (c, _) in scores.items()])
+    """Add ``{score: (column, reverse)}``; all edges come from one ordered pass."""
+    table = quantile_edges(df, q, {f"_e_{name}": c for name, (c, _) in scores.items()})
     joined = df.transform(beside, table)
     for name, (c, reverse) in scores.items():
         x = F.round(F.col(c).cast("double"), EDGE_DIGITS)
@@ -64,11 +91,8 @@ def average_pct_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     The ordered pass runs over the distinct values of a count column: d distinct
     counts add up to at least d*d/2 rows, so there are few of them.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(long(F.count(F.lit(1))).alias("_ties"))
-    cumulated = running(
-        values, [], [column], sums={"_upto": "_ties"}, totals={"_n": "_ties"}, bounded=True
-    )
-    rank = (F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2) / F.col("_n")
+    cumulated = ranked_counts(df, [], column, bounded=True)
+    rank = (F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2) / F.col("_total")
     return df.join(cumulated.select(column, rank.alias(name)), column, "left").select(*df.columns, name)
 
 

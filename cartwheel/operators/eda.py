@@ -8,6 +8,7 @@ from itertools import product as pairs_of
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwheel.functions.quantile import quantile_of, ranked_counts
 from cartwheel.functions.scalar import beside, long, ratio, rounded
 from cartwheel.operators.facts import with_products
 
@@ -39,9 +40,10 @@ def order_sizes(lines: DataFrame) -> DataFrame:
 
 
 def order_size_stats(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    sizes = order_sizes(lines).agg(
-        rounded(F.avg("order_size"), 4).alias("avg_order_size"),
-        F.percentile("order_size", F.lit(0.5)).alias("median_order_size"),
+    ranked = ranked_counts(order_sizes(lines), [], "order_size", bounded=True)
+    sizes = ranked.agg(
+        rounded(F.sum(F.col("order_size") * F.col("_ties")).cast("double") / F.sum("_ties"), 4).alias("avg_order_size"),
+        quantile_of("order_size", 0.5).alias("median_order_size"),
         F.max("order_size").alias("max_order_size"),
     )
     per_user = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.max("order_number").alias("_top"))

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, rounded, std, zero
+from cartwheel.functions.quantile import quantile_of, ranked_counts
+from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, rounded, std, std_of_sums, zero
 from cartwheel.operators.facts import with_products
 from cartwheel.operators.pair_features import cart_std, mean
 
@@ -39,18 +40,25 @@ def basket_sizes(facts: DataFrame) -> DataFrame:
     return facts.groupBy("user_id", "order_id").agg(F.count(F.lit(1)).alias("basket_size"))
 
 
-def _spread(column: str, digits: int, name: str, prefix: str = "") -> list[Column]:
-    return [
-        rounded(F.avg(column), digits).alias(f"{prefix}avg_{name}"),
-        std(column, digits).alias(f"{prefix}std_{name}"),
-        long(F.min(column)).alias(f"{prefix}min_{name}"),
-        long(F.max(column)).alias(f"{prefix}max_{name}"),
-        rounded(F.median(column), digits).alias(f"{prefix}median_{name}"),
-    ]
+def _spread(facts: DataFrame, digits: int, prefix: str = "") -> DataFrame:
+    """Mean, deviation, range and median of a user's basket sizes, from how often each size occurs.
+
+    d distinct sizes have at least d * d / 2 lines, so a user has few.
+    """
+    ranked = ranked_counts(basket_sizes(facts), ["user_id"], "basket_size", bounded=True)
+    size, n = F.col("basket_size"), F.col("_ties")
+    total, squares = F.sum(size * n), F.sum(size * size * n)
+    return ranked.groupBy("user_id").agg(
+        rounded(total.cast("double") / F.sum(n), digits).alias(f"{prefix}avg_basket_size"),
+        zero(rounded(std_of_sums(F.sum(n), total, squares), digits)).alias(f"{prefix}std_basket_size"),
+        long(F.min(size)).alias(f"{prefix}min_basket_size"),
+        long(F.max(size)).alias(f"{prefix}max_basket_size"),
+        rounded(quantile_of("basket_size", 0.5), digits).alias(f"{prefix}median_basket_size"),
+    )
 
 
 def basket_patterns(facts: DataFrame) -> DataFrame:
-    return basket_sizes(facts).groupBy("user_id").agg(*_spread("basket_size", 4, "basket_size"))
+    return _spread(facts, 4)
 
 
 def product_patterns(sums: DataFrame) -> DataFrame:
@@ -126,7 +134,7 @@ def temporal(orders: DataFrame) -> DataFrame:
 
 
 def basket(facts: DataFrame) -> DataFrame:
-    return basket_sizes(facts).groupBy("user_id").agg(*_spread("basket_size", 2, "basket_size", "user_"))
+    return _spread(facts, 2, "user_")
 
 
 def totals(sums: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def small_cells(monkeypatch):
     """Groups with a few rows lie in several cells."""
     from cartwheel.functions import ordered
 
-    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 40)
+    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 10)
 
 
 def rows(df, *columns):

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions import ordered
-from cartwheel.functions.ordered import find_cuts, in_cells, running, top_per_group
+from cartwheel.functions.ordered import in_cells, running, top_per_group
 from tests.conftest import rows
 
 
@@ -55,20 +55,33 @@ def test_null_keys_are_a_group(spark):
     assert rows(got, "k", "a", "n") == rows(want, "k", "a", "n")
 
 
-def test_a_hot_key_is_dealt_to_many_cells(skewed):
+def test_a_hot_key_is_dealt_to_many_cells(skewed, monkeypatch):
     _, df = skewed
-    sizes = in_cells(df, ["k"], ["a", "b"]).where("k = 0").groupBy("_cell").count().collect()
+    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 4)
+    dealt = in_cells(df, ["k"], ["a", "b"])
+    sizes = dealt.where("k = 0").groupBy("_cell").count().collect()
     assert len(sizes) >= 5 and max(r["count"] for r in sizes) < 0.5 * df.where("k = 0").count()
-    split = {r.k for r in in_cells(df, ["k"], ["a", "b"]).where("_split").select("k").distinct().collect()}
-    assert 0 in split and len(split) <= ordered.cell_count(df)
+    assert dealt.where("_first").count() == dealt.select("_cell").distinct().count() <= ordered.cell_count(df)
 
 
-def test_copies_do_not_swell_the_cuts(spark):
+def test_cells_are_in_order_and_copies_stay_together(spark):
     df = spark.range(3000).select(
         F.lit(1).alias("k"), F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("a")
     )
-    cuts = find_cuts(df, ["k", "a"], 20).first()["_cuts"]
-    assert 0 < len(cuts) <= 20 and len({tuple(c) for c in cuts}) == len(cuts)
+    ends = in_cells(df, ["k"], ["a"]).groupBy("_cell").agg(F.min("a").alias("low"), F.max("a").alias("high")).orderBy("_cell").collect()
+    assert len(ends) > 1 and all(a.high < b.low for a, b in zip(ends, ends[1:]))
+
+
+def test_a_group_over_all_cells_and_groups_between(spark, small_cells):
+    """One key from the first cell to the last, keys that begin with a cell, and a key in the middle of one."""
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, F.lit(0)).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("a"))
+    got = running(df, ["k"], ["a"], number="n", sums={"s": F.lit(1)}, totals={"t": F.lit(1)}, prev={"p": "a"})
+    w = Window.partitionBy("k").orderBy("a")
+    want = df.select(
+        "k", "a", F.row_number().over(w).cast("long").alias("n"), F.row_number().over(w).cast("long").alias("s"),
+        F.count("*").over(Window.partitionBy("k")).alias("t"), F.lag("a").over(w).alias("p"),
+    )
+    assert rows(got, "k", "a", "n", "s", "t", "p") == rows(want)
 
 
 def test_no_rows(spark):

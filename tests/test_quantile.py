@@ -7,7 +7,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cartwheel.functions import ordered
-from cartwheel.functions.quantile import add_scores, average_pct_rank, dense_codes, rank_first_score
+from cartwheel.functions.quantile import (
+    add_scores, average_pct_rank, dense_codes, quantile_edges, quantile_of, rank_first_score, ranked_counts,
+)
 
 
 def frame(spark, values):
@@ -73,3 +75,32 @@ def test_dense_codes(spark):
 def test_mode_takes_the_smallest(spark):
     df = spark.createDataFrame([(3,), (1,), (1,), (3,)], "x int")
     assert df.agg(F.mode("x", True).alias("m")).first().m == 1
+
+
+def test_quantiles_of_more_values_than_a_task_should_hold(spark, monkeypatch):
+    """200,000 distinct values, in cells of some thousands each."""
+    monkeypatch.setattr(ordered, "CELLS_PER_PARTITION", 16)
+    df = spark.range(200_000).select(F.expr("cast(pmod(xxhash64(id), 1000000007) as double) / 7").alias("x"), F.col("id").alias("y"))
+    row = quantile_edges(df, 7, {"a": "x", "b": "y"}).first()
+    values = df.toPandas()
+    shares = np.arange(8) / 7
+    assert row.a == pytest.approx(np.quantile(values.x, shares), abs=1e-6)
+    assert row.b == pytest.approx(np.quantile(values.y, shares), abs=1e-6)
+    dealt = ordered.in_cells(df.select("x").distinct(), ["x"], []).groupBy("_cell").count().toPandas()["count"]
+    assert len(dealt) == 64 and dealt.max() < 3 * 200_000 / 64
+    plan = quantile_edges(df, 7, {"a": "x"})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan.lower()
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_quantiles_per_group(spark, bounded):
+    rows = pd.DataFrame({"k": np.arange(500) % 7, "x": np.random.default_rng(2).integers(0, 30, 500)})
+    rows.loc[rows.k == 3, "x"] = 4
+    ranked = ranked_counts(spark.createDataFrame(rows), ["k"], "x", bounded)
+    got = ranked.groupBy("k").agg(*[quantile_of("x", s).alias(f"q{s}") for s in (0, 0.25, 0.5, 1)]).toPandas().set_index("k").sort_index()
+    want = rows.groupby("k").x.quantile([0, 0.25, 0.5, 1]).unstack()
+    assert np.allclose(got.values, want.values)
+
+
+def test_no_values(spark):
+    assert quantile_edges(spark.createDataFrame([(None,)], "x double"), 4, {"a": "x"}).first().a is None
