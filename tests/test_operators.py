@@ -1,5 +1,7 @@
 """Small hand-made cases of the operators."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,9 @@ from cartwheel.functions import rules
 from cartwheel.functions.scalar import ratio, rounded
 from cartwheel.sources.retail import catalogue_from
 from cartwheel.operators import candidates, metrics, models, pair_features, quality, recommend, rfm, sequences, user_features
-from tests.conftest import rows
+from cartwheel.sources.files import save_model
+from registry import QUERIES
+from tests.conftest import TINY, rows
 
 
 def facts(spark, *lines):
@@ -300,3 +304,56 @@ def test_models_rank_unseen_rows(spark):
     assert len(losses) == 12 and 1 <= kept <= 12 and losses[kept - 1] == min(losses[: kept + 3])
     assert models.bounded_sample(train, 100).count() == 100
     assert models.feature_importance(forest).first().feature == "a"
+
+
+def test_boosting_stops_where_validation_gets_worse(spark):
+    """Noise is learned by heart: the validation loss soon rises, and the model is cut there."""
+    rng = np.random.default_rng(8)
+    data = [(i, 0, int(rng.random() < 0.5), *map(float, rng.random(2))) for i in range(500)]
+    df = spark.createDataFrame(data, "user_id long, product_id long, label int, a double, b double")
+    aside = models.validation_share(df, 0.3)
+    assert 100 < df.where(aside).count() < 200
+    found = models.stopped_trees(df.where(~aside), df.where(aside), ["a", "b"], iterations=30, depth=5, patience=5)
+    assert found.kept < 30 and found.model.stages[-1].getNumTrees == found.kept
+    again = found.model.stages[-1].evaluateEachIteration(found.model.stages[0].transform(df.where(aside)))
+    assert again == pytest.approx(found.losses[: found.kept])
+    assert found.losses[found.kept - 1] == min(found.losses[: found.kept + 5])
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_node_tables_give_the_scores_of_the_model(spark, tmp_path, kind):
+    train, held = learnable(spark)
+    inputs = ["a", "b", "c"]
+    make = models.boosted_trees if kind == "boosted" else models.random_forest
+    model = make(train, inputs, 8, 4)
+    path = save_model(model, str(tmp_path), kind)
+    nodes = models.node_table(spark, path)
+    assert nodes.select("tree").distinct().count() == 8
+    assert nodes.where("(value IS NULL) = (feature IS NULL)").count() == 0
+    walked = {(r.user_id, r.product_id): r.score for r in models.score_by_nodes(held, nodes, inputs, kind == "boosted", 4).collect()}
+    scored = models.predict(model, held).collect()
+    assert len(walked) == len(scored) > 100
+    assert all(abs(walked[r.user_id, r.product_id] - r.score) < 1e-6 for r in scored)
+
+
+def test_logistic_stack_is_its_weights(spark):
+    train, held = learnable(spark)
+    model = models.stack_logistic(train, ["a", "b"])
+    fit = model.stages[-1]
+    weights = dict(zip(["a", "b"], fit.coefficients.toArray().tolist()))
+    margins = {r.user_id: r.margin for r in models.score_linear(held, weights, "margin", fit.intercept).collect()}
+    for r in models.predict(model, held).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margins[r.user_id])), abs=1e-6)
+
+
+def test_registered_scores_are_those_of_the_node_table(spark):
+    """The served model on the registered test rows: walked node by node in SQL over its table."""
+    scores, walked = (rows(QUERIES[k](spark, TINY)) for k in ("l3_predictions", "l3_node_predictions"))
+    assert len(scores) == len(walked) > 0
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-6 for a, b in zip(scores, walked))
+    stopping = QUERIES["l1_early_stopping"](spark, TINY).collect()
+    kept = [r for r in stopping if r.is_kept]
+    trees = QUERIES["l1_model_nodes"](spark, TINY).select("tree").distinct().count()
+    assert len(kept) == 1 and trees == kept[0].round and kept[0].validation_loss == min(r.validation_loss for r in stopping[: trees + 20])
+    board = QUERIES["l8_leaderboard"](spark, TINY).collect()
+    assert [r.is_best for r in board].count(1) == 1 and max(board, key=lambda r: r.auc).auc == next(r.auc for r in board if r.is_best)
