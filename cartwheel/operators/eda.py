@@ -153,3 +153,23 @@ def correlation_matrix(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def share_of(df: DataFrame, flag: str, digits: int = 4) -> DataFrame:
     return df.agg(ratio(F.count_if(F.col(flag) == 1), F.count(F.lit(1)), digits).alias("share"))
+
+
+def cohort_retention(orders: DataFrame, placed_at: str) -> DataFrame:
+    """Users by the month of their first order, and how many of them order again, month by month.
+
+    A dense triangle: months without an order of the cohort are 0, months after
+    the last one of the data are absent. Months are few, so only the first two
+    steps see the size of the data.
+    """
+    month = F.trunc(F.col(placed_at), "month")
+    active = orders.where(F.col("user_id").isNotNull() & F.col(placed_at).isNotNull()).select("user_id", month.alias("_month")).distinct()
+    started = active.groupBy("user_id").agg(F.min("_month").alias("cohort"))
+    distance = F.months_between("_month", "cohort").cast("int").alias("period")
+    seen = active.join(started, "user_id").select("cohort", distance).groupBy("cohort", "period").agg(_count("n_active"))
+    sizes = started.groupBy("cohort").agg(_count("n_users"))
+    last = active.agg(F.max("_month").alias("_last"))
+    months = F.sequence(F.lit(0), F.months_between("_last", "cohort").cast("int"))
+    dense = sizes.transform(beside, last).select("cohort", "n_users", F.explode(months).alias("period"))
+    filled = dense.join(seen, ["cohort", "period"], "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)).cast("long"))
+    return filled.select("cohort", "period", "n_users", "n_active", ratio("n_active", "n_users", 6).alias("retention"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions.ordered import running, top_per_group
@@ -140,6 +142,67 @@ def recommendation_metrics(recommendations: DataFrame, truth: DataFrame, k_value
     return _averaged(counted.join(relevant, "user_id"), k_values)
 
 
+def discounted_metrics(recommendations: DataFrame, truth: DataFrame, k_values: Sequence[int] = K_VALUES) -> DataFrame:
+    """MAP, NDCG and MRR at every K: hits weigh by their place in the list.
+
+    Over the users with a list and with truth, as ``recommendation_metrics``. A
+    repeated product counts at its first rank; a list that is shorter than K just
+    ends, one without a hit counts 0. The ideal list begins with the user's
+    min(K, truth) true products.
+    """
+    most = max(k_values)
+    true_pairs = truth.select(*PAIR).distinct()
+    relevant = true_pairs.groupBy("user_id").agg(long(F.count(F.lit(1))).alias("_relevant"))
+    first = recommendations.where(F.col("rank") <= most).groupBy(*PAIR).agg(F.min("rank").alias("rank"))
+    hits = first.join(true_pairs.withColumn("_hit", F.lit(1)), PAIR, "left").withColumn("_hit", zero("_hit"))
+    # At most ``most`` rows of a user are left.
+    so_far = Window.partitionBy("user_id").orderBy("rank", "product_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.withColumn("_nth", F.sum("_hit").over(so_far))
+
+    def within(k: int, value: Column) -> Column:
+        return zero(F.sum(F.when((F.col("rank") <= k) & (F.col("_hit") == 1), value)))
+
+    def best(k: int) -> Column:
+        return zero(F.max(F.when((F.col("rank") <= k) & (F.col("_hit") == 1), 1.0 / F.col("rank"))))
+
+    gain = 1.0 / F.log2(F.col("rank") + 1.0)
+    users = placed.groupBy("user_id").agg(
+        *[within(k, F.col("_nth") / F.col("rank")).alias(f"_map_{k}") for k in k_values],
+        *[within(k, gain).alias(f"_dcg_{k}") for k in k_values],
+        *[best(k).alias(f"_mrr_{k}") for k in k_values],
+    ).join(relevant, "user_id")
+    ideal = list(accumulate(1 / math.log2(i + 1) for i in range(1, most + 1)))
+    cells = []
+    for k in k_values:
+        full = F.least(F.lit(k), F.col("_relevant")).cast("int")
+        ndcg = F.col(f"_dcg_{k}") / F.get(F.array(*map(F.lit, ideal)), full - 1)
+        cells.append(
+            F.struct(F.lit(k).alias("k"), (F.col(f"_map_{k}") / full).alias("m"), ndcg.alias("n"), F.col(f"_mrr_{k}").alias("r"))
+        )
+    return users.select(F.inline(F.array(*cells))).groupBy("k").agg(
+        long(F.count(F.lit(1))).alias("n_users"),
+        rounded(F.avg("m"), 6).alias("map"),
+        rounded(F.avg("n"), 6).alias("ndcg"),
+        rounded(F.avg("r"), 6).alias("mrr"),
+    )
+
+
+def novelty(recommendations: DataFrame, facts: DataFrame) -> DataFrame:
+    """Mean self-information, -log2 of the share of users who bought a product, over all recommended places.
+
+    A product nobody bought counts as bought by one user.
+    """
+    buyers = facts.select(*PAIR).distinct().groupBy("product_id").agg(F.count(F.lit(1)).alias("_buyers"))
+    users = facts.agg(F.count_distinct("user_id").alias("_users"))
+    listed = recommendations.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = listed.join(buyers, "product_id", "left").transform(beside, users)
+    share = F.greatest(F.coalesce("_buyers", F.lit(1)), F.lit(1)) / F.col("_users")
+    return known.agg(
+        zero(rounded(F.sum(F.col("_n") * -F.log2(share)) / F.sum("_n"), 6)).alias("avg_novelty"),
+        long(F.coalesce(F.sum(F.when(F.col("_buyers").isNull(), F.col("_n"))), F.lit(0))).alias("n_never_bought"),
+    )
+
+
 def per_user_ranking(
     scored: DataFrame, k_values: Sequence[int] = K_VALUES, label: str = "label", score: str = "score"
 ) -> DataFrame:
@@ -206,8 +269,12 @@ def business_metrics(recommendations: DataFrame, popularity: DataFrame, revenue:
     return joined.agg(*out)
 
 
-def model_report(scored: DataFrame, model: str, k_values: Sequence[int] = K_VALUES, label: str = "label", score: str = "score") -> DataFrame:
-    """One flat row: sample, classification and ranking metrics of one model."""
+def model_report(
+    scored: DataFrame, model: str, k_values: Sequence[int] = K_VALUES,
+    label: str = "label", score: str = "score",
+    additional: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """One flat row: sample, classification and ranking metrics of one model, and ``additional`` ones from elsewhere."""
     stats = scored.agg(
         long(F.count(F.lit(1))).alias("total_samples"),
         long(F.coalesce(F.sum(label), F.lit(0))).alias("positive_samples"),
@@ -220,7 +287,8 @@ def model_report(scored: DataFrame, model: str, k_values: Sequence[int] = K_VALU
     )
     gain = rounded((F.col("auc") - 0.5) / 0.5 * 100, 1).alias("improvement_over_random")
     whole = stats.transform(beside, classification_metrics(scored, label, score)).transform(beside, at_k)
-    return whole.select(F.lit(model).alias("model_name"), "*", gain)
+    extra = [F.lit(float(v)).alias(name) for name, v in (additional or {}).items()]
+    return whole.select(F.lit(model).alias("model_name"), "*", gain, *extra)
 
 
 def nested_report(report: DataFrame) -> DataFrame:
@@ -228,8 +296,11 @@ def nested_report(report: DataFrame) -> DataFrame:
     groups = {
         "data_stats": ["total_samples", "positive_samples", "positive_rate", "negative_samples"],
         "classification": ["auc", "accuracy", "precision", "recall", "f1"],
-        "ranking": [c for c in report.columns if "_at_" in c],
+        "ranking": [c for c in report.columns if c.partition("_at_")[0] in ("precision", "recall", "f1") and "_at_" in c],
     }
+    known = {"model_name", "improvement_over_random", *sum(groups.values(), [])}
+    if others := [c for c in report.columns if c not in known]:
+        groups["additional"] = others
     return report.select(
         "model_name", *[F.struct(*cols).alias(name) for name, cols in groups.items()], "improvement_over_random"
     )

@@ -140,10 +140,8 @@ def transitions(facts: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def next_item_scores(
-    facts: DataFrame, vocab: DataFrame, users: DataFrame, k: int = 10, back_off: float = 0.4
-) -> DataFrame:
-    """Top ``k`` next products per user from the last item bought.
+def successors(facts: DataFrame, vocab: DataFrame, k: int = 10, back_off: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best next products of every known product, and those of a user without any: ranked lists.
 
     Score: transition probability, or ``back_off`` times the product's share of
     lines where the step was never seen. The k best successors and the k most
@@ -159,11 +157,6 @@ def next_item_scores(
     )
     best = top_per_group(step, ["prev_product_id"], [F.desc("probability"), "product_id"], k)
     seen = best.select("prev_product_id", "product_id", F.col("probability").alias("score"))
-
-    last = top_per_group(
-        known.select("user_id", *ORDER, "product_id").join(users, "user_id", "left_semi"),
-        ["user_id"], [F.desc(c) for c in ORDER], 1, "_age",
-    ).select("user_id", F.col("product_id").alias("prev_product_id"))
     origins = vocab.select(F.col("product_id").alias("prev_product_id"))
     unseen = missing_from_top(
         origins, step.select("prev_product_id", "product_id"), ranked, "prev_product_id", k
@@ -171,14 +164,31 @@ def next_item_scores(
     per_item = top_per_group(
         seen.unionByName(unseen), ["prev_product_id"], [F.desc("score"), "product_id"], k
     )
+    first = ranked.join(share, "product_id").where(F.col("popularity_rank") <= k)
+    return per_item, first.select("product_id", "score", F.col("popularity_rank").cast("int").alias("rank"))
+
+
+def next_item_scores(
+    facts: DataFrame, vocab: DataFrame, users: DataFrame, k: int = 10, back_off: float = 0.4
+) -> DataFrame:
+    """Top ``k`` next products per user from the last item bought; who has bought nothing known gets the most popular."""
+    per_item, popular = successors(facts, vocab, k, back_off)
+    known = facts.join(vocab.select("product_id"), "product_id", "left_semi")
+    last = top_per_group(
+        known.select("user_id", *ORDER, "product_id").join(users, "user_id", "left_semi"),
+        ["user_id"], [F.desc(c) for c in ORDER], 1, "_age",
+    ).select("user_id", F.col("product_id").alias("prev_product_id"))
     known_users = last.join(per_item, "prev_product_id").select("user_id", "product_id", "score", "rank")
-    # Who has bought nothing known gets the most popular products: k rows, packed into one.
-    first = share.orderBy(F.desc("score"), "product_id").limit(k)
-    packed = first.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "product_id"))).alias("_first"))
+    # k rows, packed into one.
+    packed = popular.agg(F.sort_array(F.collect_list(F.struct("rank", "product_id", "score"))).alias("_first"))
     others = users.join(last, "user_id", "left_anti").transform(beside, packed)
-    listed = others.select("user_id", F.posexplode("_first").alias("_at", "_item"))
-    return known_users.unionByName(
-        listed.select(
-            "user_id", F.col("_item.product_id").alias("product_id"), (-F.col("_item.s")).alias("score"), (F.col("_at") + 1).alias("rank")
-        )
-    )
+    return known_users.unionByName(others.select("user_id", F.inline("_first")))
+
+
+def window_lists(facts: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+    """(prev, product_id, rank) in vocabulary indices: the list for every last item of a window, 0 being unknown."""
+    per_item, popular = successors(facts, vocab, k)
+    origin = vocab.select(F.col("product_id").alias("prev_product_id"), F.col("idx").alias("prev"))
+    listed = per_item.join(origin, "prev_product_id").select("prev", "product_id", "rank")
+    whole = listed.unionByName(popular.select(F.lit(0).alias("prev"), "product_id", "rank"))
+    return whole.join(vocab, "product_id").select("prev", F.col("idx").alias("product_id"), "rank")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 from cartwheel.functions.ordered import top_per_group
-from cartwheel.operators import metrics, recommend
+from cartwheel.operators import eda, metrics, recommend, sequences
 from cartwheel.session import new_path
 from cartwheel.sources.files import load_json, save_json
 from registry.base import fragment, query, r, ratio
 from registry.candidates import scored
 from registry.recommend import MODELS, _auc, avg_scores
+from registry.sequences import VOCABULARY
 
 KS = (5, 10, 20)
 F1 = "coalesce(2 * p * c / nullif(p + c, 0), 0)"
@@ -108,15 +109,74 @@ def _(s):
     return metrics.per_user_ranking(avg_scores(s))
 
 
+fragment(
+    "item_lists",
+    """
+      SELECT prev, idx, rank FROM
+        (SELECT p.idx AS prev, v.idx, row_number() OVER (PARTITION BY p.idx
+           ORDER BY coalesce(s.probability, 0.4 * k.n / k.n_all) DESC, v.product_id) AS rank
+         FROM (SELECT idx, product_id FROM vocab UNION ALL SELECT 0, NULL) p CROSS JOIN vocab v
+         JOIN (SELECT product_id, count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS n_all
+               FROM walk WHERE idx > 0 GROUP BY product_id) k ON k.product_id = v.product_id
+         LEFT JOIN steps s ON s.prev_product_id = p.product_id AND s.product_id = v.product_id)
+      WHERE rank <= 20""",
+)
+
+
 @query(
     "m7_hit_rates",
     f"""SELECT count(*) AS n_targets, {', '.join(f"{ratio(f'count(*) FILTER (rank <= {k})', 'count(*)', 6)} AS hit_rate_{k}" for k in KS)}
-        FROM (SELECT user_id, product_id FROM train_lines WHERE add_to_cart_order = 1) LEFT JOIN recs20 USING (user_id, product_id)""",
+        FROM (SELECT string_split(seq, ',')[20]::INTEGER AS prev, target FROM windows) w
+        LEFT JOIN item_lists l ON l.prev = w.prev AND l.idx = w.target""",
+)
+def _(s):
+    """Is the target of a window among the next items of its last one? A window is a row, no list is copied for it."""
+    vocab = sequences.vocabulary(s.lines("prior"), VOCABULARY)
+    windows = sequences.next_item_windows(s.lines("prior"), vocab)
+    targets = windows.select(F.element_at("seq", -1).alias("prev"), "target")
+    return metrics.hit_rates(sequences.window_lists(s.lines("prior"), vocab, max(KS)), targets, KS, keys=["prev"])
+
+
+@query(
+    "k1_discounted_metrics",
+    f"""SELECT k::INTEGER AS k, count(*) AS n_users, {r('avg(precisions / least(k, relevant))', 6)} AS map,
+          {r('avg(gains / list_sum(list_transform(range(1, least(k, relevant) + 1), lambda i: 1 / log2(i + 1))))', 6)} AS ndcg,
+          {r('avg(coalesce(1.0::DOUBLE / best, 0))', 6)} AS mrr
+        FROM (SELECT k, user_id, coalesce(sum(nth::DOUBLE / rank) FILTER (hit), 0) AS precisions,
+                coalesce(sum(1 / log2(rank + 1.0)) FILTER (hit), 0) AS gains, min(rank) FILTER (hit) AS best
+              FROM (SELECT user_id, rank, t.user_id IS NOT NULL AS hit,
+                      count(t.user_id) OVER (PARTITION BY r.user_id ORDER BY rank) AS nth
+                    FROM recs20 r LEFT JOIN truth t USING (user_id, product_id)), (SELECT unnest([5, 10, 20]) AS k)
+              WHERE rank <= k GROUP BY k, user_id)
+        JOIN (SELECT user_id, count(*) AS relevant FROM truth GROUP BY user_id) USING (user_id) GROUP BY k""",
+)
+def _(s):
+    return metrics.discounted_metrics(recs20(s), truth(s), KS)
+
+
+@query(
+    "k4_novelty",
+    f"""SELECT {r('avg(-log2(greatest(coalesce(buyers, 1), 1)::DOUBLE / (SELECT count(DISTINCT user_id) FROM prior_lines)))', 6)} AS avg_novelty,
+          count(*) FILTER (buyers IS NULL) AS n_never_bought
+        FROM recs20 LEFT JOIN (SELECT product_id, count(DISTINCT user_id) AS buyers FROM prior_lines GROUP BY product_id) USING (product_id)""",
+)
+def _(s):
+    return metrics.novelty(recs20(s), s.lines("prior"))
+
+
+@query(
+    "k5_cohort_retention",
+    f"""SELECT * FROM (WITH active AS (SELECT DISTINCT o_custkey AS user_id, date_trunc('month', o_orderdate)::DATE AS m FROM orders),
+          started AS (SELECT user_id, min(m) AS cohort FROM active GROUP BY user_id),
+          sizes AS (SELECT cohort, count(*) AS n_users FROM started GROUP BY cohort),
+          dense AS (SELECT cohort, n_users, unnest(range(0, date_diff('month', cohort, (SELECT max(m) FROM active)) + 1)) AS period FROM sizes),
+          seen AS (SELECT cohort, date_diff('month', cohort, m) AS period, count(*) AS n FROM active JOIN started USING (user_id) GROUP BY ALL)
+        SELECT strftime(cohort, '%Y-%m') AS cohort, period::INTEGER AS period, n_users, coalesce(n, 0) AS n_active, {ratio('coalesce(n, 0)', 'n_users', 6)} AS retention
+        FROM dense LEFT JOIN seen USING (cohort, period))""",
 )
 def _(s):
-    """Is the first product of the train order in the list?"""
-    targets = s.lines("train").where(F.col("add_to_cart_order") == 1).select("user_id", F.col("product_id").alias("target"))
-    return metrics.hit_rates(recs20(s), targets)
+    orders = s.raw("orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate")
+    return eda.cohort_retention(orders, "o_orderdate").withColumn("cohort", F.date_format("cohort", "yyyy-MM"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartwheel.functions import rules
 from cartwheel.functions.scalar import ratio, rounded
 from cartwheel.sources.retail import catalogue_from
-from cartwheel.operators import candidates, metrics, models, pair_features, quality, recommend, rfm, sequences, user_features
+from cartwheel.operators import candidates, eda, metrics, models, pair_features, quality, recommend, rfm, sequences, user_features
 from cartwheel.sources.files import save_model
 from registry import QUERIES
 from tests.conftest import TINY, rows
@@ -357,3 +357,60 @@ def test_registered_scores_are_those_of_the_node_table(spark):
     assert len(kept) == 1 and trees == kept[0].round and kept[0].validation_loss == min(r.validation_loss for r in stopping[: trees + 20])
     board = QUERIES["l8_leaderboard"](spark, TINY).collect()
     assert [r.is_best for r in board].count(1) == 1 and max(board, key=lambda r: r.auc).auc == next(r.auc for r in board if r.is_best)
+
+
+def test_discounted_metrics_match_brute_force(spark):
+    """Repeated products, lists without hits, shorter and longer than K and than the truth; users without truth or list."""
+    rng = np.random.default_rng(4)
+    lists = {u: rng.integers(0, 12, rng.integers(1, 9)).tolist() for u in range(30)}
+    lists[3] = [5] * 6
+    truth = {u: sorted(set(rng.integers(0, 12, rng.integers(1, 8)).tolist())) for u in range(5, 35)}
+    truth[3], truth[6] = [5], [99]
+    recs = [(u, i + 1, p) for u, ps in lists.items() for i, p in enumerate(ps)]
+    pairs = [(u, p) for u, ps in truth.items() for p in [*ps, ps[0]]]
+    got = metrics.discounted_metrics(
+        spark.createDataFrame(recs, "user_id long, rank int, product_id long"), spark.createDataFrame(pairs, "user_id long, product_id long"), (1, 3, 7)
+    )
+    for row in got.collect():
+        aps, ndcgs, rrs = [], [], []
+        for u in lists.keys() & truth.keys():
+            first = {}
+            for rank, p in enumerate(lists[u], 1):
+                first.setdefault(p, rank)
+            hits = sorted(rank for p, rank in first.items() if p in truth[u] and rank <= row.k)
+            full = min(row.k, len(truth[u]))
+            aps.append(sum((n + 1) / rank for n, rank in enumerate(hits)) / full)
+            ndcgs.append(sum(1 / math.log2(rank + 1) for rank in hits) / sum(1 / math.log2(i + 1) for i in range(1, full + 1)))
+            rrs.append(1 / hits[0] if hits else 0)
+        assert (row.n_users, row.map, row.ndcg, row.mrr) == (len(aps), *(pytest.approx(np.mean(x), abs=1e-6) for x in (aps, ndcgs, rrs)))
+    none = metrics.discounted_metrics(spark.createDataFrame(recs, "user_id long, rank int, product_id long"), spark.createDataFrame([], "user_id long, product_id long"))
+    assert none.count() == 0
+
+
+def test_novelty_of_products_nobody_bought(spark):
+    bought = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 1), (4, 2)], "user_id long, product_id long")
+    recs = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 9)], "user_id long, rank int, product_id long")
+    row = metrics.novelty(recs, bought).first()
+    assert (row.avg_novelty, row.n_never_bought) == (pytest.approx((-math.log2(3 / 4) + 2 + 2) / 3, abs=1e-6), 1)
+
+
+def test_retention_is_a_dense_triangle(spark):
+    placed = [(1, "2024-01-30"), (1, "2024-04-01"), (2, "2024-01-02"), (2, "2024-01-03"), (3, "2024-03-15"), (None, "2024-02-01"), (4, None)]
+    orders = spark.createDataFrame(placed, "user_id long, day string").withColumn("day", F.col("day").cast("date"))
+    got = [(str(r.cohort), r.period, r.n_users, r.n_active, r.retention) for r in eda.cohort_retention(orders, "day").collect()]
+    assert sorted(got) == [
+        ("2024-01-01", 0, 2, 2, 1.0), ("2024-01-01", 1, 2, 0, 0.0), ("2024-01-01", 2, 2, 0, 0.0), ("2024-01-01", 3, 2, 1, 0.5),
+        ("2024-03-01", 0, 1, 1, 1.0), ("2024-03-01", 1, 1, 0, 0.0),
+    ]
+
+
+def test_every_window_is_a_target(spark):
+    hits, meta = (QUERIES[k](spark, TINY).first() for k in ("m7_hit_rates", "q7_sequence_metadata"))
+    assert hits.n_targets == meta.total_targets
+
+
+def test_report_with_additional_metrics(spark):
+    train, _ = learnable(spark, 60)
+    report = metrics.model_report(train.withColumn("score", F.col("a")), "m", additional={"train_minutes": 3.5, "map_at_10": 0.25})
+    nested = metrics.nested_report(report).first()
+    assert (nested.additional.train_minutes, nested.additional.map_at_10) == (3.5, 0.25)
