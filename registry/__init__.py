@@ -4,6 +4,7 @@ from registry.base import QUERIES, oracle
 from registry import (  # noqa: F401  (importing a section registers its queries)
     candidates,
     features,
+    matrix,
     metrics,
     models,
     recommend,

@@ -70,6 +70,33 @@ def fragment(name: str, text: str) -> str:
     return name
 
 
+def copies(names: tuple[str, ...], suffix: str, instead: dict[str, str]) -> None:
+    """Register ``names`` and all they are made of once more, with other sources in place of some."""
+    used: list[str] = []
+
+    def place(text: str) -> bool:
+        """Whether the text depends on a source that is replaced."""
+        found = False
+        for name in list(FRAGMENTS):
+            if re.search(rf"\b{name}\b", text):
+                if name in instead:
+                    found = True
+                elif name in used or place(FRAGMENTS[name]):
+                    found = True
+                    if name not in used:
+                        used.append(name)
+        return found
+
+    place(" ".join(names))
+    for name in used:
+        text = FRAGMENTS[name]
+        for other in used:
+            text = re.sub(rf"\b{other}\b", f"{other}{suffix}", text)
+        for source, new in instead.items():
+            text = re.sub(rf"\b{source}\b", new, text)
+        fragment(f"{name}{suffix}", text)
+
+
 def with_fragments(body: str) -> str:
     """The body behind the expressions it needs, each after those it uses."""
     placed: dict[str, str] = {}

@@ -162,15 +162,16 @@ def _(s):
 @query(
     "c8_label_encoding",
     """SELECT user_id, Segment, (dense_rank() OVER (ORDER BY Segment) - 1)::INTEGER AS Segment_encoded FROM
-       (SELECT user_id, coalesce(Segment, '0') AS Segment FROM (SELECT DISTINCT user_id FROM ord)
-        LEFT JOIN (SELECT user_id, Segment FROM rfm_segments WHERE R_score > 1) USING (user_id))""",
+       (SELECT user_id, coalesce(Segment, '0') AS Segment FROM (SELECT c_custkey AS user_id FROM customer)
+        LEFT JOIN (SELECT user_id, Segment FROM rfm_segments) USING (user_id))""",
 )
 def _(s):
-    """Segments of users with more than the lowest recency score; the others are missing."""
+    """Segments of all customers; those without orders have none."""
     from cartwheel.operators import rfm
 
-    known = rfm.segment_users(s.lines()).where(F.col("R_score") > 1).select("user_id", "Segment")
-    return candidates.encode_labels(s.orders.select("user_id").distinct().join(known, "user_id", "left"), "Segment")
+    known = rfm.segment_users(s.lines()).select("user_id", "Segment")
+    customers = s.raw("customer").select(F.col("c_custkey").alias("user_id"))
+    return candidates.encode_labels(customers.join(known, "user_id", "left"), "Segment")
 
 
 @query(
@@ -184,15 +185,6 @@ def _(s):
     return candidates.encoder_classes(s.catalogue, ["department", "aisle"])
 
 
-@query("c9_feature_columns")
-def _(s):
-    """Mean of every model input over the training matrix."""
-    wide = matrix(s)
-    inputs = candidates.feature_columns(wide)
-    row = wide.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in inputs])
-    return row.unpivot([], inputs, "feature", "mean")
-
-
 @query(
     "c10_popular_items",
     """SELECT product_id, count(*) AS popularity_score, row_number() OVER (ORDER BY count(*) DESC, product_id) AS popularity_rank
@@ -243,55 +235,26 @@ def _(s):
     return base.withColumns({c: rounded(c, 6) for c in ("score_random", "score_majority")})
 
 
-MATRIX_USER = ["user_total_orders", "user_avg_basket_size", "user_reorder_rate"]
-MATRIX_ITEM = ["item_total_orders", "item_reorder_rate", "item_dept_popularity_rank"]
-MATRIX_PAIR = ["ui_times_bought", "ui_orders_since_last_purchase", "ui_purchase_frequency"]
-
-
-@query(
-    "j9_training_matrix",
-    """SELECT l.user_id, l.product_id, label, u.user_total_orders, coalesce(b.user_avg_basket_size, 0) AS user_avg_basket_size,
-         coalesce(b.user_reorder_rate, 0) AS user_reorder_rate, coalesce(i.n, 0) AS item_total_orders,
-         coalesce(i.item_reorder_rate, 0) AS item_reorder_rate, coalesce(i.k, 0) AS item_dept_popularity_rank,
-         coalesce(x.ui_times_bought, 0) AS ui_times_bought,
-         coalesce(x.ui_orders_since_last_purchase, 0) AS ui_orders_since_last_purchase,
-         coalesce(x.ui_purchase_frequency, 0) AS ui_purchase_frequency
-       FROM labelled l
-       LEFT JOIN (SELECT user_id, max(order_number)::BIGINT AS user_total_orders FROM ord WHERE eval_set = 'prior' GROUP BY user_id) u USING (user_id)
-       LEFT JOIN (SELECT user_id, """
-    + r("avg(n)", 2)
-    + """ AS user_avg_basket_size, """
-    + r("sum(again)::DOUBLE / sum(n)", 3)
-    + """ AS user_reorder_rate FROM
-         (SELECT user_id, order_id, count(*) AS n, sum(reordered) AS again FROM prior_lines GROUP BY ALL) GROUP BY user_id) b USING (user_id)
-       LEFT JOIN (SELECT product_id, n, item_reorder_rate, dense_rank() OVER (PARTITION BY department_id ORDER BY n DESC) AS k
-         FROM (SELECT product_id, count(*) AS n, """
-    + ratio("sum(reordered)", "count(*)", 3)
-    + """ AS item_reorder_rate FROM prior_lines GROUP BY product_id) JOIN prod USING (product_id)) i USING (product_id)
-       LEFT JOIN (SELECT user_id, product_id, count(*) AS ui_times_bought, any_value(newest) - max(order_number) AS ui_orders_since_last_purchase, """
-    + ratio("count(*)", "max(order_number) - min(order_number) + 1", 3)
-    + """ AS ui_purchase_frequency FROM prior_lines JOIN (SELECT user_id, max(order_number) AS newest FROM prior_lines GROUP BY user_id)
-         USING (user_id) GROUP BY user_id, product_id) x USING (user_id, product_id)""",
-)
-def _(s):
-    labelled = scored(s).select("user_id", "product_id", "label")
-    users, items, pairs = training.features(s)
-    wide = candidates.training_matrix(labelled, users, items, pairs)
-    filled = wide.withColumn("user_total_orders", F.when(F.col("user_total_orders") > 0, F.col("user_total_orders")))
-    return filled.select("user_id", "product_id", "label", *MATRIX_USER, *MATRIX_ITEM, *MATRIX_PAIR)
+SPLIT_SQL = """SELECT user_id, product_id, label, CASE WHEN row_number() OVER (PARTITION BY label
+         ORDER BY md5('42#' || user_id::VARCHAR || '#' || product_id::VARCHAR), user_id, product_id)
+         <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM labelled"""
 
 
 @query(
     "s10_saved_splits",
-    """SELECT split, label, count(*) AS n_rows FROM (SELECT label, CASE WHEN row_number() OVER (PARTITION BY label
-         ORDER BY md5('42#' || user_id::VARCHAR || '#' || product_id::VARCHAR), user_id, product_id)
-         <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS split FROM labelled)
-       GROUP BY split, label""",
+    f"""SELECT split, s.user_id, product_id, label, popularity_score, popularity_rank, train_size, test_size FROM ({SPLIT_SQL}) s
+        LEFT JOIN popular USING (product_id),
+        (SELECT count(*) FILTER (split = 'train') AS train_size, count(*) FILTER (split = 'test') AS test_size FROM ({SPLIT_SQL}))""",
 )
 def _(s):
+    """Splits, candidates, popular products and metadata, all read back."""
     folder = new_path(s.spark, "artifacts")
     parts = _parts(s)
     split = candidates.stratified_split(parts.labelled, 0.2, 42)
-    training.save_splits(split, parts.labelled, parts.popular, folder)
-    saved = load_parquet(s.spark, f"{folder}/splits")
-    return saved.groupBy("split", "label").agg(long(F.count(F.lit(1))).alias("n_rows"))
+    meta = training.save_splits(split, parts.labelled, parts.popular, folder)
+    rows = load_parquet(s.spark, f"{folder}/splits").withColumn("split", F.col("split").cast("string"))
+    kept = load_parquet(s.spark, f"{folder}/user_candidate_set.parquet")
+    popular = load_parquet(s.spark, f"{folder}/popular_items.parquet")
+    sizes = load_json(s.spark, f"{folder}/split_metadata", meta.schema).select("train_size", "test_size")
+    whole = rows.join(kept, ["user_id", "product_id", "label"]).join(popular, "product_id", "left").transform(beside, sizes)
+    return whole.select("split", "user_id", "product_id", "label", "popularity_score", "popularity_rank", "train_size", "test_size")
