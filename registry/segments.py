@@ -329,6 +329,23 @@ def _(s):
     return eda.histogram(eda.order_sizes(s.lines()), "order_size", 50)
 
 
+@query(
+    "a7_score_histograms",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS model, coalesce(least(floor(({m} - low)::DOUBLE * 20 / nullif(high - low, 0)), 19), 0)::INTEGER AS bin,
+          count(*) AS n_values FROM (SELECT {m}, min({m}) OVER () AS low, max({m}) OVER () AS high FROM scored) GROUP BY ALL"""
+        for m in ("popular", "recent", "habit")
+    ),
+)
+def _(s):
+    """How the scores of every model are spread."""
+    from registry.candidates import scored
+
+    rows = scored(s)
+    parts = [eda.histogram(rows, m, 20).select(F.lit(m).alias("model"), "bin", "n_values") for m in ("popular", "recent", "habit")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 fragment(
     "item_kpi",
     f"""

@@ -107,20 +107,35 @@ def _(s):
     return files.load_json(s.spark, path, table.schema)
 
 
-@query("s6_load_raw", SIZES_SQL)
+def _all_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every value of the six tables side by side: orders with their lines, products, aisles and departments."""
+    lines = tables["order_products_prior"].unionByName(tables["order_products_train"])
+    products = tables["products"].join(tables["aisles"], "aisle_id").join(tables["departments"], "department_id")
+    return tables["orders"].join(lines, "order_id", "left").join(products, "product_id", "full_outer")
+
+
+VALUES_SQL = f"""SELECT order_id, user_id, eval_set, order_number, order_dow, order_hour_of_day, {{gap}} AS days_since_prior_order,
+  product_id, add_to_cart_order, l.reordered, product_name, aisle_id, department_id, aisle, department
+  FROM ord LEFT JOIN (SELECT {LINE_SQL} FROM lines) l USING (order_id) FULL OUTER JOIN prod USING (product_id)"""
+
+
+@query("s6_load_raw", VALUES_SQL.format(gap="days_since_prior_order"))
 def _(s):
-    return quality.table_sizes(files.load_raw(s.spark, raw_folder(s)))
+    return _all_values(files.load_raw(s.spark, raw_folder(s)))
 
 
 @query(
     "s7_ingest",
-    SIZES_SQL.replace("SELECT 'orders' AS table_name, count(*) AS n_rows", "SELECT 'orders' AS table_name, count(days_since_prior_order + 1) + count(*) FILTER (days_since_prior_order IS NULL) AS n_rows"),
+    VALUES_SQL.format(gap="CASE WHEN order_id IS NOT NULL THEN coalesce(days_since_prior_order, 0) END"),
 )
 def _(s):
-    """Sizes of the processed tables; orders are counted by their filled gap."""
+    """The processed tables as saved: first gaps filled, types narrowed (cast back here to compare)."""
     done = ingest(s.spark, raw_folder(s), new_path(s.spark, "processed"))
-    filled = done["orders"].where(F.col("days_since_prior_order").isNotNull())
-    return quality.table_sizes({**done, "orders": filled})
+    declared = {f.name: f.dataType for schema in SCHEMAS.values() for f in schema.fields}
+    narrow = {c for table in done.values() for c, kind in table.dtypes if kind in ("tinyint", "smallint", "float")}
+    assert {"order_dow", "order_hour_of_day", "reordered", "days_since_prior_order"} <= narrow
+    values = _all_values(done)
+    return values.select(*[F.col(c).cast(declared[c]).alias(c) for c in values.columns])
 
 
 @query("s8_fallback_scan", f"SELECT {PRODUCT_SQL}, aisle, department FROM prod")
@@ -432,41 +447,26 @@ def _(s):
     return facts.enrich_lines(s.order_products(), s.products, s.aisles, s.departments)
 
 
-@query(
-    "j5_outer_feature_groups",
-    """SELECT user_id, a.total_orders, b.n_lines FROM
-       (SELECT user_id, count(*) AS total_orders FROM ord GROUP BY user_id) a
-       FULL OUTER JOIN (SELECT user_id, count(*) AS n_lines FROM train_lines GROUP BY user_id) b USING (user_id)""",
-)
+@query("j5_outer_feature_groups", "SELECT * FROM user_all")
 def _(s):
-    """Order features exist for every user, train baskets only for some."""
-    orders = user_features.order_patterns(s.orders).select("user_id", "total_orders")
-    lines = s.lines("train").groupBy("user_id").agg(long(F.count(F.lit(1))).alias("n_lines"))
-    return orders.join(lines, "user_id", "full_outer")
-
+    """All feature groups of all users: order features exist for every user, basket features only for those with lines."""
+    return user_features.build(s.orders, s.lines(), s.pairs(), s.catalogue)
 
-fragment("train_counts", "SELECT product_id, count(*) AS n FROM train_lines GROUP BY product_id")
 
-
-@query("j6_items_with_zeros", "SELECT product_id, coalesce(n, 0) AS total_orders FROM prod LEFT JOIN train_counts USING (product_id)")
+@query(
+    "j6_items_with_zeros",
+    f"SELECT * REPLACE ({r('popularity_rank', 9)} AS popularity_rank, {r('user_reach_rank', 9)} AS user_reach_rank) FROM item_all",
+)
 def _(s):
-    bought = item_features.popularity_counts(s.pairs("train")).select("product_id", "total_orders")
-    return quality.fill_numeric(s.products.select("product_id").join(bought, "product_id", "left"))
+    """All feature groups of all products, those never bought with zeros."""
+    items = item_features.build(s.lines(), s.pairs(), s.catalogue)
+    return items.withColumns({c: rounded(c, 9) for c in ("popularity_rank", "user_reach_rank")})
 
 
-@query(
-    "j7_left_joins",
-    f"""SELECT user_id, user_max::BIGINT AS user_total_orders, n AS user_total_products, b AS user_avg_basket_size FROM user_newest
-        LEFT JOIN (SELECT user_id, sum(c)::BIGINT AS n, {r('avg(c)', 2)} AS b FROM
-          (SELECT user_id, count(*) AS c FROM train_lines GROUP BY user_id, order_id) GROUP BY user_id) USING (user_id)""",
-)
+@query("j7_left_joins", "SELECT * FROM user_wide")
 def _(s):
-    train = s.lines("train")
-    return (
-        user_features.temporal(s.orders).select("user_id", "user_total_orders")
-        .join(user_features.totals(s.pairs("train")).select("user_id", "user_total_products"), "user_id", "left")
-        .join(user_features.basket(train).select("user_id", "user_avg_basket_size"), "user_id", "left")
-    )
+    """Temporal, basket, total and diversity features joined to every user, over the whole history."""
+    return user_features.build_prefixed(s.orders, s.lines(), s.pairs(), s.catalogue)
 
 
 @query(
