@@ -19,8 +19,10 @@ most ``loss``; all pairs up to ``radius`` are guaranteed to be found:
 
 Words are lower-cased (A-Z) runs without ASCII white space. A text of fewer words
 than a shingle has one shingle, the whole; one without words has an empty set
-and is linked with nothing, as are null texts. A null id is smaller than none:
-it is never the id of a component that has another. Repeated rows are copies.
+and is linked with nothing, as are null texts. A null id comes after all others:
+it is never the id of a component that has another, but its row is linked like
+any. Repeated rows are copies. An empty table gives no rows. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.llm.graph import components
-from cartwheel.llm.rows import slim, texts, without
+from cartwheel.llm.rows import slim, texts
 from cartwheel.session import written
 
 _U = np.uint64
@@ -127,26 +129,32 @@ def values_of(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u2").reshape(-1, K)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sig", pa.list_(pa.int64()))])
+_SIGNED = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sig", pa.list_(pa.int64())), ("digest", pa.int64())]
+)
+#: Seed of the hash function of Spark's own column function.
+_SEED = 42
 
 
 def signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, size of the set, class and signature."""
+    """doc_id, size of the set, class, signature and a 64-bit hash of the text."""
     words = rule.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _seeds()
         memo = _Hashes()
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for doc_id, text in texts(batch):
                 own = shingle_set(text, words, memo)
                 sig = signature(own, factors, shifts) if len(own) else None
-                for column, value in zip(rows, (doc_id, len(own), class_of(own), sig), strict=True):
+                digest = xxhash.xxh64_intdigest(text.encode(), _SEED)
+                digest -= (digest >> 63) << 64
+                for column, value in zip(rows, (doc_id, len(own), class_of(own), sig, digest), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGNED.types, strict=True)], schema=_SIGNED)
 
-    return slim(docs).mapInArrow(run, "doc_id long, n long, cls long, sig array<long>")
+    return slim(docs).mapInArrow(run, "doc_id long, n long, cls long, sig array<long>, digest long")
 
 
 def keyed(classes: DataFrame, rule: Rule) -> DataFrame:
@@ -346,7 +354,11 @@ def links(
 ) -> DataFrame:
     """(u, v): edges that connect the classes of each family as its true links do."""
     units = _unit_of(members, rule, block_texts, block_shingles)
-    work = slim(docs).join(units.withColumnRenamed("rep", "doc_id"), "doc_id").drop("doc_id")
+    wanted = units.select("cls", "root", "unit", "side", F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"))
+    own = slim(docs).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # By the text as well: null and repeated ids stand for many texts.
+    same = own["doc_id"].eqNullSafe(wanted["rep_id"]) & (own["digest"] == wanted["rep_digest"])
+    work = own.join(wanted, same).select("text", "cls", "root", "unit", "side")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         memo = _Hashes()
@@ -355,7 +367,7 @@ def links(
             sets, nodes, sides = [], [], []
             for cls, text, side in zip(family["cls"], family["text"], family["side"], strict=True):
                 own = shingle_set(text or "", rule.words, memo)
-                # A repeated id may bring other texts than that of the class.
+                # Equal rows bring their text more than once.
                 if class_of(own) == cls and cls not in nodes:
                     sets.append(own)
                     nodes.append(int(cls))
@@ -367,13 +379,16 @@ def links(
     return work.groupBy("unit").applyInPandas(verify, "u long, v long")
 
 
-def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def classes(marks: DataFrame) -> DataFrame:
+    """cls, n, rep and sig of every class; its representative is the row with the smallest id and text hash, null ids last."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep")
+    return marks.where("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), rep, F.any_value("sig").alias("sig"))
+
+
+def _placed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, digest, n, cls and the first row (``top``) of the component of every row."""
     marks = written(signed(docs, rule), "signatures")
-    per_class = marks.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")
-    )
-    per_class = written(per_class, "classes")
+    per_class = written(classes(marks), "classes")
     # A smaller set has no partner but its equals.
     able = per_class.where(F.col("n") * rule.den >= (F.col("n") + 1) * rule.num)
     rooted = families(able, rule)
@@ -381,11 +396,15 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     found = components(written(links(docs, members, rule), "links"))
     tops = per_class.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     tops = tops.select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    lowest = tops.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = tops.join(lowest, "root").select("cls", "component_id")
-    out = marks.select("doc_id", "n", "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
+    first = tops.groupBy("root").agg(F.min("rep").alias("top"))
+    of_class = tops.join(first, "root").select("cls", "top")
+    return marks.select("doc_id", "digest", "n", "cls").join(of_class, "cls", "left")
+
+
+def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    return _placed(docs, rule).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -396,6 +415,12 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
 def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents that stay, one of each component, with all their columns.
 
-    An id with several rows goes only if none of its rows stays.
+    Rows are told apart by id and text: of several rows under one id, or under
+    none, only the first of the component stays. Equal rows stay or go together.
     """
-    return without(docs, grouped(docs, rule))
+    stays = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("digest") == F.col("top.digest"))
+    gone = _placed(docs, rule).where(F.col("cls").isNotNull() & ~stays).select("doc_id", "digest").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("own"), F.struct("*").alias("row"))
+    left = own.join(gone, own["id"].eqNullSafe(gone["doc_id"]) & (own["own"] == gone["digest"]), "left_anti")
+    return left.select("row.*")

@@ -138,7 +138,7 @@ def test_near_copies_lose_no_link_in_hot_families(spark):
 def test_blocks_of_a_large_family_find_the_links_of_the_whole(spark):
     rows, docs = _family(spark)
     rule = near.Rule(3, 85, 100)
-    marks = near.signed(docs, rule).groupBy("cls").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
+    marks = near.classes(near.signed(docs, rule))
     members = marks.withColumn("root", F.lit(7).cast("long"))
     want = graph.components(near.links(docs, members, rule))
     want = {r.node: r.root for r in want.collect()}
@@ -238,3 +238,19 @@ def test_rebalancing_moves_few_slots_and_fills_a_new_shard():
     assert sum(b == 8 for _, b in moved) > 0.8 * len(moved)
     assert slots.rebalanced(second, weights, 8) == second
     assert slots.rebalanced([0] * 4, [5, 0, 0, 0], 2) == [0] * 4
+
+
+def test_rows_with_null_and_repeated_ids_are_linked(spark):
+    """A null id bridges two texts; near copies under one id, and under none, are told apart by their text."""
+    words = prose(3, 60).split()
+    a, b, c = (" ".join(words[i:] + [f"end{i}"] * i) for i in (0, 3, 6))
+    other = prose(4, 60)
+    rows = [(5, a), (None, b), (9, c), (7, other), (7, other + " more"), (None, prose(6, 50)), (None, prose(6, 50) + " tail"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = near.Rule(3, 85, 100)
+    got = sorted((tuple(r) for r in near.grouped(docs, rule).select("doc_id", "component_id", "kept").collect()), key=repr)
+    want = [(5, 5, True), (None, 5, False), (9, 5, False), (7, 7, True), (7, 7, True), (None, None, True), (None, None, True), (None, None, True)]
+    assert got == sorted(want, key=repr)
+    left = sorted((tuple(r) for r in near.deduplicated(docs, rule).collect()), key=repr)
+    assert len(left) == 4 and left.count((5, a)) == 1 and left.count((None, None)) == 1
+    assert sum(i == 7 for i, _ in left) == 1 and sum(i is None and t is not None for i, t in left) == 1
