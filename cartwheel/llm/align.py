@@ -46,7 +46,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.llm.bpe import codec
-from cartwheel.llm.planes import from_planes, to_planes
 from cartwheel.llm.rows import slim, texts
 from cartwheel.session import written
 
@@ -308,19 +307,30 @@ _BLOCK_TYPES = pa.schema(
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    """Compressed byte planes behind their lengths."""
-    zip_ = zstandard.ZstdCompressor(level=1).compress
-    planes = [zip_(plane) if plane else b"" for plane in to_planes(ids, 8)]
-    return np.array([len(ids), *map(len, planes)], "<u4").tobytes() + b"".join(planes)
+    """Compressed ids behind the bytes of each: repeats of words and passages are found."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(ids.astype(f"<u{width}").tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n, *sizes = np.frombuffer(data, "<u4", 5).tolist()
-    unzip, at, planes = zstandard.ZstdDecompressor().decompress, 20, []
-    for size in sizes:
-        planes.append(unzip(data[at : at + size]) if size else b"")
-        at += size
-    return from_planes(planes, n, 8).astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    """Counts, or the steps between rising keys, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unzipped(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzipped(data, "<u8"), dtype=np.uint64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return _zipped(np.diff(keys, prepend=np.uint64(0)))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -338,7 +348,7 @@ def _block_row(own: Both, block: int, held: list[tuple], buckets: int) -> pa.Rec
     keys, documents, bucket = keys[order], documents[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
     parts = [
-        {"bucket": k, "keys": keys[low:high].tobytes(), "counts": documents[low:high].astype("<u4").tobytes()}
+        {"bucket": k, "keys": _steps(keys[low:high]), "counts": _zipped(documents[low:high].astype("<u4"))}
         for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))
         if low < high
     ]
@@ -376,8 +386,7 @@ def blocks(docs: DataFrame, ranks: str, model: str, block: int = BLOCK, buckets:
     return slim(docs).mapInArrow(run, BLOCKS)
 
 
-def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    parts = [np.frombuffer(part, kind) for part in table.column(name).to_pylist()]
+def _joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
@@ -415,14 +424,14 @@ def tables(parts: DataFrame, n_blocks: int, fan: int = FAN) -> DataFrame:
     rows = _rows_of(parts, leaves)
 
     def united(table: pa.Table) -> bytes:
-        return np.unique(_column(table, "keys", "<u8")).tobytes()
+        return _steps(np.unique(_joined(list(map(_keys, table.column("keys").to_pylist())), "<u8")))
 
     distinct = _summed(_combined(rows.select("bucket", "node", "keys"), "keys", united), "keys", united, leaves, fan)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.frombuffer(data, "<u8")
+                keys = _keys(data)
                 found = PerfectHash.of(keys)
                 placed = np.empty_like(keys)
                 placed[found.index(keys)] = keys
@@ -436,7 +445,7 @@ def tables(parts: DataFrame, n_blocks: int, fan: int = FAN) -> DataFrame:
         vector = np.zeros(index.size, np.int64)
         for keys, counts in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
             # The keys of one block are distinct.
-            vector[index.index(np.frombuffer(keys, "<u8"))] += np.frombuffer(counts, "<u4")
+            vector[index.index(_keys(keys))] += _unzipped(counts, "<u4")
         return _node_row(key, "vector", vector.tobytes())
 
     def added(table: pa.Table) -> bytes:
@@ -495,11 +504,11 @@ def answers(parts: DataFrame, counted: DataFrame, n_blocks: int, fan: int = FAN)
         counts, best = np.frombuffer(counts, np.int64), np.frombuffer(best, np.uint8)
         out = []
         for data in table.column("keys").to_pylist():
-            keys = np.frombuffer(data, "<u8")
+            keys = _keys(data)
             at = index.index(keys)
             if not np.array_equal(known[at], keys):
                 raise ValueError("a pair is not in the count table")
-            out.append((counts[at].tobytes(), best[at].tobytes()))
+            out.append((_zipped(counts[at]), _zipped(np.packbits(best[at]))))
         columns = [table.column("block"), table.column("keys"), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))]
         return pa.Table.from_arrays(columns, schema=_ANSWERS)
 
@@ -531,8 +540,10 @@ def report(
         tokenizers = both(ranks, model)
         n_a, n_b = (np.array(row[c], np.int64) for c in ("n_a", "n_b"))
         sides = (tokenizers.side_a(_unpacked(row["a"]), n_a), tokenizers.side_b(_unpacked(row["b"]), n_b))
-        keys, counts = _column(found, "keys", "<u8"), _column(found, "counts", "<i8")
-        best, order = _column(found, "best", "u1").astype(np.int64), np.argsort(keys)
+        parts = [(_keys(k), _unzipped(c, "<i8"), _unzipped(b, "u1")) for k, c, b in zip(*(c.to_pylist() for c in found.columns[1:]), strict=True)]
+        keys, counts = _joined([k for k, _, _ in parts], "<u8"), _joined([c for _, c, _ in parts], "<i8")
+        best = _joined([np.unpackbits(b, count=len(k)) for k, _, b in parts], "u1").astype(np.int64)
+        order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
         n_best, count_sum = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
         for doc, pair, times in Aligned(*sides).links():
