@@ -9,14 +9,22 @@ hold the entity, a term is generalised when it discloses at least the share
 counts are of documents, copies included: ``c(t)`` of those with the term, ``c(e, t)``
 of those with the term next to the entity. Every pair is judged; its share is shrunk
 by ``d / (d + doubt)``, where ``d`` is the number of different texts behind ``c(e, t)``:
-copies of one text add no evidence, one passage on different pages does. Documents
-without entities are left alone.
+copies of one text add no evidence, one passage on different pages does. With the
+default ``doubt`` a single text flags the terms that occur nowhere without the entity;
+all other terms need more. Documents without entities are left alone.
+
+A flagged term is looked for in the whole text of each document with the entity. For
+that, the words of a text meet the flagged pairs by (entity, term); a text with more
+than ``FEW`` entities asks by its words first and by its entities then, so that no
+text is multiplied with itself and none with the terms of other documents.
 
 The texts are read twice: once for entities, once to count words where they
 are stored. Only texts with an entity are written and joined.
 
-Null text counts as empty and has no spans. Rows with equal ids share their terms;
-an empty table gives no rows. All patterns run in linear time on long texts.
+Null text counts as empty and has no spans. Terms belong to the text of a row, so null
+and repeated ids change nothing and equal texts get equal spans; an empty table gives
+no rows. Other columns, whatever their names, are kept aside as one struct. All
+patterns run in linear time on long texts.
 """
 
 from __future__ import annotations
@@ -37,7 +45,9 @@ KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 N_BASE = 4
 NEAR_WORDS = 8
 NEAR_CHARS = 200
-DOUBT = 1.25
+DOUBT = 1.0
+#: Texts with more entities than this meet the flagged pairs by their words alone at first.
+FEW = 16
 GENERALISE = 0.5
 REMOVE = 0.8
 #: Everything but ASCII white space, signs and controls belongs to a word.
@@ -197,8 +207,6 @@ def disclosing(
         by_text.select("entity", "copies", F.explode(_terms(F.col("words"))).alias("term"))
         .groupBy("entity", "term")
         .agg(F.sum("copies").alias("c_et"), F.count("*").alias("d_et"))
-        # No share is above 1, so what is shrunk below the bound at once needs no count of its term.
-        .where(F.col("d_et") / (F.col("d_et") + doubt) >= generalise)
     )
     pairs = written(pairs.join(of_entity, "entity"), "entity-terms")
     # Words are added up where they are read; only then the counts meet the few terms asked for.
@@ -217,6 +225,35 @@ def disclosing(
     )
 
 
+def flagged(rich: DataFrame, terms: DataFrame, few: int = FEW) -> DataFrame:
+    """text_digest and its terms (with the greatest share): those its entities flag and that it holds."""
+    held = rich.select(
+        "text_digest", F.array_distinct("near.entity").alias("entities"), _terms(F.col("text")).alias("words")
+    )
+    by_pair = (
+        held.where(F.size("entities") <= few)
+        .select("text_digest", "words", F.explode("entities").alias("entity"))
+        .select("text_digest", "entity", F.explode("words").alias("term"))
+        .join(terms, ["entity", "term"])
+    )
+    many = held.where(F.size("entities") > few)
+    by_word = (
+        many.select("text_digest", F.explode("words").alias("term"))
+        .distinct()
+        .join(terms, "term")
+        .join(many.select("text_digest", F.explode("entities").alias("entity")).distinct(), ["text_digest", "entity"])
+    )
+    columns = ["text_digest", "term", "share"]
+    return (
+        by_pair.select(columns)
+        .unionByName(by_word.select(columns))
+        .groupBy("text_digest", "term")
+        .agg(F.max("share").alias("share"))
+        .groupBy(F.col("text_digest").alias("of"))
+        .agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    )
+
+
 def _with_terms(rich: DataFrame, remove: float) -> DataFrame:
     """Adds the spans of each row's terms, wherever they stand in its text."""
 
@@ -254,18 +291,11 @@ def spans(
 ) -> tuple[DataFrame, DataFrame]:
     """All rows (digest columns and spans), and those with entities with their texts."""
     found = written(detected(docs), "pii-found")
-    terms = disclosing(docs, found, doubt, generalise)
-    per_doc = (
-        found.where(F.col("text").isNotNull())
-        .select("doc_id", F.explode("near.entity").alias("entity"))
-        .distinct()
-        .join(terms, "entity")
-        .groupBy("doc_id", "term")
-        .agg(F.max("share").alias("share"))
-        .groupBy(F.col("doc_id").alias("of"))
-        .agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    )
-    rich = found.where(F.col("text").isNotNull()).join(per_doc, F.col("doc_id") == F.col("of"), "left").drop("of")
+    rich = found.where(F.col("text").isNotNull())
+    # Written, so that the joins with it are planned by its size.
+    terms = written(disclosing(docs, found, doubt, generalise), "pii-terms")
+    of_text = flagged(rich, terms)
+    rich = rich.join(of_text, F.col("text_digest") == F.col("of"), "left").drop("of")
     rich = _with_terms(rich, remove)
     columns = ["doc_id", *[f"n_{kind}" for kind in KINDS[:N_BASE]], "base_sha256", "spans"]
     plain = found.where(F.col("text").isNull())
