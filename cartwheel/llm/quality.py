@@ -17,8 +17,12 @@ The classifier is fitted on at most ``train_rows`` labelled rows, those with the
 smallest hash of their id; everything else covers all rows. Without labels of
 both kinds the evidence is 0.5 for all and nothing is rejected.
 
-Null texts count as empty, null host and language are values of their own; rows
-are judged one by one, so repeated rows get equal verdicts.
+Host and path are columns that the caller names; ``documents`` has no url, so by
+default the source stands in for the host and the language for the path. Null texts
+count as empty, null host and path are values of their own; rows are judged one by
+one, so repeated rows get equal verdicts and a null or repeated id changes nothing.
+Other columns, whatever their names, are neither read nor lost; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.rows import texts, without
+from cartwheel.llm.rows import row_digest, texts, without
 from cartwheel.session import written
 
 TRAIN_ROWS = 20_000
@@ -114,22 +118,23 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
     return Model(start.center, start.scale, w)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, host, path and features of every row."""
+def measured(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """doc_id, host, path, row digest and features of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(text) for _, text in texts(batch)]
-            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "path", "features"])
+            columns = [batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "path", "row_digest", "features"])
 
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.col("source").cast("string").alias("host"),
-        F.col("lang").cast("string").alias("path"),
+        F.col(f"`{host}`").cast("string").alias("host"),
+        F.col(f"`{path}`").cast("string").alias("path"),
+        row_digest(F.col("doc_id").cast("long"), F.col(f"`{host}`"), F.col(f"`{path}`")).alias("row_digest"),
     )
-    return slim.mapInArrow(run, "doc_id long, host string, path string, features array<double>")
+    return slim.mapInArrow(run, "doc_id long, host string, path string, row_digest binary, features array<double>")
 
 
 def trained(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
@@ -147,17 +152,19 @@ def trained(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
 
 def evidence(rows: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, host, path and the probability ``p`` that a document is good, by itself."""
+    """doc_id, host, path, row digest and the probability ``p`` that a document is good, by itself."""
+    known = ["doc_id", "host", "path", "row_digest"]
     if model is None:
-        return rows.select("doc_id", "host", "path", F.lit(0.5).alias("p"))
+        return rows.select(*known, F.lit(0.5).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             p = model.probability(x) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p)], ["doc_id", "host", "path", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(p)], [*known, "p"])
 
-    return rows.select("doc_id", "host", "path", "features").mapInArrow(run, "doc_id long, host string, path string, p double")
+    made = "doc_id long, host string, path string, row_digest binary, p double"
+    return rows.select(*known, "features").mapInArrow(run, made)
 
 
 def _strength(groups: DataFrame, share: str, above: str) -> Column:
@@ -202,9 +209,19 @@ def _logit(x: Column) -> Column:
     return F.log(x / (1 - x))
 
 
-def judged(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, reject: float = REJECT) -> DataFrame:
-    """doc_id, host, path, p, site_share, posterior and kept of every row."""
-    rows = written(measured(docs), "quality-features")
+def judged(
+    docs: DataFrame,
+    labels: DataFrame,
+    train_rows: int = TRAIN_ROWS,
+    reject: float = REJECT,
+    host: str = "source",
+    path: str = "lang",
+) -> DataFrame:
+    """doc_id, host, path, p, site_share, posterior, kept and digest of every row.
+
+    ``host`` and ``path`` name the columns of the two levels.
+    """
+    rows = written(measured(docs, host, path), "quality-features")
     scored = written(evidence(rows, trained(rows, labels, train_rows)), "quality-evidence")
     paths, share, strength = sites(scored)
     known = paths.select(
@@ -218,13 +235,23 @@ def judged(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rej
         scored.join(known, at)
         .withColumn("site_share", site)
         .withColumn("posterior", posterior)
-        .select("doc_id", "host", "path", "p", "site_share", "posterior", (F.col("posterior") >= reject).alias("kept"))
+        .withColumn("kept", F.col("posterior") >= reject)
+        .select("doc_id", "host", "path", "p", "site_share", "posterior", "kept", "row_digest")
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, reject: float = REJECT) -> DataFrame:
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    train_rows: int = TRAIN_ROWS,
+    reject: float = REJECT,
+    host: str = "source",
+    path: str = "lang",
+) -> DataFrame:
     """The documents that are not rejected, with all their columns.
 
-    An id with several rows goes only if all of its rows are rejected.
+    Rows are told apart by id, text, host and path: nothing else goes into a
+    verdict, so null and repeated ids are judged row by row.
     """
-    return without(docs, judged(docs, labels, train_rows, reject))
+    digest = row_digest(F.col("doc_id").cast("long"), F.col(f"`{host}`"), F.col(f"`{path}`"))
+    return without(docs, judged(docs, labels, train_rows, reject, host, path), digest)

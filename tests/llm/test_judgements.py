@@ -183,49 +183,109 @@ def _people(spark):
     return rows, spark.createDataFrame(rows, SCHEMA)
 
 
-def _terms_by_hand(rows, support, generalise, remove):
-    words = {i: set(re.split(pii.NO_WORD, text.lower())) - {""} for i, text, *_ in rows}
-    near, docs_of = defaultdict(set), defaultdict(set)
-    for i, text, *_ in rows:
-        for start, kind, end in pii.base_spans(text):
-            e = pii.entity(kind, text[start:end])
-            near[e].add(pii.surroundings(text, start, end))
-            docs_of[e].add(i)
-    flagged, n = defaultdict(dict), len(rows)
-    for e, contexts in near.items():
-        counts = Counter(t for c in contexts for t in set(re.split(pii.NO_WORD, c.lower())) - {""})
-        for t, c_et in counts.items():
-            c_t = sum(t in w for w in words.values())
-            c_e = len(docs_of[e])
-            if c_et >= support and np.log2(n / c_e) > 0:
-                share = np.log2(n * c_et / (c_e * c_t)) / np.log2(n / c_e)
-                if share >= generalise:
-                    for i in docs_of[e]:
-                        flagged[i][t] = max(share, flagged[i].get(t, 0))
-    return {i: {t: 5 if s >= remove else 4 for t, s in terms.items()} for i, terms in flagged.items()}
+def _terms_by_hand(rows, doubt=1.0, generalise=0.5, remove=0.8):
+    """Flagged terms per row number, from counts over all pairs of rows and entities."""
+    words = [set(re.split(pii.NO_WORD, (text or "").lower())) - {""} for _, text, *_ in rows]
+    near = [defaultdict(set) for _ in rows]
+    for at, (_, text, *_) in enumerate(rows):
+        for start, kind, end in pii.base_spans(text or ""):
+            around = pii.surroundings(text, start, end).lower()
+            near[at][pii.entity(kind, text[start:end])] |= set(re.split(pii.NO_WORD, around)) - {""}
+    out, n = [{} for _ in rows], len(rows)
+    for e in {e for own in near for e in own}:
+        having = [at for at, own in enumerate(near) if e in own]
+        whole = np.log2(n / len(having))
+        for t in {t for at in having for t in near[at][e]}:
+            beside = [at for at in having if t in near[at][e]]
+            c_t, d = sum(t in w for w in words), len({rows[at][1] for at in beside})
+            share = np.log2(n * len(beside) / (len(having) * c_t)) / whole * d / (d + doubt) if whole > 0 else 0
+            if share >= generalise:
+                for at in having:
+                    if t in words[at]:
+                        out[at][t] = max(share, out[at].get(t, 0))
+    return [{t: 5 if share >= remove else 4 for t, share in terms.items()} for terms in out]
+
+
+def _spans_by_hand(rows):
+    out = []
+    for (_, text, *_), kinds in zip(rows, _terms_by_hand(rows), strict=True):
+        spans = pii.base_spans(text or "")
+        taken = [(a, b) for a, _, b in spans]
+        for m in re.finditer(pii.NO_WORD.replace("[", "[^", 1), text or ""):
+            kind = kinds.get(m.group().lower())
+            if kind and not any(a < m.end() and m.start() < b for a, b in taken):
+                spans.append((m.start(), kind, m.end()))
+        out.append(pii.spelled(sorted(spans)))
+    return out
 
 
 def test_terms_that_reveal_an_entity_are_found(spark):
     rows, docs = _people(spark)
-    want = _terms_by_hand(rows, 3, 0.5, 0.8)
-    assert want and all("quill" in terms for terms in want.values())
+    want = _spans_by_hand(rows)
+    assert all("generalised" in line or "removed" in line for line in want[:8])
     got = {r.doc_id: r.spans for r in pii.spans(docs)[0].collect()}
-    for i, text, *_ in rows:
-        spans = pii.base_spans(text)
-        taken = [(a, b) for a, _, b in spans]
-        for m in re.finditer(pii.NO_WORD.replace("[", "[^", 1), text):
-            kind = want.get(i, {}).get(m.group().lower())
-            if kind and not any(a < m.end() and m.start() < b for a, b in taken):
-                spans.append((m.start(), kind, m.end()))
-        assert got[i] == pii.spelled(sorted(spans))
+    assert [got[i] for i, *_ in rows] == want
     clean = {r.doc_id: r.text for r in pii.cleaned(docs).collect()}
     assert "uill" not in clean[0] and "[EMAIL]" in clean[0] and clean[30] == rows[30][1] and clean[100] == rows[-1][1]
 
 
+def _directory(spark):
+    """Pages with null and repeated ids, copies, one address on many pages, and a page with many addresses."""
+    rows = [(None if i % 3 else 7, f"{prose(i, 30)} Quill quill@mail.example office{i % 5} {prose(50 + i, 9)}", "en", "a", 1) for i in range(12)]
+    rows += rows[:3] + [(20 + i, f"{prose(80 + i, 20)} Zed{i} zed{i}@mail.example", "en", "a", 1) for i in range(25)]
+    rows += [(60, " ".join(f"Zed{i} zed{i}@mail.example" for i in range(25)) + " office1", "en", "a", 1)]
+    rows += [(61, " ".join(f"Zed{i}" for i in range(25)) + " Quill nobody here", "en", "a", 1), (None, None, None, None, None)]
+    rows += [(100 + i, prose(200 + i, 30), "en", "a", 1) for i in range(40)]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def test_terms_of_rows_with_null_and_repeated_ids(spark):
+    rows, docs = _directory(spark)
+    want = Counter((i, line) for (i, *_), line in zip(rows, _spans_by_hand(rows), strict=True))
+    assert sum("generalised" in line or "removed" in line for i, line in want.elements() if i is None) >= 8
+    assert Counter((r.doc_id, r.spans) for r in pii.spans(docs)[0].collect()) == want
+
+
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_texts_with_few_and_many_entities_meet_the_same_terms(spark, few):
+    _, docs = _directory(spark)
+    found = pii.detected(docs)
+    rich, terms = found.where("text IS NOT NULL"), pii.disclosing(docs, found)
+
+    def rows(df):
+        return {(bytes(r.of), t.term, round(t.share, 9)) for r in df.collect() for t in r.terms}
+
+    assert rows(pii.flagged(rich, terms, few)) == rows(pii.flagged(rich, terms)) != set()
+
+
+def test_pages_with_one_address_cost_what_they_hold(spark):
+    """Each page has terms of its own beside a common address: pairs grow with the pages, not with their square."""
+    made = {}
+    for pages in (50, 200):
+        rows = [(i, " ".join(f"w{i}x{j}" for j in range(8)) + f" help@mail.example {prose(i, 5)}", "en", "a", 1) for i in range(pages)]
+        rows += [(1000 + i, prose(300 + i, 5), "en", "a", 1) for i in range(3 * pages)]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        found = pii.detected(docs)
+        got = pii.flagged(found.where("text IS NOT NULL"), pii.disclosing(docs, found, 0.0, 0.0))
+        made[pages] = got.agg(F.sum(F.size("terms"))).first()[0]
+        assert got.agg(F.max(F.size("terms"))).first()[0] <= 8 + 5 + 3
+    assert made[200] <= 5 * made[50]
+
+
 def test_copies_are_no_evidence(spark):
-    rows = [(i, "Ask Quill at quill@mail.example today", "en", "a", 1) for i in range(50)] + [(i, "x", "en", "a", 1) for i in range(60, 99)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    assert pii.spans(docs)[0].where("spans LIKE '%generalised%' OR spans LIKE '%removed%'").count() == 0
+    """Fifty copies of a text say no more than one: Quill stands elsewhere too, and a second text would tell."""
+    text = "Ask Quill at quill@mail.example today"
+    rows = [(i, text, "en", "a", 1) for i in range(50)] + [(i, "Ask Quill at noon today", "en", "a", 1) for i in range(50, 52)]
+    rows += [(i, "x", "en", "a", 1) for i in range(60, 199)]
+    assert pii.spans(spark.createDataFrame(rows, SCHEMA))[0].where("spans LIKE '%generalised%' OR spans LIKE '%removed%'").count() == 0
+    rows[0] = (0, text + "!", "en", "a", 1)
+    assert pii.spans(spark.createDataFrame(rows, SCHEMA))[0].where("spans LIKE '%generalised%'").count() == 50
+
+
+def test_a_single_text_discloses_what_stands_nowhere_else(spark):
+    rows = [(0, "Mind Quill quill@mail.example today", "en", "a", 1)] + [(i, "never mind today", "en", "a", 1) for i in range(1, 40)]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    assert got[0] == "generalised:5:10,email:11:29" and not any(got[i] for i in range(1, 40))
 
 
 def test_one_passage_on_different_pages_is_evidence(spark):
@@ -253,7 +313,8 @@ def test_personal_data_of_awkward_rows(awkward, empty, awkward_rows, spark):
     assert tuple(got) == (len(awkward_rows) + 3, 3, 3, 3, 3)
     out = pii.cleaned(docs)
     assert out.columns == docs.columns and out.count() == len(awkward_rows) + 3
-    assert out.where("text LIKE '[PHONE] [EMAIL] [CARD] x [IP] %' AND n_chars = length(text)").count() == 3
+    # The x stands nowhere without the addresses, so it discloses all of them.
+    assert out.where("text LIKE '[PHONE] [EMAIL] [CARD] [TERM] [IP] %' AND n_chars = length(text)").count() == 3
     assert pii.spans(empty)[0].count() == 0 and pii.cleaned(empty).count() == 0
 
 
@@ -315,6 +376,58 @@ def test_sites_are_shrunk_toward_what_stands_above(spark):
     assert abs(host["bad"] - 0.1) < 0.05 and abs(host["tiny"] - share) < abs(host["tiny"] - 0.1)
 
 
+def test_verdicts_are_those_of_the_formula(spark):
+    """Sums, strengths, shares and posteriors of every row again in plain Python, with columns named by the caller."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnsRenamed({"source": "site", "lang": "folder"})
+    docs = docs.withColumn("folder", F.when(F.col("doc_id") % 7 > 0, F.concat("folder", F.col("doc_id") % 3)))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.judged(docs, labels, host="site", path="folder").collect()
+    model = quality.trained(quality.measured(docs, "site", "folder"), labels)
+    rows = [(r.doc_id, r.site, r.folder, quality.features(r.text or "")) for r in docs.collect()]
+    p = {i: float(v) for (i, *_), v in zip(rows, model.probability(np.array([x for *_, x in rows])), strict=True)}
+
+    def strength(groups):
+        """(values, mean above) per group: the prior rows of a Beta with the variance beyond the sampling noise."""
+        n = sum(len(v) for v, _ in groups)
+        mean = sum(len(v) * m for v, m in groups) / n
+        seen = sum(len(v) * (sum(v) / len(v) - m) ** 2 for v, m in groups) / n
+        noise = sum(x * (1 - x) for v, _ in groups for x in v) / n / max(n / len(groups), 1)
+        return max(mean * (1 - mean) / max(seen - noise, 1e-6) - 1, 1)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, host, path, _ in rows:
+        hosts[host].append(p[i])
+        paths[host, path].append(p[i])
+    share = sum(p.values()) / len(rows)
+    weight = strength([(v, share) for v in hosts.values()])
+    above = {h: (sum(v) + weight * share) / (len(v) + weight) for h, v in hosts.items()}
+    weight = strength([(v, above[h]) for (h, _), v in paths.items()])
+
+    def logit(x):
+        return np.log(min(max(x, quality._EPS), 1 - quality._EPS) / (1 - min(max(x, quality._EPS), 1 - quality._EPS)))
+
+    assert len(got) == len(rows) and len(paths) > len(hosts) > 1 and any(path is None for _, path in paths)
+    for r in got:
+        own = paths[r.host, r.path]
+        site = (sum(own) - p[r.doc_id] + weight * above[r.host]) / (len(own) - 1 + weight)
+        posterior = 1 / (1 + np.exp(-(logit(p[r.doc_id]) + logit(site) - logit(share))))
+        assert r.p == pytest.approx(p[r.doc_id], abs=1e-9) and r.site_share == pytest.approx(site, abs=1e-6)
+        assert r.posterior == pytest.approx(posterior, abs=1e-6) and r.kept == (r.posterior >= quality.REJECT)
+
+
+def test_rows_with_one_id_are_rejected_one_by_one(spark):
+    """Good and bad texts under one id, under none, and the same text on two paths."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("doc_id % 3 = 0")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).when(F.col("doc_id") % 3 == 1, F.lit(1)))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source"))).withColumn("row_digest", F.lit("own"))
+    verdicts = quality.judged(docs, labels).groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")), F.count("*")).collect()
+    kept = {tuple(r) for r in quality.accepted(docs, labels).groupBy("doc_id").count().collect()}
+    assert kept == {(i, n) for i, n, _ in verdicts if n}
+    assert all(0 < n < rows for i, n, rows in verdicts if i in (None, 1))
+
+
 def test_quality_of_awkward_rows(awkward, empty, awkward_rows, spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (4, 0, 0), (10, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judged(awkward, labels)
