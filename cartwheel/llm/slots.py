@@ -3,24 +3,50 @@
 Every record hashes to one of ``n_slots`` virtual slots by its id, for ever. Bytes
 and rows are added up per slot, and a stored, versioned map says which shard has
 which slot. Rebalancing edits the map: as few slots as needed move from the
-heaviest to the lightest shard, all others stay where they are. The map has
-``n_slots`` rows whatever the size of the data; it is the only thing the driver
-holds and the only thing that is broadcast.
-
-A null id is hashed like any value, a null text has no bytes. Equal rows fall
-into one slot; an empty table leaves the map of version 0 as it is. Texts are
-read once: digests and sizes are written before anything is shuffled.
+heaviest to the lightest shard, all others stay where they are. A call with the
+path of a stored map starts from its last version and adds one only if something
+moves; one more shard starts empty and fills by the same moves.
+
+A slot with far more than its share (an id on very many rows) has a second level:
+it is cut into a power of two of pieces by the hash of id, text and size, and equal
+rows go to the pieces in turn. Doubling the pieces of a slot sends no row to another
+shard: both halves start where the piece was. The map has ``n_slots`` rows and at most
+``4 * PIECES * shards`` more (past versions keep their pieces), whatever the size of the data; it is the
+only thing the driver holds and the only thing that is broadcast.
+
+A null id is hashed like any value, a null text has no bytes. Equal rows are
+counted and numbered from their count. An empty table leaves the map as it is.
+Other columns, whatever their names, are not read. Texts are read once.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartwheel.session import written
+from cartwheel.session import new_path, written
 
 N_SLOTS = 4096
-MAP_SCHEMA = "version int, slot int, shard int, rows long, bytes long"
+#: A slot is cut when it has more than one part in so many of what a shard should have.
+PIECES = 64
+#: Equal rows are numbered in blocks of so many.
+BLOCK = 1 << 16
+MAP_SCHEMA = "version int, slot int, piece int, shard int, rows long, bytes long"
+IDENTITY = ("doc_id", "text_crc32", "size")
+
+
+class SlotMap(NamedTuple):
+    """A version of the map: pieces of every slot, shard of every (slot, piece) in order."""
+
+    version: int
+    pieces: list[int]
+    owner: list[int]
+
+    def places(self) -> list[tuple[int, int]]:
+        return [(slot, piece) for slot, n in enumerate(self.pieces) for piece in range(n)]
 
 
 def measured(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -34,14 +60,6 @@ def measured(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     )
 
 
-def slot_totals(sized: DataFrame, n_slots: int = N_SLOTS) -> list[tuple[int, int]]:
-    """(rows, bytes) of every virtual slot: ``n_slots`` pairs."""
-    totals = [(0, 0)] * n_slots
-    for row in sized.groupBy("vslot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect():
-        totals[row.vslot] = (row.n, row.b)
-    return totals
-
-
 def first_map(n_slots: int = N_SLOTS, shards: int = 8) -> list[int]:
     return [slot % shards for slot in range(n_slots)]
 
@@ -50,13 +68,21 @@ def rebalanced(current: list[int], weights: list[int], shards: int) -> list[int]
     """The map after moving slots from the heaviest to the lightest shard.
 
     Each step takes the slot whose weight is nearest to half the difference, and
-    only if the difference shrinks. New shards start empty and fill the same way.
+    only if the difference shrinks. New shards start empty and fill the same way;
+    what a shard beyond ``shards`` has goes first, the heaviest to the lightest.
     """
     owner = list(current)
     held: list[set[int]] = [set() for _ in range(shards)]
     for slot, shard in enumerate(owner):
-        held[shard].add(slot)
+        if shard < shards:
+            held[shard].add(slot)
     load = [sum(weights[s] for s in own) for own in held]
+    homeless = [s for s, shard in enumerate(owner) if shard >= shards]
+    for slot in sorted(homeless, key=lambda s: (-weights[s], s)):
+        light = load.index(min(load))
+        held[light].add(slot)
+        load[light] += weights[slot]
+        owner[slot] = light
     while True:
         heavy, light = load.index(max(load)), load.index(min(load))
         gap = load[heavy] - load[light]
@@ -71,41 +97,113 @@ def rebalanced(current: list[int], weights: list[int], shards: int) -> list[int]
         owner[slot] = light
 
 
-def map_table(spark: SparkSession, versions: list[list[int]], totals: list[tuple[int, int]]) -> DataFrame:
-    """All versions of the map as a stored table."""
+def cut(current: SlotMap, totals: list[tuple[int, int]], shards: int) -> SlotMap:
+    """The map with pieces doubled until each has a small share of the rows and bytes; no row changes its shard."""
+    bounds = [max(1, -(-sum(amounts) // (shards * PIECES))) for amounts in zip(*totals, strict=True)]
+    pieces = []
+    for n, amounts in zip(current.pieces, totals, strict=True):
+        while any(amount > n * bound for amount, bound in zip(amounts, bounds, strict=True)):
+            n *= 2
+        pieces.append(n)
+    at = dict(zip(current.places(), current.owner, strict=True))
+    finer = current._replace(pieces=pieces)
+    return finer._replace(owner=[at[slot, piece % current.pieces[slot]] for slot, piece in finer.places()])
+
+
+def load_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The last version of a stored map, None where nothing is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    version = stored.agg(F.max("version")).first()[0]
+    if version is None:
+        return None
+    rows = stored.where(F.col("version") == version).orderBy("slot", "piece").collect()
+    pieces = [0] * (rows[-1].slot + 1)
+    for row in rows:
+        pieces[row.slot] += 1
+    found = SlotMap(version, pieces, [row.shard for row in rows])
+    if found.places() != [(row.slot, row.piece) for row in rows]:
+        raise ValueError(f"version {version} of the map in {path} was written twice or in part")
+    return found
+
+
+def save_map(spark: SparkSession, path: str, slot_map: SlotMap, totals: list[tuple[int, int]]) -> None:
+    """Add a version to a stored map. One file has all of it, so it is there or not; one job edits a map at a time."""
     rows = [
-        (version, slot, shard, *totals[slot]) for version, owner in enumerate(versions) for slot, shard in enumerate(owner)
+        (slot_map.version, slot, piece, shard, *amounts)
+        for (slot, piece), shard, amounts in zip(slot_map.places(), slot_map.owner, totals, strict=True)
     ]
-    return written(spark.createDataFrame(rows, MAP_SCHEMA), "slot-map")
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def _totals(units: DataFrame, keys: list[str], places: list[tuple[int, ...]]) -> list[tuple[int, int]]:
+    """(rows, bytes) of every place, as many pairs as the map has rows."""
+    sums = units.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("b")).collect()
+    found = {tuple(row[key] for key in keys): (row.n, row.b) for row in sums}
+    return [found.get(place, (0, 0)) for place in places]
+
+
+def dealt(units: DataFrame, pieces: list[int]) -> DataFrame:
+    """Units (``IDENTITY``, vslot, n rows) with their rows dealt to the pieces of the slot in turn."""
+    table = units.sparkSession.createDataFrame(list(enumerate(pieces)), "vslot int, pieces int")
+    each = units.join(F.broadcast(written(table, "slot-pieces")), "vslot")
+    turns = each.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "pieces") - 1)))
+    own = F.pmod(F.xxhash64(*IDENTITY), F.col("pieces"))
+    return turns.select(
+        "vslot",
+        F.pmod(own + F.col("turn"), F.col("pieces")).cast("int").alias("piece"),
+        *IDENTITY,
+        F.expr("(n - 1 - turn) div pieces + 1").alias("n"),
+    )
 
 
-def placed(sized: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
+def placed(parts: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
     """Shard of every row and its gapless place there.
 
-    Rows are numbered inside their virtual slot, which begins where the slots of
-    the same shard before it end.
+    Rows are numbered inside their piece, which begins where the pieces of the
+    same shard before it end.
     """
-    ahead = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.where(F.col("version") == version).select(
-        F.col("slot").alias("vslot"),
-        "shard",
-        F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("base"),
-        F.lit(version).alias("map_version"),
+    at = {shard: 0 for shard in slot_map.owner}
+    starts = []
+    for (slot, piece), shard, n in zip(slot_map.places(), slot_map.owner, rows, strict=True):
+        starts.append((slot, piece, shard, at[shard], slot_map.version))
+        at[shard] += n
+    table = parts.sparkSession.createDataFrame(starts, "vslot int, piece int, shard int, base long, map_version int")
+    ahead = Window.partitionBy("vslot", "piece").orderBy(*IDENTITY).rowsBetween(Window.unboundedPreceding, -1)
+    counted = parts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    blocks = counted.join(F.broadcast(written(table, "slot-starts")), ["vslot", "piece"]).withColumn(
+        "block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})"))
     )
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    numbered = sized.withColumn("place", place)
-    return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("base") + F.col("place") - 1)
+    one = F.explode(F.expr(f"sequence(block * {BLOCK}, least(n, (block + 1) * {BLOCK}) - 1)"))
+    return blocks.withColumn("one", one).withColumn("slot", F.col("base") + F.col("ahead") + F.col("one"))
+
 
+def shard(docs: DataFrame, shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual slot, its piece and map version.
 
-def shard(docs: DataFrame, shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual slot and map version."""
+    ``map_path`` names a stored map that the call starts from and edits; it is begun
+    there if there is none, and in a folder of this application without a path.
+    """
     spark = docs.sparkSession
-    sized = written(measured(docs, n_slots), "slot-sizes")
-    totals = slot_totals(sized, n_slots)
-    start = first_map(n_slots, shards)
-    versions = [start, rebalanced(start, [b for _, b in totals], shards)]
-    slot_map = map_table(spark, versions, totals)
-    return placed(sized, slot_map, len(versions) - 1).select(
+    path = map_path or new_path(spark, "slot-map")
+    units = written(measured(docs, n_slots).groupBy("vslot", *IDENTITY).agg(F.count("*").alias("n")), "slot-units")
+    totals = _totals(units, ["vslot"], [(slot,) for slot in range(n_slots)])
+    current = load_map(spark, path)
+    if current is None:
+        current = SlotMap(0, [1] * n_slots, first_map(n_slots, shards))
+        save_map(spark, path, current, totals)
+    if len(current.pieces) != n_slots:
+        raise ValueError(f"the map in {path} has {len(current.pieces)} slots, not {n_slots}")
+    finer = cut(current, totals, shards)
+    parts = dealt(units, finer.pieces)
+    totals = _totals(parts, ["vslot", "piece"], finer.places())
+    edited = finer._replace(owner=rebalanced(finer.owner, [b for _, b in totals], shards))
+    if edited != current:
+        edited = edited._replace(version=current.version + 1)
+        save_map(spark, path, edited, totals)
+    return placed(parts, edited, [n for n, _ in totals]).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -114,5 +212,6 @@ def shard(docs: DataFrame, shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("vslot").alias("virtual_slot"),
+        F.col("piece").alias("slot_piece"),
         "map_version",
     )

@@ -240,6 +240,92 @@ def test_rebalancing_moves_few_slots_and_fills_a_new_shard():
     assert slots.rebalanced([0] * 4, [5, 0, 0, 0], 2) == [0] * 4
 
 
+def now_version(spark, path):
+    return slots.load_map(spark, path).version
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """A second call starts from the stored version; more rows and one more shard move few slots and rows."""
+    path = str(tmp_path / "map")
+    rows = [(i, "x" * (i * i % 97)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert slots.load_map(spark, path) is None
+    first = slots.shard(docs, map_path=path).collect()
+    stored = slots.load_map(spark, path)
+    again = slots.shard(docs, map_path=path).collect()
+    assert sorted(first) == sorted(again) and slots.load_map(spark, path) == stored
+
+    # One shard more: rows go to the new shard, nearly all others stay.
+    grown = slots.shard(docs, 9, map_path=path).collect()
+    loads = _check_shards(rows, grown, 9)
+    assert max(loads) - min(loads) <= 8
+    before, after = ({r.doc_id: r.shard for r in got} for got in (first, grown))
+    moved = [after[i] for i in before if before[i] != after[i]]
+    assert sum(s == 8 for s in moved) > 0.9 * len(moved) and len(moved) < 1.2 * len(rows) / 9
+    assert slots.load_map(spark, path).version == stored.version + 1
+    assert {r.map_version for r in grown} == {stored.version + 1}
+
+    # More rows: the versions before stay in the folder, few old rows move.
+    more = rows + [(i, "y" * (i % 89)) for i in range(3000, 3600)]
+    later = slots.shard(spark.createDataFrame(more, "doc_id long, text string"), 9, map_path=path).collect()
+    loads = _check_shards(more, later, 9)
+    assert max(loads) - min(loads) <= 8
+    now = {r.doc_id: r.shard for r in later}
+    assert sum(now[i] != after[i] for i in after) < 0.1 * len(after)
+    assert {r.version for r in spark.read.parquet(path).select("version").distinct().collect()} == set(range(now_version(spark, path) + 1))
+
+    # Fewer shards: only what the last ones had moves, but for the evening out.
+    fewer = slots.shard(spark.createDataFrame(more, "doc_id long, text string"), 7, map_path=path).collect()
+    loads = _check_shards(more, fewer, 7)
+    assert max(loads) - min(loads) <= 8
+    assert sum(r.shard != now[r.doc_id] for r in fewer if now[r.doc_id] < 7) < 0.1 * len(more)
+
+    # No rows leave the map as it is; another number of slots is refused.
+    version = now_version(spark, path)
+    assert slots.shard(docs.where("false"), 7, map_path=path).count() == 0
+    assert now_version(spark, path) == version
+    with pytest.raises(ValueError):
+        slots.shard(docs, 7, n_slots=64, map_path=path)
+
+
+def test_a_map_written_twice_is_refused(spark, tmp_path):
+    path = str(tmp_path / "map")
+    one = slots.SlotMap(0, [1, 2], [0, 1, 0])
+    for _ in range(2):
+        slots.save_map(spark, path, one, [(0, 0)] * 3)
+    with pytest.raises(ValueError):
+        slots.load_map(spark, path)
+
+
+@pytest.mark.parametrize("kind", ["equal", "null id", "empty"])
+def test_an_id_on_most_rows_does_not_fill_a_shard(spark, kind):
+    """Equal rows, other texts under one null id, and rows without bytes: bytes stay even."""
+    hot = {
+        "equal": [(7, "same text of some length")] * 6000,
+        "null id": [(None, f"text {i} " + "z" * (i % 40)) for i in range(6000)],
+        "empty": [(None, None)] * 6000,
+    }[kind]
+    rows = hot + [(i, "x" * (i % 61)) for i in range(100, 3100)]
+    got = slots.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    loads = _check_shards(rows, got)
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 8
+    per_piece = Counter((r.virtual_slot, r.slot_piece) for r in got)
+    assert max(per_piece.values()) <= 2 * len(rows) / (8 * slots.PIECES) + 10
+
+
+def test_blocks_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(slots, "BLOCK", 3)
+    rows = [(7, "same")] * 2000 + [(8, "other")] * 10
+    _check_shards(rows, slots.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_slots=2).collect())
+
+
+def test_cutting_a_slot_moves_no_row():
+    one = slots.SlotMap(3, [1, 2, 1], [5, 1, 2, 0])
+    finer = slots.cut(one, [(10, 10), (1000, 90_000), (0, 0)], 8)
+    assert finer.version == 3 and finer.pieces[0] == 8 and finer.pieces[1] == 512 and finer.pieces[2] == 1
+    assert [finer.owner[8 + piece] for piece in range(4)] == [1, 2, 1, 2] and set(finer.owner[:8]) == {5}
+
+
 def test_rows_with_null_and_repeated_ids_are_linked(spark):
     """A null id bridges two texts; near copies under one id, and under none, are told apart by their text."""
     words = prose(3, 60).split()
