@@ -38,7 +38,21 @@ NAMED = {
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "Eclipse Public License v2.0"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
 }
+#: More identifiers of SPDX tags.
+IDENTIFIERS = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause",
+    "BSD-3-Clause-Clear", "BSD-4-Clause", "CC-BY-3.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-3.0", "CDDL-1.0", "CDDL-1.1", "ECL-2.0",
+    "EPL-1.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-1.0-or-later", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-2.0+", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT-0", "MPL-1.1", "MS-PL",
+    "MulanPSL-2.0", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "Unicode-3.0", "Unlicense",
+    "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "ZPL-2.1",
+)
 OPENINGS = ("Licensed under", "Released under", "This work is licensed under", "Distributed under")
 SENTENCES = {
     "mit-grant": (
@@ -85,6 +99,62 @@ SENTENCES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
         "products derived from this software without specific prior written permission."
     ),
+    "gnu-library-free": "This library is free software;",
+    "lgpl-2.1-later": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl-3-later": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl-3-later": (
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-copy": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "mpl-copy-http": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "isc-grant-and": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "isc-as-is": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "0bsd-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted."
+    ),
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "boost-grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so, all subject to the following:"
+    ),
+    "epl-2-terms": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
 }
 #: (licence, ids in a row), longest evidence first; the notices that name a licence follow below.
 RULES = [
@@ -96,6 +166,23 @@ RULES = [
     ("GPL-2.0-or-later", ("gnu-free", "gpl-2-later")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("LGPL-3.0-or-later", ("gnu-free", "lgpl-3-later")),
+    ("LGPL-3.0-or-later", ("gnu-library-free", "lgpl-3-later")),
+    ("LGPL-2.1-or-later", ("gnu-library-free", "lgpl-2.1-later")),
+    ("AGPL-3.0-or-later", ("gnu-free", "agpl-3-later")),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy")),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy-http")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant-and", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl-2-terms",)),
 ]
 #: Every known sentence has one of these.
 MARKERS = r"(?i)licen|gpl|mpl|cc0|cc by|creative commons|permi|software|redistribut"
@@ -129,6 +216,8 @@ def known_sentences() -> dict[str, str]:
                     known[normal(words)] = f"named {name}"
             known[normal(f'Licensed under the {text} (the "License")')] = f"named {name}"
             known[normal(f"SPDX-License-Identifier: {name}")] = f"named {name}"
+    for name in IDENTIFIERS:
+        known[normal(f"SPDX-License-Identifier: {name}")] = f"named {name}"
     for key, text in SENTENCES.items():
         known[normal(text)] = key
         parts = [part for part in re.split(r"(?<=[.!?:;])\s+", text) if part]
@@ -150,7 +239,7 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
             split += [f"{key} {i}" for i in range(n)] if n > 1 else [key]
         if tuple(split) != ids:
             parts.append((licence, tuple(split)))
-    return parts + [(name, (f"named {name}",)) for name in NAMED]
+    return parts + [(name, (f"named {name}",)) for name in (*NAMED, *IDENTIFIERS)]
 
 
 def _coded(ids: tuple[str, ...]) -> str:

@@ -508,6 +508,68 @@ def test_every_known_sentence_has_a_marker():
     assert [p for p in parts if not re.search(licences.MARKERS, p)] == []
 
 
+NOTICES = [
+    (
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not\n"
+        " * distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "MPL-2.0",
+    ),
+    (
+        "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, "
+        "provided that the above\n# copyright notice and this permission notice appear in all copies.\n#\n"
+        '# THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\n'
+        "# REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\n# AND FITNESS.",
+        "ISC",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, "
+        "compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, "
+        "commercial or non-commercial, and by any\nmeans.",
+        "Unlicense",
+    ),
+    (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "LGPL-2.1-or-later",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "AGPL-3.0-or-later",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this "
+        "software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the "
+        "following restrictions:",
+        "Zlib",
+    ),
+    ("// Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-only\nint main;", "GPL-2.0-only"),
+    ("# SPDX-License-Identifier: ISC", "ISC"),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0+"),
+    ("Permission to use the software is a matter of licence.", ""),
+]
+
+
+def test_standard_notices(spark):
+    """Headers as they stand in files, wrapped and behind comment signs, with answers by hand."""
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_unmatched) for r in licences.scan(docs).collect()}
+    assert got == {i: (found, 0) for i, (_, found) in enumerate(NOTICES)}
+
+
+def test_all_identifiers(spark):
+    names = [*licences.NAMED, *licences.IDENTIFIERS]
+    assert len(names) == len(set(names))
+    docs = spark.createDataFrame([(i, f"SPDX-License-Identifier: {name}") for i, name in enumerate(names)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(docs).collect()} == dict(enumerate(names))
+
+
+def test_every_known_sentence_has_a_rule():
+    used = {key for _, ids in licences.RULES for key in ids}
+    assert set(licences.SENTENCES) <= used
+
+
 def test_licences_of_awkward_rows(awkward, empty, awkward_rows):
     assert licences.scan(awkward).where("licences = ''").count() == len(awkward_rows)
     assert licences.scan(empty).count() == 0
