@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cartwheel.llm.rows import slim, texts
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
-LEAF = 1024
+LEAF = 8192
 WINDOW = 64
 _ANCHOR = re.compile(r"\w \w")
 
