@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cartwheel.functions import rules
+from cartwheel.functions import rules, scalar
 from cartwheel.functions.scalar import ratio, rounded
 from cartwheel.sources.retail import catalogue_from
 from cartwheel.operators import candidates, eda, metrics, models, pair_features, quality, recommend, rfm, sequences, user_features
@@ -414,3 +414,10 @@ def test_report_with_additional_metrics(spark):
     report = metrics.model_report(train.withColumn("score", F.col("a")), "m", additional={"train_minutes": 3.5, "map_at_10": 0.25})
     nested = metrics.nested_report(report).first()
     assert (nested.additional.train_minutes, nested.additional.map_at_10) == (3.5, 0.25)
+
+
+def test_checksums_wrap_beyond_a_long(spark):
+    """Sums of this size failed with an overflow."""
+    values = [0, 7, -7, 2**63 - 1, -(2**63), 2**63, 2**64 + 5, -(2**64) - 5, 10**30]
+    df = spark.createDataFrame([(str(v),) for v in values], "x string").select(scalar.wrapped(F.col("x").cast("decimal(38,0)")).alias("x"))
+    assert [r.x for r in df.collect()] == [(v + 2**63) % 2**64 - 2**63 for v in values]
