@@ -421,3 +421,20 @@ def test_checksums_wrap_beyond_a_long(spark):
     values = [0, 7, -7, 2**63 - 1, -(2**63), 2**63, 2**64 + 5, -(2**64) - 5, 10**30]
     df = spark.createDataFrame([(str(v),) for v in values], "x string").select(scalar.wrapped(F.col("x").cast("decimal(38,0)")).alias("x"))
     assert [r.x for r in df.collect()] == [(v + 2**63) % 2**64 - 2**63 for v in values]
+
+
+def test_lines_are_dealt_once_by_order_and_once_by_pair(spark):
+    """Tasks follow the lines; the lines are exchanged twice, not once for each step."""
+    from cartwheel.sources import retail
+
+    orders = spark.createDataFrame(
+        [(1, 5, "prior", 1), (2, 5, "train", 2), (3, None, "prior", 1), (4, 6, "prior", 1)], "order_id long, user_id long, eval_set string, order_number int"
+    ).selectExpr("*", "0 AS order_dow", "0 AS order_hour_of_day", "0D AS days_since_prior_order")
+    raw = spark.createDataFrame(
+        [(1, 0, 1), (1, 0, 2), (1, 1, 3), (2, 0, 1), (2, 2, 1), (3, 0, 1), (4, 1, 1), (9, 1, 1)], "l_orderkey long, l_partkey long, l_linenumber int"
+    )
+    facts = retail.facts_from(raw, orders, None)
+    assert rows(facts, "order_id", "product_id", "add_to_cart_order", "reordered") == [
+        (1, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (2, 3, 2, 0), (4, 2, 1, 0)
+    ]
+    assert facts._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
