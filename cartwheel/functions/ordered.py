@@ -133,6 +133,37 @@ def running(
     return joined.select(*out)
 
 
+def among_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, quota: Column, name: str
+) -> DataFrame:
+    """Adds whether a row is among the first ``quota`` rows of its group in ``order``.
+
+    ``bucket`` is one of a few thousand numbers that rise with ``order``, ``quota``
+    may use ``_size``, the rows of the group. The counts of the buckets tell it for
+    all rows but those of the bucket a quota ends in: only these are put in order,
+    the others are neither sorted nor shuffled. ``df`` is read several times.
+    """
+    names, keys = df.columns, list(keys) or [_ALL]
+    rows = df.withColumn("_bucket", bucket)
+    if keys == [_ALL]:
+        rows = rows.withColumn(_ALL, F.lit(0))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy("_bucket"))
+    sums = counts.select(*keys, "_bucket", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.sum("_n").over(group).alias("_size"))
+    rest = F.least(quota, F.col("_size")) - F.col("_before")
+    ends = written(
+        sums.withColumn("_rest", rest).where((F.col("_rest") > 0) & (F.col("_before") + F.col("_rest") <= F.col("_upto")))
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bucket").alias("_end"), "_rest"),
+        "ends",
+    )
+    met = rows.join(F.broadcast(ends), _same(keys, "_of_"), "left")
+    at_end = F.col("_bucket").eqNullSafe(F.col("_end"))
+    clear = met.where(~at_end).select(*names, F.coalesce(F.col("_bucket") < F.col("_end"), F.lit(False)).alias(name))
+    edge = running(met.where(at_end).select(*dict.fromkeys([*names, *keys, "_rest"])), keys, order, number="_place")
+    return clear.unionByName(edge.select(*names, (F.col("_place") <= F.col("_rest")).alias(name)))
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank"
 ) -> DataFrame:

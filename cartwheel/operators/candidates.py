@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.ordered import running, top_per_group
+from cartwheel.functions.ordered import among_first, running, top_per_group
 from cartwheel.functions.quantile import dense_codes
 from cartwheel.functions.scalar import beside, fill_numeric, long, ratio, seeded
 from cartwheel.session import written
@@ -133,15 +133,14 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``: exactly round(share * n) rows of every label go to test.
 
-    There are only two labels, so each is numbered in cells (see ``running``).
+    Only the draws next to the last test row of a label are put in order (see
+    ``among_first``); the rows stay where they are. Pass a written table.
     """
     drawn = labelled.withColumn("_draw", seeded(seed, *keys))
-    placed = running(
-        drawn, ["label"], ["_draw", *keys], number="_place", totals={"_size": F.lit(1)}
-    )
+    bucket = F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int")
     quota = F.floor(F.col("_size") * test_share + 0.5)
-    split = F.when(F.col("_place") <= quota, "test").otherwise("train")
-    return placed.withColumn("split", split).drop("_draw", "_place", "_size")
+    told = among_first(drawn, ["label"], ["_draw", *keys], bucket, quota, "_test")
+    return told.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_draw", "_test")
 
 
 def training_matrix(labelled: DataFrame, users: DataFrame, items: DataFrame, pair_features: DataFrame) -> DataFrame:

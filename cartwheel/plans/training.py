@@ -53,7 +53,8 @@ def features(star: Star, params: Params = Params()) -> tuple[DataFrame, DataFram
 
 def matrix(star: Star, params: Params = Params()) -> DataFrame:
     """Features beside every labelled candidate, categories encoded, split into
-    train and test rows; written once, as several learners pass over it.
+    train and test rows; written once, as several learners pass over it, and split
+    as it is read.
 
     User and item tables are saved before, so that their joins go by known sizes.
     """
@@ -65,7 +66,7 @@ def matrix(star: Star, params: Params = Params()) -> DataFrame:
         items = candidates.with_class_code(items, column)
     wide = candidates.training_matrix(labelled, users, items, pairs)
     wide = wide.fillna(candidates.MISSING_CLASS, ["Segment", "department", "aisle"])
-    return written(candidates.stratified_split(written(wide, "matrix"), params.test_share, params.seed), "split")
+    return candidates.stratified_split(written(wide, "matrix"), params.test_share, params.seed)
 
 
 def save_splits(split: DataFrame, labelled: DataFrame, popular: DataFrame, folder: str) -> DataFrame:

@@ -438,3 +438,14 @@ def test_lines_are_dealt_once_by_order_and_once_by_pair(spark):
         (1, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (2, 3, 2, 0), (4, 2, 1, 0)
     ]
     assert facts._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
+def test_the_split_neither_sorts_nor_moves_whole_rows(spark):
+    df = spark.range(2000).selectExpr("id AS user_id", "id % 7 AS product_id", "int(id % 10 = 0) AS label", "id AS wide")
+    split = candidates.stratified_split(df, 0.2, 42)
+    assert rows(split.groupBy("label", "split").count()) == [(0, "test", 360), (0, "train", 1440), (1, "test", 40), (1, "train", 160)]
+    text = split._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "hashpartitioning(label" not in text.split("Union")[0]
+    drawn = split.orderBy("label", F.md5(F.concat_ws("#", F.lit("42"), "user_id", "product_id")), "user_id").collect()
+    for label, n in ((0, 360), (1, 40)):
+        assert [r.split for r in drawn if r.label == label][: n + 1] == ["test"] * n + ["train"]

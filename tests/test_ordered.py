@@ -119,3 +119,17 @@ def test_top_per_group(skewed):
     want = frame.sort_values(["k", "b"]).groupby("k").head(3)
     got = top_per_group(df, ["k"], ["b"], 3)
     assert rows(got, "k", "b") == sorted(((int(k), int(b)) for k, b in zip(want.k, want.b)), key=repr)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_among_first_matches_numbering(spark, small_cells, keys):
+    """Quotas that end inside a bucket, take everything or nothing, also in a group without a key."""
+    df = spark.range(3000).selectExpr("nullif(int(id % 3), 2) AS k", "pmod(xxhash64(id), 97) AS a", "id AS b")
+    quota = F.least(F.lit(0.37) * F.col("_size"), F.lit(700)).cast("int") if keys else F.lit(1234)
+    told = ordered.among_first(df, keys, ["a", "b"], (F.col("a") / 8).cast("int"), quota, "first").toPandas()
+    assert len(told) == 3000
+    for _, rows in told.groupby("k", dropna=False) if keys else [(0, told)]:
+        want = int(min(0.37 * len(rows), 700)) if keys else 1234
+        assert list(rows.sort_values(["a", "b"])["first"]) == [True] * want + [False] * (len(rows) - want)
+    for limit, n in ((0, 0), (10_000, 3000)):
+        assert ordered.among_first(df, [], ["a", "b"], F.col("a"), F.lit(limit), "first").where("first").count() == n
