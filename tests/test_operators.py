@@ -449,3 +449,27 @@ def test_the_split_neither_sorts_nor_moves_whole_rows(spark):
     drawn = split.orderBy("label", F.md5(F.concat_ws("#", F.lit("42"), "user_id", "product_id")), "user_id").collect()
     for label, n in ((0, 360), (1, 40)):
         assert [r.split for r in drawn if r.label == label][: n + 1] == ["test"] * n + ["train"]
+
+
+def test_a_cut_model_is_a_shorter_fit(spark, monkeypatch):
+    train, held = learnable(spark)
+    fits = []
+    fit = models.boosted_trees
+    monkeypatch.setattr(models, "boosted_trees", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    found = models.stopped_trees(train, held, ["a", "b", "c"], iterations=9, depth=4, patience=1)
+    assert len(fits) == 1
+    cut = models.first_rounds(fit(train, ["a", "b", "c"], 9, 4), 4)
+    short = fit(train, ["a", "b", "c"], 4, 4)
+    assert cut.stages[-1].getNumTrees == 4 and found.model.stages[-1].getNumTrees == found.kept
+    assert rows(models.predict(cut, held), "user_id", "score") == rows(models.predict(short, held), "user_id", "score")
+    assert list(cut.stages[-1].featureImportances.toArray()) == list(short.stages[-1].featureImportances.toArray())
+
+
+def test_the_sample_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    df = spark.range(5000).selectExpr("id AS user_id", "id % 7 AS product_id", "id % 2 AS label")
+    got = models.bounded_sample(df, 1000)
+    assert got.rdd.getNumPartitions() == 10
+    order = [F.xxhash64("user_id", "product_id"), "user_id", "product_id"]
+    assert rows(got) == rows(df.orderBy(*order).limit(1000))
+    assert rows(models.bounded_sample(df, 1000)) == rows(got)
