@@ -22,10 +22,11 @@ def pair_sums(facts: DataFrame, tasks: int | None = None) -> DataFrame:
     needs only a partial aggregation of this one. Orders belong to one user:
     distinct orders of a product are the sum over its users. With ``tasks`` the lines
     themselves are dealt: most pairs have one or two, which partial sums, three times
-    as wide, would not make fewer.
+    as wide, would not make fewer. They are dealt by ranges, so that the pairs of a
+    user lie side by side and a hot user's in several tasks.
     """
     if tasks:
-        facts = facts.repartition(tasks, *PAIR)
+        facts = facts.repartitionByRange(tasks, *PAIR)
     cart = long("add_to_cart_order")
     return facts.groupBy(*PAIR).agg(
         # Facts have one row per order and product: rows are orders, too.
@@ -102,11 +103,14 @@ def interaction_features(orders: DataFrame, sums: DataFrame) -> DataFrame:
     return with_recency(derived(interactions(sums)), orders)
 
 
-def prefixed_interactions(sums: DataFrame) -> DataFrame:
-    """The twelve ``ui_`` columns; recency is counted in orders that have lines."""
+def prefixed_interactions(sums: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The twelve ``ui_`` columns; recency is counted in orders that have lines.
+
+    ``wanted`` are the rows of ``sums`` to describe, all of them by default.
+    """
     newest = sums.groupBy("user_id").agg(F.max("last_order_number").alias("_newest"))
     span = F.col("last_order_number") - F.col("first_order_number") + 1
-    return sums.join(newest, "user_id").select(
+    return (sums if wanted is None else wanted).join(newest, "user_id").select(
         *PAIR,
         F.col("n_lines").alias("ui_times_bought"),
         F.col("n_again").alias("ui_times_reordered"),

@@ -68,6 +68,8 @@ def _joined_score() -> Column:
 
 
 def score_line_metrics(metrics: DataFrame, quantiles: int = 5, on_ties: str = "compress") -> DataFrame:
+    """Scores from quantile edges. The per-user table is written first: edges and scores both read it."""
+    metrics = written(metrics, "line-metrics")
     scored = add_scores(
         metrics,
         quantiles,

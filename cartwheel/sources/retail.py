@@ -95,13 +95,15 @@ def facts_from(raw_lines: DataFrame, orders: DataFrame, n_products: int | None)
 def _with_reorders(placed: DataFrame, tasks: int) -> DataFrame:
     """Adds whether the user had the product in an earlier order.
 
-    A hot user's lines are dealt by product, too: a group has at most one line for
-    each order of its user. Lines without a user or product are in no group.
+    Dealt by ranges of user and product, a hot user's lines lie in several tasks: a
+    group has at most one line for each order of its user. The lines of any other user
+    lie side by side, so that later sums per user or order are taken before an
+    exchange. Lines without a user or product are in no group.
     """
     pair = ["user_id", "product_id"]
     known = placed.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     first = F.min("order_number").over(Window.partitionBy(*pair))
-    return known.repartition(tasks, *pair).withColumn("_again", F.col("order_number") > first)
+    return known.repartitionByRange(tasks, *pair).withColumn("_again", F.col("order_number") > first)
 
 
 def catalogue_from(part: DataFrame, n_products: int | None) -> DataFrame:
