@@ -22,7 +22,7 @@ from cartwheel.functions.rules import DISPLAY_NAMES, DISPLAY_DEFAULT
 from cartwheel.operators import candidates, facts, item_features, pair_features, quality, rfm, user_features
 from cartwheel.plans.ingest import ingest
 from cartwheel.schemas import RAW_FILES, REQUIRED, SCHEMAS
-from cartwheel.session import new_path
+from cartwheel.session import new_path, written
 from cartwheel.sources import files
 from registry.base import fragment, query, r, ratio
 
@@ -496,7 +496,8 @@ def _(s):
     """The 100 most popular products that each user does not have."""
     ranked = candidates.popular_items(s.lines())
     users = s.orders.select("user_id").distinct()
-    return candidates.missing_from_top(users, pair_features.pairs(s.lines()), ranked, "user_id", 100).select(
+    owned = written(pair_features.pairs(s.lines()), "pairs")
+    return candidates.missing_from_top(users, owned, ranked, "user_id", 100).select(
         "user_id", "product_id"
     )
 

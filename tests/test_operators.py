@@ -1,6 +1,7 @@
 """Small hand-made cases of the operators."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -473,3 +474,94 @@ def test_the_sample_is_dealt_to_several_tasks(spark, monkeypatch):
     order = [F.xxhash64("user_id", "product_id"), "user_id", "product_id"]
     assert rows(got) == rows(df.orderBy(*order).limit(1000))
     assert rows(models.bounded_sample(df, 1000)) == rows(got)
+
+
+def test_what_is_owned_beyond_the_needed_places_is_left_out(spark, monkeypatch):
+    """The walk saw the whole history of every owner, and of those that are none."""
+    seen = []
+    walk = candidates.running
+    monkeypatch.setattr(candidates, "running", lambda df, *a, **k: seen.append(df.count()) or walk(df, *a, **k))
+    ranked = spark.range(1, 1001).selectExpr("id * 7 AS product_id", "id AS popularity_rank", "1000 - id AS popularity_score")
+    owned = spark.createDataFrame([(u, 7 * r) for u in (1, 2) for r in (2, 9, *range(500, 540))] + [(3, 7 * 12)], "user_id long, product_id long")
+    got = candidates.missing_from_top(spark.createDataFrame([(1,), (3,), (None,)], "user_id long"), owned, ranked, "user_id", 10)
+    want = {1: [r for r in range(1, 13) if r not in (2, 9)], 3: list(range(1, 11)), None: list(range(1, 11))}
+    assert rows(got, "user_id", "product_id", "popularity_score") == sorted(((u, 7 * r, 1000 - r) for u, rs in want.items() for r in rs), key=repr)
+    assert seen == [5]  # two places of user 1 and the end of the ranking for each owner
+
+
+def test_candidates_bring_what_is_known_of_them(spark):
+    history = spark.createDataFrame([(1, 5, 3, 9), (1, 6, 1, 2), (1, 7, 1, 1), (2, 5, 1, 1)], "user_id long, product_id long, times_bought long, last_order int")
+    ranked = spark.createDataFrame([(5, 4, 1), (8, 2, 2), (9, 1, 3)], "product_id long, popularity_score long, popularity_rank long")
+    users = spark.createDataFrame([(1,)], "user_id long")
+    got = candidates.candidate_rows(users, history, ranked, 2, 1)
+    assert rows(got, "user_id", "product_id", "times_bought", "last_order", "popularity_score") == [
+        (1, 5, 3, 9, None), (1, 6, 1, 2, None), (1, 8, None, None, 2)
+    ]
+    assert rows(candidates.candidates(users, history, ranked, 2, 1)) == [(1, 5), (1, 6), (1, 8)]
+
+
+def test_lines_and_pairs_of_a_user_lie_side_by_side(spark):
+    from cartwheel.sources import retail
+
+    lines = facts(spark, *[(u, n, c, c * u) for u in range(40) for n in range(1, 5) for c in range(1, 6)])
+    orders = lines.selectExpr("order_id", "user_id", "'prior' AS eval_set", "order_number", "0 AS order_dow", "0 AS order_hour_of_day", "0D AS days_since_prior_order").distinct()
+    raw = lines.selectExpr("order_id AS l_orderkey", "product_id - 1 AS l_partkey", "add_to_cart_order AS l_linenumber")
+    for table in (retail.facts_from(raw, orders, None), pair_features.pair_sums(lines, 8)):
+        places = table.withColumn("_task", F.spark_partition_id()).groupBy("user_id").agg(F.count_distinct("_task").alias("n"))
+        assert places.agg(F.sum("n") - F.count("n")).first()[0] < 8 and table.rdd.getNumPartitions() >= 4
+
+
+def test_line_metrics_are_worked_out_once(spark):
+    """Edges and scores each summed the lines again."""
+    lines = facts(spark, *[(u, n, c, c) for u in range(1, 9) for n in range(1, u + 1) for c in (1, 2)])
+    scored_users = rfm.score_line_metrics(rfm.line_metrics(lines))
+    plan = scored_users._jdf.queryExecution().optimizedPlan().toString()
+    assert "add_to_cart_order" not in plan and "LogicalRDD" not in plan and plan.count("Relation") >= 1
+    assert scored_users.count() == 8
+
+
+def matrix_parts(spark):
+    labelled = spark.createDataFrame([(u, p, (u + p) % 2) for u in range(6) for p in (1, 2, 10 + u)] + [(None, 1, 0), (9, None, 1)], "user_id long, product_id long, label int")
+    pairs = spark.createDataFrame([(u, 10 + u, u * 2) for u in range(6)], "user_id long, product_id long, ui_n int")
+    users = spark.createDataFrame([(u, u * 1.5) for u in range(5)], "user_id long, user_x double")
+    items = spark.createDataFrame([(p, p * 3, f"d{p}") for p in (1, 2, 10, 11, 12, 13)], "product_id long, item_n int, department string")
+    return labelled, users, items, pairs
+
+
+def test_the_matrix_is_exchanged_once_by_user(spark):
+    """Its rows went by pair, by user and, whole, by product."""
+    labelled, users, items, pairs = matrix_parts(spark)
+    plain = candidates.training_matrix(labelled, users, items, pairs)
+    hot = spark.createDataFrame([(1,), (2,), (77,)], "product_id long")
+    dealt = candidates.training_matrix(labelled, users, items, pairs, hot, 3)
+    assert dealt.columns == plain.columns == ["product_id", "user_id", "label", "ui_n", "user_x", "item_n", "department"]
+    assert rows(dealt) == rows(plain) and plain.count() == 20
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        text = candidates.training_matrix(labelled, users, items, pairs, hot, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    dealt_by = re.findall(r"hashpartitioning\((.*?), \d+\)", text)
+    assert sorted(re.sub(r"#\d+L?", "", k) for k in dealt_by) == ["_user", "product_id", "product_id", "user_id", "user_id"]
+
+
+def test_labels_meet_the_pairs_of_a_user(spark):
+    pairs = spark.createDataFrame([(u, p) for u in range(5) for p in range(4)] + [(None, 1), (1, None)], "user_id long, product_id long")
+    bought = spark.createDataFrame([(1, 2), (1, 2), (3, 0), (3, 9), (None, 1), (7, 7), (1, None)], "user_id long, product_id long")
+    got = candidates.label_pairs(pairs, bought, 3)
+    assert rows(got) == rows(candidates.label_pairs(pairs, bought)) and rows(got.where("label = 1")) == [(1, 2, 1), (3, 0, 1)]
+
+
+def test_the_matrix_is_written_once(spark, monkeypatch):
+    from cartwheel import session
+    from cartwheel.sources.retail import Star
+    from registry.candidates import matrix
+
+    labels = []
+    name = session.new_path
+    monkeypatch.setattr(session, "new_path", lambda s, label: labels.append(label) or name(s, label))
+    star = Star(spark, TINY, version="written once")
+    assert matrix(star).count() == matrix(star).count() > 0
+    assert labels.count("matrix") == 1
