@@ -476,6 +476,22 @@ def test_the_sample_is_dealt_to_several_tasks(spark, monkeypatch):
     assert rows(models.bounded_sample(df, 1000)) == rows(got)
 
 
+def test_all_rows_are_fitted_on(spark, monkeypatch):
+    """Learners saw at most half a million rows."""
+    from registry import models as registered
+
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    monkeypatch.setattr(models, "TASKS", 16)
+    sample = models.bounded_sample
+    monkeypatch.setattr(models, "bounded_sample", lambda rows, limit=1000: sample(rows, limit))
+    monkeypatch.setattr(registered, "fitted", lambda s, name, fit: fit())
+    df = spark.range(5000).selectExpr("id AS user_id", "id % 7 AS product_id", "id % 2 AS label", "if(id % 10 < 8, 'train', 'test') AS split")
+    train, test = registered.parts(None, df.unionByName(df.limit(1)))
+    assert rows(train) == rows(df.unionByName(df.limit(1)).where("split = 'train'").drop("split"))
+    assert train.count() == 4001 and test.count() == 1000 and train.rdd.getNumPartitions() == 16
+    assert [tuple(r) for r in train.collect()] == [tuple(r) for r in train.collect()]
+
+
 def test_what_is_owned_beyond_the_needed_places_is_left_out(spark, monkeypatch):
     """The walk saw the whole history of every owner, and of those that are none."""
     seen = []
