@@ -492,6 +492,12 @@ def test_all_rows_are_fitted_on(spark, monkeypatch):
     assert [tuple(r) for r in train.collect()] == [tuple(r) for r in train.collect()]
 
 
+def test_reports_of_the_leaderboard_are_made_one_by_one(spark):
+    """The six reports ran at once as parts of one plan."""
+    text = QUERIES["l8_leaderboard"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "UDF" not in text and text.count("Relation") >= 6
+
+
 def test_what_is_owned_beyond_the_needed_places_is_left_out(spark, monkeypatch):
     """The walk saw the whole history of every owner, and of those that are none."""
     seen = []
